@@ -1,22 +1,24 @@
 """Token ids by a public tokenizer file, one encoding per distinct word and worker.
 
 The vocabulary ``word_bpe_49k.json`` drops white space before it merges, so a text's ids are its words' ids in a row.
-A worker therefore encodes each distinct word once and joins packed ids. The cache is emptied at CACHE_WORDS entries,
+A worker therefore encodes each distinct word once and joins packed ids. The caches are emptied at CACHE_WORDS entries,
 which bounds memory whatever the corpus holds; ids don't depend on it.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-
 from .common import split_words
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 END_ID = 1
+#: Words that normalising and pre-tokenising leave in at most two parts, letters (each lower-cased alone) and marks.
+PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)").fullmatch
 
 
 def default_vocabulary() -> str:
@@ -25,26 +27,56 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from code point 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize  # ids of one pre-token, without the cost of a whole encoding
+        self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _part(self, part: str) -> bytes:
+        packed = self.parts.get(part)
+        if packed is None:
+            ids = [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.alphabet))]
+            packed = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"": b""}
+        rest = []
+        for w in new:
+            if plain := PLAIN(text := w.decode("utf-8")):
+                self.known[w] = self._part(plain[1].lower()) + self._part(plain[2])
+            else:
+                rest.append((w, text))
+        for k in range(0, len(rest), 4096):
+            found = self.tokenizer.encode_batch_fast([x for _, x in rest[k : k + 4096]], add_special_tokens=False)
+            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (w, _), e in zip(rest[k : k + 4096], found, strict=True))
 
     def packed(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text, the ids as little-endian unsigned 32-bit integers, END_ID last."""
-        end = np.array([END_ID], "<u4").tobytes()
+        end = struct.pack("<I", END_ID)
         for k in range(0, len(texts), 512):
             words = [split_words(x) for x in texts[k : k + 512]]
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            new = list(set().union(*words).difference(self.known))
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-                self.known.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+            distinct = set().union(*words)
+            if new := distinct.difference(self.known):
+                self._learn(new)
+                if lost := distinct.difference(self.known):  # the cache was emptied
+                    self._learn(lost)
             for own in words:
                 yield b"".join(map(self.known.__getitem__, own)) + end
 
