@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of UTF-8 split here are exactly the words ``[^\x20\x09-\x0D]+``.
@@ -45,11 +46,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those with the smallest hashes of their key: the same on every run, in any layout."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``, the smallest node that each can reach; all inside Spark.
 
@@ -68,3 +64,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if step.where("component <> old").isEmpty():
             return labels
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows whose key hashes are among the ``rows`` smallest: a filter, so the sample stays spread over its partitions."""
+    lowest = df.select(F.xxhash64(key).alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    return df.where(F.xxhash64(key) <= F.lit(lowest)) if lowest is not None else df.limit(0)
+
+
+def append_from_text(docs: DataFrame, found, ddl: str) -> DataFrame:
+    """``docs`` with the columns that ``found(array of texts) -> arrays`` gives, row by row; no join, no shuffle."""
+    at = docs.columns.index("text")
+    names = [*docs.columns, *(part.split()[0] for part in ddl.split(","))]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found(batch.column(at))], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, {ddl}")

@@ -21,7 +21,6 @@ judged one by one and never remove words from each other. Other columns are igno
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,31 +168,37 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     return alike.unionByName(holders).unionByName(cold).unionByName(hot)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part, out = batch.slice(at, 1024), defaultdict(list)
-            for doc_id, key, text, spans in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = split_words(text)
-                kept = words
-                if spans:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, [s["start"] for s in spans], 1)
-                    np.add.at(gone, [s["end"] for s in spans], -1)
-                    kept = [words[k] for k in np.flatnonzero(np.cumsum(gone)[:-1] == 0)]
-                joined = b" ".join(kept)
-                left = text if len(kept) == len(words) else joined.decode("utf-8")
-                for name, x in zip(kinds, (doc_id, key, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), left), strict=True):
-                    out[name].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds.items()], list(kinds))
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n_words, n_removed, kept_sha256, kept_text`` of each row.
+def _apply(names: list[str]):
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+
+    def one(text: str | None, spans: list[dict] | None) -> tuple:
+        words = split_words(text)
+        kept = words
+        if spans:
+            gone = np.zeros(len(words) + 1, np.int64)
+            np.add.at(gone, [s["start"] for s in spans], 1)
+            np.add.at(gone, [s["end"] for s in spans], -1)
+            kept = [words[k] for k in np.flatnonzero(np.cumsum(gone)[:-1] == 0)]
+        joined = b" ".join(kept)
+        return len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode("utf-8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = zip(*map(one, part.column(0).to_pylist(), part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array(x, t) for x, t in zip(found, kinds.values(), strict=True))], [*names, *kinds])
+
+    return run
+
+
+def deduplicate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns named in ``keep``, ``n_words, n_removed, kept_sha256, kept_text`` of each row.
 
     kept_text is the text itself where nothing goes, else the kept words joined by single blanks.
     """
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"), *keep)
     spans = covered_spans(keyed).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    return keyed.join(spans, KEY, "left").select(*KEY, "text", "gone").mapInArrow(_apply, "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    names = ["doc_id", *keep]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*names).schema.fields)
+    return keyed.join(spans, KEY, "left").select("text", "gone", *names).mapInArrow(_apply(names), f"{kept}, n_words long, n_removed long, kept_sha256 string, kept_text string")
