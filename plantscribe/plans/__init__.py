@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Query
 
-MODULES = ("retrieval", "operations")
+MODULES = ("retrieval", "operations", "quality")
 
 
 def _registries():
