@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Query
 
-MODULES = ("retrieval", "operations", "quality")
+MODULES = ("retrieval", "operations", "quality", "graph")
 
 
 def _registries():
