@@ -103,7 +103,7 @@ def mail_chunks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     clean = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
     halves = docs.select(*keys, F.split(clean, r"\n\n", 2).alias("_p")).withColumns({"_head": F.col("_p")[0], "_body": F.when(F.size("_p") > 1, F.col("_p")[1]).otherwise("")})
     subject = F.nullif(F.trim(F.regexp_extract("_head", r"(?im)^subject:[ \t]*(.*)$", 1)), F.lit(""))
-    parts = F.array_insert(F.filter(F.transform(F.split("_body", r"\n\n+"), lambda p: F.trim(p)), lambda p: p != ""), 1, F.trim("_head"))
+    parts = F.array_insert(F.filter(F.transform(F.split("_body", r"\n\n+"), lambda p: F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", "")), lambda p: p != ""), 1, F.trim("_head"))
     out = halves.select(*keys, subject.alias("parent_section_header"), F.posexplode(parts).alias("chunk_index", "text"))
     return out.withColumn("chunk_type", F.when(F.col("chunk_index") == 0, "heading").otherwise("paragraph"))
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Query
 
-MODULES = ("retrieval", "operations", "quality", "graph")
+MODULES = ("retrieval", "operations", "quality", "graph", "ingest", "telemetry")
 
 
 def _registries():

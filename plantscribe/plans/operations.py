@@ -27,10 +27,14 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS_SQL = """jobs AS (SELECT event_id AS job_id, user_id AS document_id, ts AS created_at, CASE event_type WHEN 'click' THEN 'PARSING' WHEN 'view' THEN 'EXTRACTING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'signup' THEN 'QUEUED' ELSE 'FAILED' END AS status FROM events)"""
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_jobs(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "click", "PARSING").when(kind == "view", "EXTRACTING").when(kind == "purchase", "COMPLETED").when(kind == "signup", "QUEUED").otherwise("FAILED")
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), F.col("ts").alias("created_at"), status.alias("status"))
+    return events.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), F.col("ts").alias("created_at"), status.alias("status"))
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_jobs(read(spark, sf_dir, "events"))
 
 
 NEWEST_SQL = "newest AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, job_id DESC) AS r FROM jobs) WHERE r = 1)"
