@@ -66,12 +66,12 @@ def latency_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     Values are sorted by Spark first and only the four around the two percentiles are gathered, so a group of any size is fine.
     """
     n = F.count("*").over(W.partitionBy(*keys))
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), n.alias("n"), F.row_number().over(W.partitionBy(*keys).orderBy(value)).alias("k"))
+    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), n.alias("_n"), F.row_number().over(W.partitionBy(*keys).orderBy(value)).alias("_k"))
 
     def at(p: int) -> Column:
-        j = F.least(F.greatest(F.floor((F.col("n") + 1) * p / 100), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
-        delta = (F.col("n") + 1) * p - j * 100
-        part = F.when(F.col("n") == 1, F.col("v")).when(F.col("k") == j, F.col("v") * (100 - delta) / 100).when(F.col("k") == j + 1, F.col("v") * delta / 100)
+        j = F.least(F.greatest(F.floor((F.col("_n") + 1) * p / 100), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
+        delta = (F.col("_n") + 1) * p - j * 100
+        part = F.when(F.col("_n") == 1, F.col("_v")).when(F.col("_k") == j, F.col("_v") * (100 - delta) / 100).when(F.col("_k") == j + 1, F.col("_v") * delta / 100)
         return F.round(F.sum(part), 1)
 
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median("v"), 1).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.min("v"), 1).alias("min"), F.round(F.max("v"), 1).alias("max"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median("_v"), 1).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.min("_v"), 1).alias("min"), F.round(F.max("_v"), 1).alias("max"))
