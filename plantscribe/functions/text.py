@@ -137,3 +137,8 @@ def noisy_json(answer: Column, opening: str = "[", closing: str = "]") -> Column
     tried = [F.trim(answer), block, F.trim(strip_fences(answer))]
     good = [F.when(F.try_parse_json(t).isNotNull() & t.startswith(opening) & ~F.regexp_replace(t, r"\s", "").isin("[]", "{}"), t) for t in tried]
     return F.coalesce(*good)
+
+
+def hashed_dimension(token: Column, dimensions: int = 64) -> Column:
+    """Dimension of a term in a vector that needs no model."""
+    return (F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int") % dimensions).cast("int")

@@ -198,3 +198,17 @@ def class_filtered_retrieval(spark, sf_dir):
     title = F.concat(F.when(kind == 0, "Safety Standard ").when(kind == 1, "Operating Procedure ").when(kind == 2, "Pump Manual ").otherwise("Note "), F.col("doc_id"))
     found = lexical(spark, sf_dir).withColumns({"is_regulation": X.title_class(title, "regulation"), "is_procedure": X.title_class(title, "procedure")})
     return found.where("is_regulation OR is_procedure").select("query_id", *KEYS, "rank", "is_regulation", "is_procedure")
+
+
+@registry.add(f"WITH {CHUNKS_SQL} SELECT doc_id, sha256(doc_id || ':' || chunk_index) AS chunk_id FROM chunks")
+def has_chunk_edges(spark, sf_dir):
+    return chunks(spark, sf_dir).select("doc_id", C.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"))
+
+
+@registry.add(f"""WITH t AS (SELECT item_id, unnest({tokens_sql('text')}) AS t FROM benchmark), c AS (SELECT item_id, (('0x' || substr(md5(t), 1, 7))::BIGINT % 64)::INT AS dimension, count(*) AS n FROM t GROUP BY ALL)
+SELECT item_id, dimension, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM c""")
+def hashed_vectors(spark, sf_dir):
+    """The embedder that needs no model: unit vectors of hashed term counts, sparse."""
+    terms = read(spark, sf_dir, "benchmark").select("item_id", F.explode(X.index_tokens(F.col("text"))).alias("t"))
+    counts = terms.groupBy("item_id", X.hashed_dimension(F.col("t")).alias("dimension")).agg(F.count("*").alias("n"))
+    return counts.select("item_id", "dimension", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("item_id"))), 6).alias("weight"))
