@@ -250,9 +250,8 @@ def lesson_links(spark, sf_dir):
 SELECT DISTINCT src, CASE WHEN src LIKE 'FT%' THEN 'MONITORS' ELSE 'IS_PART_OF' END AS relation, dst FROM q WHERE src <> dst AND dst NOT LIKE 'FT%'""")
 def co_occurring_relations(spark, sf_dir):
     """The relation extractor that needs no model: tags of one text in pairs that the ontology allows; texts have few tags."""
-    found = G.extract_entities(tag_texts(spark, sf_dir), ["order_id", "line"])
-    a = found.select("order_id", "line", F.col("tag").alias("src"), F.col("entity_type").alias("source_type"))
-    b = found.select("order_id", "line", F.col("tag").alias("dst"), F.col("entity_type").alias("target_type"))
-    pairs = a.join(b, ["order_id", "line"]).where("src <> dst").select("src", "source_type", "dst", "target_type").distinct()
+    own = tag_texts(spark, sf_dir).select(F.array_distinct(X.tags(F.col("text"))).alias("tags"))
+    pairs = own.select(F.explode("tags").alias("src"), "tags").select("src", F.explode("tags").alias("dst")).where("src <> dst").distinct()
+    typed = pairs.withColumns({"source_type": G.classify_tags(F.col("src"))["entity_type"], "target_type": G.classify_tags(F.col("dst"))["entity_type"]})
     rules = F.broadcast(G.INDUSTRIAL.relations(spark))  # as many rows as triples
-    return pairs.join(rules, ["source_type", "target_type"]).select("src", "relation", "dst").distinct()
+    return typed.join(rules, ["source_type", "target_type"]).select("src", "relation", "dst").distinct()
