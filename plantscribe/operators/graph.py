@@ -63,14 +63,16 @@ INDUSTRIAL = Ontology(REQUIRED_PROPERTIES, ALLOWED_RELATIONS)
 
 
 def classify_tags(tag: Column) -> Column:
-    """``struct(entity_type, measurement, class)`` of a tag by its longest known prefix before an optional dash or blank and a digit."""
-    upper = F.upper(tag)
-    out = F.struct(F.lit("Equipment").alias("entity_type"), F.lit(None).cast("string").alias("measurement"), F.lit("general").alias("class"))
-    for prefix in sorted(TAG_PREFIXES, key=lambda p: (len(p), p)):  # the longest is tested first, as the outermost
-        kind, measurement, own = TAG_PREFIXES[prefix]
-        row = F.struct(F.lit(kind).alias("entity_type"), F.lit(measurement).cast("string").alias("measurement"), F.lit(own).cast("string").alias("class"))
-        out = F.when(upper.rlike(rf"^{prefix}[- ]?\d"), row).otherwise(out)
-    return out
+    """``struct(entity_type, measurement, class)`` of a tag by the letters before an optional dash or blank and a digit.
+
+    A known prefix has to be followed by those, so it is the whole run of letters: one look-up tells the longest.
+    """
+
+    def row(kind: str, measurement: str | None, own: str | None) -> Column:
+        return F.struct(F.lit(kind).alias("entity_type"), F.lit(measurement).cast("string").alias("measurement"), F.lit(own).cast("string").alias("class"))
+
+    known = F.create_map(*(x for prefix, values in TAG_PREFIXES.items() for x in (F.lit(prefix), row(*values))))
+    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.upper(tag), r"^([A-Z]+)[- ]?\d", 1)), row("Equipment", None, "general"))
 
 
 def extract_entities(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
