@@ -134,3 +134,13 @@ def test_repeats_in_a_stream(spark, tmp_path):
     q = S.without_repeats(stream, ["key"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["j", "k"]
+
+
+def test_warnings_of_a_stream_and_replay(spark, tmp_path):
+    from plantscribe.streaming import jobs as J
+
+    spark.createDataFrame([(1, "pump"), (2, "valve")], "id int, kind string").coalesce(1).write.parquet(str(tmp_path / "incidents"))
+    lessons = spark.createDataFrame([("pump", "check the seal")], "kind string, warning string")
+    for _ in range(2):  # the second run finds nothing new
+        J.warnings(J.table_stream(spark, str(tmp_path / "incidents")), lessons, lambda a, b: a.join(b, "kind"), str(tmp_path / "out")).awaitTermination()
+    assert [(r.id, r.warning) for r in spark.read.parquet(str(tmp_path / "out" / "warnings")).collect()] == [(1, "check the seal")]
