@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, split_words
 
-WINDOW, MMER, HOT_STRINGS, SALTS = 50, 8, 512, 16
+WINDOW, MMER, HOT_STRINGS, SALTS = 50, 8, 8192, 16  # a bucket of so many strings takes some 60 MB
 KEY = ["doc_id", "text_key"]
 
 
@@ -152,7 +152,7 @@ def covered_spans(docs: DataFrame) -> DataFrame:
 
     # 2. distinct strings of the others, with the smallest document of each and the number of strings in the bucket
     differing = met.where("differ").drop("owner", "differ")
-    strings = differing.groupBy("low", "digest").agg(F.min("doc_id").alias("owner"))
+    strings = cut(differing.groupBy("low", "digest").agg(F.min("doc_id").alias("owner")))
     sizes = strings.groupBy("low").agg((F.count("*") > HOT_STRINGS).alias("hot"))
     owned = differing.join(cut(strings.join(sizes, "low")), ["low", "digest"])
     holders = owned.where("doc_id > owner").select(*KEY, F.col("first").alias("start"), ends)
