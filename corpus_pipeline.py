@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantscribe.llm import language_id, packing, quality_model, simhash, substring_dedup
+from plantscribe.llm import language_id, packing, quality_model, shingle_dedup, substring_dedup
 from plantscribe.llm.common import scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +26,8 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays."""
+    first = shingle_dedup.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
     return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
 
 
