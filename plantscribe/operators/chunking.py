@@ -70,17 +70,26 @@ def readable_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     return named.groupBy(*keys, "row").agg(line.alias("line"))
 
 
-def json_leaves(rows: DataFrame, keys: list[str], json: str, depth: int = 4) -> DataFrame:
-    """``keys, path, value``: dotted path of each scalar down to ``depth`` levels; invalid JSON gives none."""
-    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v IS NOT NULL")
-    leaves = None
-    for _ in range(depth + 1):
+def json_leaves(rows: DataFrame, keys: list[str], json: str, depth: int | None = None) -> DataFrame:
+    """``keys, path, value``: dotted path of each scalar at any level, or down to ``depth``; invalid JSON gives its paragraphs, without a path.
+
+    One job a level finds whether anything nested is left.
+    """
+    parsed = rows.select(*keys, F.col(json).alias("_json"), F.try_parse_json(F.col(json)).alias("v"))
+    broken = paragraphs(parsed.where("v IS NULL AND _json IS NOT NULL"), keys, "_json")
+    leaves = broken.select(*keys, F.lit(None).cast("string").alias("path"), F.col("text").alias("value"))
+    level = parsed.where("v IS NOT NULL").select(*keys, F.lit("").alias("path"), "v")
+    done = 0
+    while True:
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = level.where(~nested).select(*keys, "path", F.expr("cast(v as string)").alias("value"))
-        leaves = flat if leaves is None else leaves.unionByName(flat)
+        leaves = leaves.unionByName(level.where(~nested).select(*keys, "path", F.expr("cast(v as string)").alias("value")))
+        if done == depth:
+            return leaves
         level = level.where(nested).lateralJoin(_variants()).select(*keys, F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("_e.key", F.col("_e.pos").cast("string"))).alias("path"), F.col("_e.value").alias("v"))
-    return leaves
+        done += 1
+        if level.isEmpty():
+            return leaves
 
 
 def _variants():
