@@ -1,8 +1,10 @@
 """Token ids by a public tokenizer file, one encoding per distinct word and worker.
 
-The vocabulary ``word_bpe_49k.json`` drops white space before it merges, so a text's ids are its words' ids in a row.
-A worker therefore encodes each distinct word once and joins packed ids. The caches are emptied at CACHE_WORDS entries,
-which bounds memory whatever the corpus holds; ids don't depend on it.
+The vocabulary ``word_bpe_49k.json`` drops white space before it merges, so a text's ids are its words' ids in a row. It
+lower-cases too and parts letters from marks, so ``Foo.`` costs no second entry beside ``foo`` and ``.``: texts are
+lower-cased (A-Z) and a mark after an ASCII letter or digit gets a blank before it; where that could change a run of marks
+or a special token, the words stay as they are. A worker encodes each distinct word once and joins packed ids. Beyond
+CACHE_WORDS entries only the words of the latest texts stay, which bounds memory whatever the corpus holds; ids don't depend on it.
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-from .common import split_words
-
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 END_ID = 1
-#: Words that normalising and pre-tokenising leave in at most two parts, letters (each lower-cased alone) and marks.
-PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)").fullmatch
+#: Words that normalising and pre-tokenising leave whole: letters, each lower-cased alone.
+LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Words that they leave whole: marks alone.
+MARKS = b".,!?;:#$%&*|"
+ONLY_MARKS = re.compile("[.,!?;:#$%&*|]+").fullmatch
+#: A cut before a mark holds after an ASCII letter or digit only.
+FALSE_CUT = re.compile(rb"([^a-z0-9\x09-\x0d ])\0").sub
 
 
 def default_vocabulary() -> str:
@@ -34,6 +39,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
+def spaced_words(text: str | None) -> list[bytes]:
+    """The words of a text as the encoder caches them; their ids in a row are the ids of the text."""
+    if text is None:
+        return []
+    raw = text.encode("utf-8", "replace")
+    if b"<|" in raw or b"\0" in raw:
+        return raw.split()
+    raw = raw.lower()
+    for m in MARKS:
+        mark = b"%c" % m
+        if mark in raw:
+            raw = raw.replace(mark, b"\0" + mark)
+    return FALSE_CUT(rb"\1", raw).replace(b"\0", b" ").split()
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,26 +63,20 @@ class WordEncoder:
         self.merge = self.tokenizer.model.tokenize  # ids of one pre-token, without the cost of a whole encoding
         self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _part(self, part: str) -> bytes:
-        packed = self.parts.get(part)
-        if packed is None:
-            ids = [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.alphabet))]
-            packed = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": b""}
-        rest = []
+        rest, merge, alphabet = [], self.merge, self.alphabet
         for w in new:
-            if plain := PLAIN(text := w.decode("utf-8")):
-                self.known[w] = self._part(plain[1].lower()) + self._part(plain[2])
+            if w.isalpha():  # bytes: A-Z and a-z only
+                ids = [t.id for t in merge(w.lower().decode())]
+            elif LETTERS(text := w.decode("utf-8")):
+                ids = [t.id for t in merge(text.lower().encode().decode("latin-1").translate(alphabet))]
+            elif ONLY_MARKS(text):
+                ids = [t.id for t in merge(text)]
             else:
                 rest.append((w, text))
+                continue
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
         for k in range(0, len(rest), 4096):
             found = self.tokenizer.encode_batch_fast([x for _, x in rest[k : k + 4096]], add_special_tokens=False)
             self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (w, _), e in zip(rest[k : k + 4096], found, strict=True))
@@ -71,12 +85,12 @@ class WordEncoder:
         """Of each text, the ids as little-endian unsigned 32-bit integers, END_ID last."""
         end = struct.pack("<I", END_ID)
         for k in range(0, len(texts), 512):
-            words = [split_words(x) for x in texts[k : k + 512]]
+            words = [spaced_words(x) for x in texts[k : k + 512]]
             distinct = set().union(*words)
+            if len(self.known) > CACHE_WORDS:
+                self.known = {w: self.known[w] for w in distinct if w in self.known}
             if new := distinct.difference(self.known):
                 self._learn(new)
-                if lost := distinct.difference(self.known):  # the cache was emptied
-                    self._learn(lost)
             for own in words:
                 yield b"".join(map(self.known.__getitem__, own)) + end
 
