@@ -4,7 +4,7 @@ The vocabulary ``word_bpe_49k.json`` drops white space before it merges, so a te
 lower-cases too and parts letters from marks, so ``Foo.`` costs no second entry beside ``foo`` and ``.``: texts are
 lower-cased (A-Z) and a mark after an ASCII letter or digit gets a blank before it; where that could change a run of marks
 or a special token, the words stay as they are. A worker encodes each distinct word once and joins packed ids. Beyond
-CACHE_WORDS entries only the words of the latest texts stay, which bounds memory whatever the corpus holds; ids don't depend on it.
+CACHE_WORDS entries only the latest words stay, which bounds memory whatever the corpus holds; ids don't depend on it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,45 +55,42 @@ def spaced_words(text: str | None) -> list[bytes]:
     return FALSE_CUT(rb"\1", raw).replace(b"\0", b" ").split()
 
 
-class WordEncoder:
+class WordEncoder(dict):
+    """Word -> its packed ids, found out when first asked for."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize  # ids of one pre-token, without the cost of a whole encoding
         self.alphabet = byte_alphabet()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, new: set[bytes]) -> None:
-        rest, merge, alphabet = [], self.merge, self.alphabet
-        for w in new:
-            if w.isalpha():  # bytes: A-Z and a-z only
-                ids = [t.id for t in merge(w.lower().decode())]
-            elif LETTERS(text := w.decode("utf-8")):
-                ids = [t.id for t in merge(text.lower().encode().decode("latin-1").translate(alphabet))]
-            elif ONLY_MARKS(text):
-                ids = [t.id for t in merge(text)]
-            else:
-                rest.append((w, text))
-                continue
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for k in range(0, len(rest), 4096):
-            found = self.tokenizer.encode_batch_fast([x for _, x in rest[k : k + 4096]], add_special_tokens=False)
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (w, _), e in zip(rest[k : k + 4096], found, strict=True))
+        self.latest: deque[bytes] = deque(maxlen=CACHE_WORDS // 4)
+
+    def __missing__(self, w: bytes) -> bytes:
+        if w.isalpha():  # bytes: A-Z and a-z only
+            ids = [t.id for t in self.merge(w.lower().decode())]
+        elif LETTERS(text := w.decode("utf-8")):
+            ids = [t.id for t in self.merge(text.lower().encode().decode("latin-1").translate(self.alphabet))]
+        elif ONLY_MARKS(text):
+            ids = [t.id for t in self.merge(text)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        packed = self[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
     def packed(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text, the ids as little-endian unsigned 32-bit integers, END_ID last."""
         end = struct.pack("<I", END_ID)
-        for k in range(0, len(texts), 512):
-            words = [spaced_words(x) for x in texts[k : k + 512]]
-            distinct = set().union(*words)
-            if len(self.known) > CACHE_WORDS:
-                self.known = {w: self.known[w] for w in distinct if w in self.known}
-            if new := distinct.difference(self.known):
-                self._learn(new)
-            for own in words:
-                yield b"".join(map(self.known.__getitem__, own)) + end
+        for text in texts:
+            words = spaced_words(text)
+            if len(self) > CACHE_WORDS:
+                kept = {w: self[w] for w in self.latest if w in self}
+                self.clear()
+                self.update(kept)
+            self.latest.extend(words)
+            yield b"".join(map(self.__getitem__, words)) + end
 
 
 @lru_cache(maxsize=2)
