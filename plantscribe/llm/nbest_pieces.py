@@ -8,12 +8,13 @@ The vocabulary file is a merge-ordered one; an arc scores the log probability of
 UNKNOWN_COST for each byte piece. Ties: the longer last piece.
 
 No piece crosses a blank, a line feed or the step from a letter to one of ``.,!;`` (checked when the file is loaded; a
-vocabulary that does isn't cut there), so a text's lattice is a chain of small ones. Each distinct stretch is solved once per worker: best
-path, and the score of the second best through forward and backward scores. The n best of a whole text differ from its
-best path in the n - 1 stretches that lose least at most; only those are searched by A*.
+vocabulary that does isn't cut there), so a text's lattice is a chain of small ones. Each distinct stretch is solved once per
+worker, many at a time: best path, and the score of the second best through forward and backward scores. The n best of a whole
+text differ from its best path in the n - 1 stretches that lose least at most; those are searched by A*.
 
-Null texts have no ids. Very long stretches are solved like any other. Decoding gives the text back, but for U+2581, which comes
-back as a blank. Other columns are ignored.
+Null and empty texts have no ids. Stretches beyond VECTOR_LENGTH characters are searched one by one. Decoding gives the text back,
+but for U+2581, which comes back as a blank; ``round_trip`` says so, each stretch being decoded as it is solved. Rows that repeat a
+doc_id are encoded each, an empty table gives none, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import heapq
 import math
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BLANK, N_BEST, CACHE_STRETCHES, VECTOR_LENGTH = "▁", 4, 250_000, 32
+BLANK, N_BEST, CACHE_STRETCHES, VECTOR_LENGTH, BATCH = "▁", 4, 400_000, 48, 20_000
 ZIPF_SHIFT, UNKNOWN_COST = 10.0, 20.0
 PRIME = np.uint64(0x100000001B3)
 SLOTS = 20
@@ -56,6 +56,9 @@ class PieceLattice:
         self.score = {names[k]: -math.log(r + ZIPF_SHIFT) - total for r, k in enumerate(plain)}
         self.bytes = {int(names[k][3:5], 16): k for k in range(len(names)) if model.is_byte(k)}
         self.spelling = {k: names[k].replace(BLANK, " ").encode() for k in plain} | {k: bytes([b]) for b, k in self.bytes.items()}
+        self.spelling[0] = self.spelling.get(0, b" ")
+        self.spelt_bytes = np.zeros(len(names), np.int64)
+        self.spelt_bytes[list(self.spelling)] = [len(x) for x in self.spelling.values()]
         self.longest = max(map(len, self.ids))
         inner = [p[k : k + 2] for p in self.ids for k in range(len(p) - 1)]
         if any(b == BLANK != a or "\n" in (a, b) for a, b in inner):
@@ -63,45 +66,39 @@ class PieceLattice:
         self.cut = re.compile(PLAIN_CUT if any(re.match(r"[^\W\d_][.,!;]", x) for x in inner) else CUT).findall
         self.byte_cost = -min(self.score.values()) + UNKNOWN_COST
         self._hash_pieces()
-        self._forget()
+        self.packed, self.number = [], {}
+        self.best, self.loss, self.spelt = np.empty(0), np.empty(0), np.empty(0, bool)
 
-    # --- the pieces as a hash table, to look up many stretches at once
+    # --- the beginnings of the pieces as a hash table, to walk many stretches at once
 
     def _hash_pieces(self) -> None:
-        keys = {}
+        keys: dict[int, str] = {}
         for p in self.ids:
             h = 0
-            for c in p:
+            for k, c in enumerate(p):
                 h = (h * int(PRIME) + ord(c) + 1) % (1 << 64)
-            keys[p] = h
-        assert len(set(keys.values())) == len(keys)
-        slot_key, slot_score, slot_id = np.zeros(1 << SLOTS, np.uint64), np.full(1 << SLOTS, -np.inf), np.full(1 << SLOTS, -1, np.int32)
-        self.probes = 1
-        for p, h in keys.items():
-            at, n = self._slot(h), 1
-            while slot_id[at] >= 0:
-                at, n = (at + 1) % (1 << SLOTS), n + 1
-            slot_key[at], slot_score[at], slot_id[at] = h, self.score[p], self.ids[p]
-            self.probes = max(self.probes, n)
-        self.slots = slot_key, slot_score, slot_id
-
-    @staticmethod
-    def _slot(h: int) -> int:
-        return (h * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - SLOTS)
-
-    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, scores, ids = self.slots
+                if keys.setdefault(h, p[: k + 1]) != p[: k + 1]:
+                    raise ValueError("two beginnings share a hash")
+        self.slot_key, self.slot_score, self.slot_id = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS), np.full(1 << SLOTS, -1, np.int32)
+        for h, p in keys.items():
+            at = (h * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - SLOTS)
+            while self.slot_key[at]:
+                at = (at + 1) % (1 << SLOTS)
+            self.slot_key[at], self.slot_score[at], self.slot_id[at] = h, self.score.get(p, 0), self.ids.get(p, -1)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where no piece begins so."""
         at = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        score, found = np.full(len(h), -np.inf), np.full(len(h), -1, np.int32)
-        for n in range(self.probes):
-            here = (at + n) % (1 << SLOTS)
-            same = keys[here] == h
-            score[same], found[same] = scores[here[same]], ids[here[same]]
-            if n == 0 and self.probes > 1:
-                free = ids[here] < 0
-                if free.all():
-                    break
-        return score, found
+        here = self.slot_key[at]
+        out = np.where(here == h, at, -1)
+        todo = np.flatnonzero((here != h) & (here != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % (1 << SLOTS)
+            here = self.slot_key[at[todo]]
+            same = here == h[todo]
+            out[todo[same]] = at[todo[same]]
+            todo = todo[~same & (here != 0)]
+        return out
 
     # --- one stretch
 
@@ -140,110 +137,142 @@ class PieceLattice:
 
     # --- many stretches
 
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.packed: list[bytes] = []
-        self.best, self.second = np.empty(0), np.empty(0)
+    def _forget(self, keep: set[str] = frozenset()) -> None:
+        """Drop all solutions but those of ``keep``."""
+        old = [(x, self.number[x]) for x in keep if x in self.number]
+        at = np.array([k for _, k in old], np.int64)
+        self.packed: list[bytes] = [self.packed[k] for _, k in old]
+        self.number: dict[str, int] = {x: k for k, (x, _) in enumerate(old)}
+        self.best, self.loss, self.spelt = (x[at] for x in (self.best, self.loss, self.spelt))
 
     def learn(self, stretches: list[str]) -> None:
-        """Best path, best and second best score of each."""
-        by_length = defaultdict(list)
-        for x in stretches:
-            by_length[len(x) if len(x) <= VECTOR_LENGTH else 0].append(x)
-        best, second = [self.best], [self.second]
-        for length, own in by_length.items():
-            solved = self._solve(own, length) if length else tuple(zip(*map(self._solve_one, own), strict=True))
-            for x, ids in zip(own, solved[0], strict=True):
-                self.number[x] = len(self.packed)
-                self.packed.append(ids)
-            best.append(np.asarray(solved[1])), second.append(np.asarray(solved[2]))
-        self.best, self.second = np.concatenate(best), np.concatenate(second)
+        """Best path of each, its score, what the second best loses, and whether it spells the stretch."""
+        short = [x for x in stretches if len(x) <= VECTOR_LENGTH]
+        parts = [self._solve(short[k : k + BATCH]) for k in range(0, len(short), BATCH)]
+        long = [x for x in stretches if len(x) > VECTOR_LENGTH]
+        if long:
+            packed, best, second = zip(*map(self._solve_one, long), strict=True)
+            parts.append((packed, np.array(best), np.array(second)))
+        for own, (packed, best, second) in zip([short[k : k + BATCH] for k in range(0, len(short), BATCH)] + [long] * bool(long), parts, strict=True):
+            self.number.update(zip(own, range(len(self.packed), len(self.packed) + len(own)), strict=True))
+            self.packed.extend(packed)
+            self.best, self.loss, self.spelt = np.append(self.best, best), np.append(self.loss, best - second), np.append(self.spelt, self._spells(own, packed))
+
+    def _spells(self, own: list[str], packed: list[bytes]) -> np.ndarray:
+        """Whether the ids of each stretch spell it; decoded all at once, one by one only if that differs."""
+        want = [x.encode("utf-8", "replace") for x in "\0".join(own).replace(BLANK, " ").split("\0")]
+        got = [b"".join(map(self.spelling.__getitem__, memoryview(b"".join(packed)).cast("I")))]
+        if len(want) == len(own) and got[0] == b"".join(want):
+            lengths = np.array([0, *(len(x) for x in packed)]).cumsum() // 4
+            spelt = np.append(0, self.spelt_bytes[np.frombuffer(b"".join(packed), "<u4")].cumsum())[lengths]
+            if (np.diff(spelt) == [len(x) for x in want]).all():
+                return np.ones(len(own), bool)
+        return np.array([self.decode(b"\0\0\0\0" + ids) == x.replace(BLANK, " ") for x, ids in zip(own, packed, strict=True)])
 
     def _solve_one(self, text: str) -> tuple[bytes, float, float]:
         two = self.n_best(text, 2)
         return np.array(two[0][1], "<u4").tobytes(), two[0][0], two[1][0] if len(two) > 1 else -math.inf
 
-    def _solve(self, own: list[str], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        m = len(own)
-        chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, length).astype(np.uint64) + np.uint64(1)
-        arcs, forward, back, piece = {}, np.full((length + 1, m), -np.inf), np.zeros((length + 1, m), np.int64), np.full((length + 1, m), -1, np.int32)
-        forward[0] = 0
-        hashes = np.zeros((length, m), np.uint64)  # of the stretch from each start to e
-        for e in range(1, length + 1):
-            for s in range(max(0, e - self.longest), e):
-                hashes[s] = hashes[s] * PRIME + chars[:, e - 1]
-                score, ids = self._look_up(hashes[s])
-                if s == e - 1 and (unknown := ids < 0).any():
-                    at = np.flatnonzero(unknown)
-                    score[at] = [-self.byte_cost * len(own[k][s].encode("utf-8", "replace")) for k in at]
-                if score.max() == -np.inf:
-                    continue
-                arcs[s, e] = score
-                total = forward[s] + score
-                better = total > forward[e]
-                forward[e][better], back[e][better], piece[e][better] = total[better], s, ids[better]
-        backward = np.full((length + 1, m), -np.inf)
-        backward[length] = 0
-        for (s, e), score in sorted(arcs.items(), key=lambda x: -x[0][1]):
-            np.maximum(backward[s], backward[e] + score, out=backward[s])
-        on = np.zeros((length + 1, m), bool)
-        on[length] = True
-        row = np.arange(m)
-        for e in range(length, 0, -1):
-            at = row[on[e]]
-            on[back[e][at], at] = True
+    def _arcs_of(self, own: list[str]) -> tuple[np.ndarray, ...]:
+        """Start, length, score and piece of every arc, places counted over all stretches; the longer first."""
+        length = np.fromiter(map(len, own), np.int64, len(own))
+        chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(chars))  # characters to the end of the stretch
+        alive, h, found = np.arange(len(chars)), np.zeros(len(chars), np.uint64), []
+        for n in range(1, self.longest + 1):
+            h = h * PRIME + chars[alive + (n - 1)]
+            slot = self._find(h)
+            piece = np.where(slot >= 0, self.slot_id[slot], -1)
+            whole = piece >= 0
+            found.append((alive[whole], np.full(int(whole.sum()), n), self.slot_score[slot[whole]], piece[whole]))
+            if n == 1:
+                bare = alive[~whole]  # spelt in bytes
+                code = chars[bare] - np.uint64(1)
+                n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+                n_bytes[(code >= 0xD800) & (code < 0xE000)] = 1  # a lone surrogate becomes a question mark
+                found.append((bare, np.ones(len(bare), np.int64), -self.byte_cost * n_bytes, np.full(len(bare), -1)))
+            go = (slot >= 0) & (left[alive] > n)
+            alive, h = alive[go], h[go]
+            if not len(alive):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found[::-1], strict=True))
+
+    def _solve(self, own: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        m, length = len(own), np.fromiter(map(len, own), np.int64, len(own))
+        first = np.cumsum(length) - length
+        row = np.repeat(np.arange(m), length)
+        start, n, score, piece = self._arcs_of(own)
+        place = start - first[row[start]]  # in its stretch
+        a, b = start + row[start], start + row[start] + n  # nodes; a stretch has one more than characters
+        ends, longest = np.cumsum(length) + np.arange(m), int(length.max())
+
+        forward, via = np.full(int(length.sum()) + m, -np.inf), np.full(int(length.sum()) + m, -1)
+        forward[first + np.arange(m)] = 0
+        by_end = np.argsort((place + n).astype(np.int16), kind="stable")
+        cuts = np.searchsorted((place + n)[by_end], np.arange(1, longest + 2))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            arc = by_end[x:y]
+            total = forward[a[arc]] + score[arc]
+            np.maximum.at(forward, b[arc], total)
+            arc = arc[total == forward[b[arc]]][::-1]
+            via[b[arc]] = arc  # written last, so kept: the longest
+        backward = np.full(len(forward), -np.inf)
+        backward[ends] = 0
+        by_start = np.argsort((-place).astype(np.int16), kind="stable")
+        cuts = np.searchsorted(-place[by_start], np.arange(-longest + 1, 2))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            arc = by_start[x:y]
+            np.maximum.at(backward, a[arc], backward[b[arc]] + score[arc])
+
+        on, node, passed = np.zeros(len(start), bool), ends, np.zeros(len(forward), bool)
+        while len(node):
+            arc = via[node]
+            on[arc] = passed[node] = True
+            node = a[arc[place[arc] > 0]]
+        through = np.where(on, -np.inf, forward[a] + score + backward[b])
         second = np.full(m, -np.inf)
-        for (s, e), score in arcs.items():
-            through = forward[s] + score + backward[e]
-            through[on[e] & (back[e] == s)] = -np.inf
-            np.maximum(second, through, out=second)
-        used = on.copy()
-        used[0] = False
-        order = used.T  # each stretch's pieces in order of their ends
-        ids, ends = piece.T[order], order.sum(axis=1).cumsum()
-        if (ids < 0).any():  # spelt in bytes
-            which, where = np.nonzero(order)
-            packed = [b""] * m
-            for k, e, i in zip(which.tolist(), where.tolist(), ids.tolist(), strict=True):
-                packed[k] += np.array([i] if i >= 0 else [self.bytes[b] for b in own[k][e - 1].encode("utf-8", "replace")], "<u4").tobytes()
-        else:
-            raw = ids.astype("<u4").tobytes()
-            packed = [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return packed, forward[length], second
+        np.maximum.at(second, row[start], through)
+        path = via[passed]
+        ids, bounds = piece[path], np.concatenate(([0], np.cumsum(np.bincount(row[start[path]], minlength=m)))).tolist()
+        raw = ids.astype("<i4").tobytes()
+        packed = [raw[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in np.unique(row[start[path[ids < 0]]]).tolist():
+            x, y = bounds[k : k + 2]
+            spelt = [[i] if i >= 0 else [self.bytes[c] for c in own[k][p].encode("utf-8", "replace")] for i, p in zip(ids[x:y].tolist(), place[path[x:y]].tolist(), strict=True)]
+            packed[k] = np.array([i for own_ids in spelt for i in own_ids], "<u4").tobytes()
+        return packed, forward[ends], second
 
     # --- texts
 
-    def encode(self, texts: list[str | None], n: int = N_BEST) -> Iterator[tuple[bytes, list[tuple[float, bytes]]]]:
-        """Of each text its best ids (little-endian unsigned 32-bit) and the n best ``(score, ids)``."""
+    def encode(self, texts: list[str | None], n: int = N_BEST) -> Iterator[tuple[bytes, list[tuple[float, bytes]], bool]]:
+        """Of each text its best ids (little-endian unsigned 32-bit), the n best ``(score, ids)``, and whether the ids spell it."""
         for k in range(0, len(texts), 256):
             cuts = [self.cut(BLANK + x.replace(" ", BLANK)) if x else [] for x in texts[k : k + 256]]
             distinct = set().union(*cuts)
             if len(self.number) > CACHE_STRETCHES:
-                self._forget()
+                self._forget(distinct)
             if new := distinct.difference(self.number):
                 self.learn(list(new))
             for own in cuts:
                 yield self._whole(own, n)
 
-    def _whole(self, own: list[str], n: int) -> tuple[bytes, list[tuple[float, bytes]]]:
+    def _whole(self, own: list[str], n: int) -> tuple[bytes, list[tuple[float, bytes]], bool]:
         at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-        parts = [self.packed[k] for k in at.tolist()]
-        ids, best = b"".join(parts), float(self.best[at].sum())
-        loss = self.best[at] - self.second[at]
+        parts = list(map(self.packed.__getitem__, at.tolist()))
+        ids, best, loss = b"".join(parts), float(self.best[at].sum()), self.loss[at]
         least = np.lexsort((np.arange(len(own)), loss))[: n - 1] if len(own) <= 4 * n else np.argpartition(loss, n - 2)[: n - 1]
         combos: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
         for k in sorted(least[np.isfinite(loss[least])].tolist()):
             choices = self._alternatives(own[k], n)
             combos = heapq.nlargest(n, ((s + c - choices[0][0], (*change, *([(k, alt)] if j else []))) for s, change in combos for j, (c, alt) in enumerate(choices)), key=lambda x: x[0])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) if len(combos) > 1 else None
         out = []
         for s, change in combos:
-            swapped = parts
-            if change:
-                swapped = list(parts)
-                for k, alt in change:
-                    swapped[k] = np.array(alt, "<u4").tobytes()
-            out.append((best + s, b"".join(swapped)))
-        return ids, out
+            changed = ids
+            for k, alt in reversed(change):
+                changed = b"".join((changed[: int(ends[k]) - len(parts[k])], np.array(alt, "<u4").tobytes(), changed[int(ends[k]) :]))
+            out.append((best + s, changed))
+        return ids, out, bool(self.spelt[at].all())
 
     @lru_cache(maxsize=20_000)  # noqa: B019  one lattice per worker
     def _alternatives(self, stretch: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -270,7 +299,7 @@ def _encode(vocabulary: str, n: int, keep_ids: bool):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = part.column(1).to_pylist()
-                rows = [(len(ids) // 4, nbest[0][0], [s for s, _ in nbest], [zlib.crc32(x) for _, x in nbest], zlib.crc32(ids), own.decode(ids) == (t or "").replace(BLANK, " "), ids) for t, (ids, nbest) in zip(texts, own.encode(texts, n), strict=True)]
+                rows = [(len(ids) // 4, nbest[0][0], [s for s, _ in nbest], [zlib.crc32(x) for _, x in nbest], zlib.crc32(ids), spelt, ids) for ids, nbest, spelt in own.encode(texts, n)]
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.bool_())
                 arrays = [pa.array(x, t) for x, t in zip(cols, kinds, strict=False)]

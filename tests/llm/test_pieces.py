@@ -27,7 +27,8 @@ def all_paths(own, text):
 @pytest.mark.parametrize("text", ["the cat", "naïve", "a b", "xyzzy,", "日本 ok", "  two", "x\ny", "f(x). g!"])
 def test_whole_text_against_all_paths(own, text):
     want = sorted({s for s, _ in all_paths(own, BLANK + text.replace(" ", BLANK))}, reverse=True)
-    ids, nbest = next(own.encode([text], 4))
+    ids, nbest, spelt = next(own.encode([text], 4))
+    assert spelt
     scores = [round(s, 9) for s, _ in nbest]
     every = sorted((s for s, _ in all_paths(own, BLANK + text.replace(" ", BLANK))), reverse=True)
     assert scores == pytest.approx(every[: len(scores)]) and len(scores) == min(4, len(every)) and scores[0] == pytest.approx(want[0])
@@ -46,7 +47,8 @@ def test_vector_and_single_solutions_agree(own):
         k = own.number[w]
         two = own.n_best(w, 2)
         assert own.best[k] == pytest.approx(two[0][0])
-        assert own.second[k] == pytest.approx(two[1][0]) if len(two) > 1 else own.second[k] == -np.inf
+        assert own.best[k] - own.loss[k] == pytest.approx(two[1][0]) if len(two) > 1 else own.loss[k] == np.inf
+        assert own.spelt[k]
         assert b"".join(own.spelling[i] for i in np.frombuffer(own.packed[k], "<u4").tolist()) == w.replace(BLANK, " ").encode()
     own._forget()
 
