@@ -67,7 +67,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The rows whose key hashes are among the ``rows`` smallest: a filter, so the sample stays spread over its partitions."""
+    """The rows whose key hashes are among the ``rows`` smallest: a filter, so the sample stays spread over its partitions.
+
+    Bounded where keys are distinct; a caller whose keys may repeat has to limit what it takes.
+    """
     lowest = df.select(F.xxhash64(key).alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
     return df.where(F.xxhash64(key) <= F.lit(lowest)) if lowest is not None else df.limit(0)
 

@@ -51,32 +51,90 @@ def test_pairs_rank_what_they_prefer():
 
 def test_toxicity_held_out(docs, labels, odd_docs, no_docs):
     got = toxicity.classify(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
-    clean = got[got.toxic == 0]
+    clean, toxic = got[got.toxic == 0], got[got.toxic == 1]
     assert (clean.predicted == 0).mean() > 0.97 and got.score.between(0, 1).all()
-    assert got.score[got.toxic == 1].mean() > got.score[got.toxic == 0].mean() + 0.2
-    assert toxicity.classify(odd_docs, labels).count() == len(TEXTS)
+    assert (toxic.predicted == 1).mean() > 0.6  # few examples at this size, and some texts are junk
+    odd = toxicity.classify(odd_docs.union(odd_docs), labels)
+    assert odd.count() == 2 * len(TEXTS) and odd.groupBy("doc_id").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0
     assert toxicity.classify(odd_docs, labels.limit(0)).where("score BETWEEN 0 AND 1").count() == len(TEXTS)
     assert toxicity.classify(no_docs, labels).count() == 0
 
 
+def brute_terms(text):
+    from collections import Counter
+
+    word, out = "", Counter()
+    for c in (text or "").lower() + " ":
+        if ord(c) > 127 or c.isalpha():
+            word += c
+        elif word:
+            out[toxicity.TERMS[word.encode()]] += 1
+            word = ""
+    return out
+
+
+def test_toxicity_query_against_brute_force(spark, docs, labels):
+    """Every step anew: document frequencies, emphasis, cosines with all examples, votes; only the calibration is shared."""
+    import zlib
+
+    small = docs.where("doc_id < 160").union(docs.where("doc_id < 3"))
+    texts = [(r.doc_id, r.text) for r in small.collect()]
+    marked = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    found = [brute_terms(t) for _, t in texts]
+    df = np.zeros(toxicity.DIMENSIONS)
+    for f in found:
+        df[list(f)] += 1
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    examples = [(d, marked[d], f) for (d, _), f in zip(texts, found, strict=True) if d in marked and f]
+    share = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
+    have, bad = np.zeros(len(df)), np.zeros(len(df))
+    for _, y, f in examples:
+        have[list(f)] += 1
+        bad[list(f)] += y
+    weight = idf * np.maximum(1, (bad + 10 * share) / (have + 10) / share) ** 2
+
+    def vector(f):
+        v = np.zeros(len(df))
+        v[list(f)] = (1 + np.log(list(f.values()))) * weight[list(f)]
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    vectors = np.stack([vector(f) for *_, f in examples])
+    index = toxicity.train(small, labels)
+    got = sorted(toxicity.score(small, index).collect(), key=lambda r: r.doc_id)
+    for r, (_, f) in zip(got, sorted(zip([d for d, _ in texts], found, strict=True), key=lambda x: x[0]), strict=True):
+        if not f:
+            assert r.score == pytest.approx(share) and not r.evidence
+            continue
+        cos = vectors @ vector(f)
+        order = sorted(range(len(examples)), key=lambda k: (-round(cos[k], 6), examples[k][0]))[:15]
+        order = [k for k in order if cos[k] > 0]
+        assert [e.cosine for e in r.evidence] == pytest.approx([cos[k] for k in order], abs=1e-5)
+        w = [1 / (1.05 - min(e.cosine, 1)) for e in r.evidence]
+        vote = (sum(x * e.toxic for x, e in zip(w, r.evidence, strict=True)) + 0.5 * share) / (sum(w) + 0.5)
+        assert all(e.toxic == marked[e.doc_id] for e in r.evidence)
+        odds = np.log(min(max(vote, 1e-4), 1 - 1e-4) / (1 - min(max(vote, 1e-4), 1 - 1e-4)))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(index.slope * odds + index.shift))), abs=1e-6)
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(2)
     rows = []
-    for _ in range(700):
-        at = np.unique(rng.integers(0, 30, rng.integers(1, 5)))
-        rows.append((at, rng.integers(1, 4, len(at))))
-    index = toxicity.Index(rng.random(30) + 0.5, np.arange(700), rng.integers(0, 2, 700))
-    index.build(rows)
-    dense = np.zeros((700, 30))
-    for k, (at, n) in enumerate(rows):
-        dense[k, at] = index.weigh(at, n)
-    for k in range(0, 700, 7):
-        cos = dense @ dense[k]
-        cos[k] = 0
-        want = np.lexsort((np.arange(700), -np.round(cos, 9)))[:15]
-        want = want[cos[want] > 0]
-        got, c = index.nearest(*rows[k], without=k)
-        assert got.tolist() == want.tolist() and c == pytest.approx(cos[want])
+    for k in range(700):
+        at = np.unique(rng.integers(0, 30 if k % 2 else 1500, rng.integers(1, 160)))
+        rows.append(toxicity.Example(k, int(rng.integers(0, 2)), at, rng.integers(1, 4, len(at))))
+    index = toxicity.Index(rng.random(toxicity.DIMENSIONS) + 0.5, rows)
+    place = {d: k for k, d in enumerate(index.ids.tolist())}
+    dense = np.zeros((700, 1500))
+    for e in rows:
+        dense[place[e.doc_id], e.terms] = index.weigh(e.terms, e.counts).astype(np.float32)
+    for e in rows:
+        cos = dense @ dense[place[e.doc_id]]
+        want = np.sort(cos[cos > 1e-9])[::-1][:15]
+        got, c = next(index.neighbours([(e.terms, e.counts)]))
+        assert c == pytest.approx(want, abs=1e-6) and c == pytest.approx(cos[got], abs=1e-6)
+    assert (index.length > toxicity.SHORT).sum() > 300  # lists of all three kinds
+    alone = list(index.neighbours([(rows[d].terms, rows[d].counts) for d in index.ids.tolist()], own=True))
+    assert all(k not in found for k, (found, _) in enumerate(alone))
 
 
 def test_contradicting_and_null_labels(spark, docs):
