@@ -28,9 +28,12 @@ def held_out(doc_id: str = "doc_id"):
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
 
-    Only where it is unset, as in tests, a folder under the warehouse is taken.
+    Only where it is unset, as in tests, a folder under the warehouse is taken, and only if all runs on one machine.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,20 +49,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``cut``, by a written table. For loops: a checkpoint hands its plan's constraints on, which grow with the rounds."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HOT_SHARE, HOT_ROWS, SALTS = 1000, 1000, 64
+
+
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n") -> DataFrame:
+    """Of keys and their numbers of rows, the keys that hold more than one in HOT_SHARE rows (HOT_SHARE keys at most), and HOT_ROWS rows."""
+    total = counts.agg(F.sum(n).alias("n")).first()["n"] or 0
+    return counts.where(F.col(n) > F.lit(max(total / HOT_SHARE, HOT_ROWS))).select(*key)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, which has a key once. Rows of the hot keys are dealt over SALTS tasks, each with a copy of the key's row.
+
+    ``hot`` is what ``hot_keys`` gives, so it is small enough to broadcast. ``many`` should read a checkpoint or files, whose rows keep their places.
+    """
+    small = F.broadcast(hot.select(*key, F.lit(True).alias("_hot")))
+    dealt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(small, key, "left").withColumn("_salt", dealt).drop("_hot")
+    right = one.join(small, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*key, "_salt"], how).drop("_salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``, the smallest node that each can reach; all inside Spark.
 
-    Each round sends the smallest label among a node's neighbours (pre-aggregated before the shuffle) and then
-    jumps to the label of the label, so the rounds grow with the logarithm of the path length. A round's table
-    is written to the shared folder. Nodes of large degree are only ever the many side of a join that Spark can split.
+    Each round sends the smallest label among a node's neighbours (pre-aggregated before the shuffle) and then jumps to the label
+    of the label. A round's table is written to the shared folder. Rounds grow with the logarithm of the path length for paths
+    whose ids are in no special order, and with the length at worst. Nodes of large degree and labels of large components are hot keys of
+    the joins and are dealt over several tasks.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    keep = lambda df: stored(df, "components")
+    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    large = keep(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"]))
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        near = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], large).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hooked = keep(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")))
+        giant = hot_keys(hooked.groupBy("component").agg(F.count("*").alias("n")), ["component"])
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        step = cut(hooked.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")))
+        step = keep(spread_join(hooked, jump, ["component"], giant, "left").select("node", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")))
         labels = step.select("node", "component")
         if step.where("component <> old").isEmpty():
             return labels
@@ -76,13 +112,18 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def append_from_text(docs: DataFrame, found, ddl: str) -> DataFrame:
-    """``docs`` with the columns that ``found(array of texts) -> arrays`` gives, row by row; no join, no shuffle."""
+    """``docs`` with one more column, the struct ``_found`` of what ``found(array of texts) -> arrays`` gives, row by row; no shuffle.
+
+    Names within ``ddl`` can't clash with columns of ``docs``.
+    """
     at = docs.columns.index("text")
-    names = [*docs.columns, *(part.split()[0] for part in ddl.split(","))]
+    names = [part.split()[0] for part in ddl.split(",")]
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found(batch.column(at))], names)
+            struct = pa.StructArray.from_arrays(found(batch.column(at)), names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, "_found"])
 
+    inner = ", ".join(part.strip().replace(" ", ": ") for part in ddl.split(","))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, {ddl}")
+    return docs.mapInArrow(run, f"{schema}, _found struct<{inner}>")

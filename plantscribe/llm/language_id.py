@@ -6,7 +6,9 @@ on a bounded sample (SAMPLE_ROWS documents with the smallest hashes of their ids
 temperature. A model is a table of at most DIMENSIONS x languages numbers, whatever the corpus holds.
 
 Texts that are null or have no letter are ``und`` with score 0, as all are when nothing could be learned. Rows with a null
-language aren't learned from. Other columns are never read.
+language or doc_id aren't learned from. Of equally likely languages the first in the alphabet is told. Rows that repeat a doc_id are each
+told by their text, and are learned from within the bound of the sample. Texts of any length are read whole, in their own task. An empty
+table gives no rows. Other columns are never read and may have any names.
 """
 
 from __future__ import annotations
@@ -132,6 +134,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     learnable = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     seen = learnable.select("text").mapInArrow(_count_documents, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most DIMENSIONS + 1 rows
     sample = hash_sample(learnable, "doc_id", sample_rows).mapInArrow(_sample_grams, "doc_id long, lang string, grams array<int>, counts array<int>")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "lang", "grams", "counts").limit(sample_rows)  # ids may repeat
     rows = sorted(((r.doc_id, r.lang, np.array(r.grams, np.int64), np.array(r.counts, np.int64)) for r in sample.collect() if r.grams), key=lambda r: (hash_order(r[0]), r[1], len(r[2])))
     frequency = np.zeros(DIMENSIONS)
     total = int(seen.n[seen.gram == -1].sum())
@@ -164,10 +167,10 @@ def _predict(model: Model):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each row; no shuffle."""
     found = append_from_text(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _predict(model), "lang_pred string, score double")
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "_found.lang_pred", "_found.score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least that probability."""
-    found = append_from_text(docs, _predict(model), "lang_pred string, lang_score double")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
+    found = append_from_text(docs, _predict(model), "lang_pred string, score double")
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select(*docs.columns)

@@ -42,16 +42,41 @@ def near_copies(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_substrings_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_STRINGS", hot)
+@pytest.mark.parametrize("part", [substring_dedup.PART_WINDOWS, 40])
+def test_substrings_against_brute_force(spark, part):
     docs = near_copies(5) + list(enumerate(TEXTS, 1000))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = substring_dedup.deduplicate(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substring_dedup.deduplicate(df, part_windows=part).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == brute_substrings(docs)
     assert sum(r.n_removed for r in got) > 1000
 
 
+def test_bucket_of_many_strings_is_dealt_in_parts(spark):
+    """One passage in 3,000 documents with different words around it; no part holds more than its share."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(d, " ".join([*(f"w{rng.randrange(10**9)}" for _ in range(30)), passage, *(f"w{rng.randrange(10**9)}" for _ in range(30))])) for d in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.deduplicate(df, part_windows=5000).collect()}
+    assert got == {d: 60 * (d > 0) for d, _ in docs}
+
+
+def test_periodic_megabytes(spark):
+    """One super-k-mer as long as the text: its windows are dealt in parts too."""
+    text = " ".join(["ab cd ef"] * 250_000)
+    docs = [(1, text), (2, "x y z " + text), (3, "q " * 70)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.deduplicate(df).collect()}
+    assert got == {1: (750_000, 0), 2: (750_003, 750_000), 3: (70, 0)}
+
+
+def test_one_row_twenty_thousand_times(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = spark.range(20_000).selectExpr("cast(7 as long) doc_id", f"'{text}' text").union(spark.createDataFrame([(9, text)], "doc_id long, text string"))
+    got = substring_dedup.deduplicate(rows).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 0, 20_000), (9, 80, 1)]
+
+
 def test_substrings_odd_rows(spark, odd_docs, no_docs):
     assert substring_dedup.deduplicate(no_docs).count() == 0
     twice = odd_docs.union(odd_docs).unionByName(odd_docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "length", "piece", "component", "rep"))
