@@ -5,7 +5,9 @@ decodes the sample tables (stts, stsc, stsz, stco/co64, stss) and reports codec,
 sync samples without touching the payload; ``read_samples`` follows the same tables to the stored bytes.
 
 Null payloads count as empty. Equal payloads give equal containers: nothing else enters them. A container that can't be
-walked gives a null codec and an ``error`` text instead of failing the job.
+walked gives a null codec and an ``error`` text instead of failing the job; of a file with several tracks the first is told. Repeated
+rows are stored each. Rows are handled in stretches of some megabytes, a longer one alone (a container of 2 GB is the format's bound
+here). An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE_BYTES, SAMPLES_PER_CHUNK, SYNC_EVERY, TIMESCALE = 192, 64, 16, 8000
@@ -155,11 +158,22 @@ def read_samples(data: bytes, track: Track) -> bytes:
     return b"".join(data[int(track.offsets[a]) : int(ends[b - 1])] for a, b in zip([0, *breaks], [*breaks, len(ends)], strict=True))
 
 
+def bounded(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch with about ``most`` bytes in that column; a longer value stands alone."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = 256  # a few MB of containers at a time
-        for k in range(0, batch.num_rows, step):
-            part = batch.slice(k, step)
+        for part in bounded(batch, 1):
             raw = [(x.as_py() or "").encode("utf-8", "replace") for x in part.column(1)]
             media = [mux(pad(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -170,6 +184,12 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
 
 
+def store(media: DataFrame, path: str) -> str:
+    """Write the media column as a table of its own, to a folder that driver and executors share."""
+    media.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,length:long>>, error string"
 
 
@@ -193,7 +213,7 @@ def _features(doc_id: int, n_bytes: int, media: bytes) -> dict:
 
 def _probe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "codec": pa.string(), "duration_s": pa.float64(), "n_samples": pa.int64(), "keyframes": pa.list_(pa.struct({"offset": pa.int64(), "length": pa.int64()})), "error": pa.string()}
-    for batch in batches:
+    for batch in (part for whole in batches for part in bounded(whole, 2)):
         rows = [_features(d.as_py(), n.as_py(), m.as_py() or b"") for d, n, m in zip(*batch.columns, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], list(kinds))
 

@@ -30,7 +30,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = iso_media.probe_media(iso_media.to_media(table(spark, sf_dir, "documents")))
+    path = iso_media.store(iso_media.to_media(table(spark, sf_dir, "documents")), scratch(spark, "iso-media"))
+    found = iso_media.probe_media(spark.read.parquet(path))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
