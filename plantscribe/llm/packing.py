@@ -4,9 +4,12 @@ Documents become runs of token ids; only those longer than a sequence are cut. A
 counts of open sequences per residual gap becomes smallest (ties: the smallest gap left), which keeps gaps of every size
 in stock instead of piling up one useless kind. Pieces are placed longest first.
 
-Placement is sequential by nature, so pieces are dealt by a hash into groups of about GROUP_PIECES and each group is packed
-by one task: the groups' number grows with the input, their size doesn't. A group of that size wastes about one part
-in a thousand. Null texts pack as empty ones: their end id. Repeated rows are packed each.
+Placement is sequential by nature, so pieces are numbered, dealt by a hash of their number into groups of about GROUP_PIECES and
+each group is packed by one task: the groups' number grows with the input, their size doesn't, whatever the rows repeat. A group of
+that size wastes about one part in a thousand.
+
+Null texts pack as empty ones: their end id. Texts of any length are cut in their own task. Repeated rows are packed each, equal lengths
+in the order of doc_id and piece. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +91,7 @@ def _pack_group(capacity: int):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """PIECES -> PIECES, sequence_id, offset. The pieces are materialised once: their number sets that of the groups."""
-    pieces = cut(pieces)
+    pieces = cut(pieces.withColumn("number", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("number"), F.lit(groups))).drop("number")
     return dealt.groupBy("pack_group").applyInPandas(_pack_group(capacity), PIECES + ", sequence_id long, offset long")

@@ -1,11 +1,12 @@
 """Token ids as ORC: integer run lengths, row indexes and Bloom filters on document ids.
 
 Texts are dealt by ranges of doc_id and sorted before they are encoded, so the files hold the ids in ascending doc_id
-order (rows of one doc_id: by text, nulls first) and one task holds no more than its range. Each row keeps its start
+order. Rows of one doc_id may spread over several files, in any order; within a file they are in the order of their texts, nulls first. Each row keeps its start
 within its file; the start in the whole output needs one sum per file. Readers take stripes in parallel, skip stripes and
 row groups by the index of doc_id, and by its Bloom filter for point look-ups.
 
-Null and empty texts are the end id alone. Other columns of the input are not written.
+Null and empty texts are the end id alone. Texts of any length are encoded whole, in their own task. An empty table gives no rows.
+Other columns of the input are not written.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ def _encode(vocabulary: str):
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
     """Encode ``(doc_id, text)`` and write ORC files to ``path``, a folder that driver and executors share."""
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_any", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1024)))
+    ordered = ordered.repartitionByRange("doc_id", "_any").drop("_any").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode(vocabulary or default_vocabulary()), SCHEMA).write.options(**OPTIONS).orc(path)
     return path
 
