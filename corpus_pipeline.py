@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept; all but the last return the
 columns of ``documents``.
+
+In every stage null and empty texts count as texts without words (the language stage drops them, having no letter), rows that repeat a
+doc_id or have none are judged one by one, ties go to the smaller doc_id, texts are read whole, an empty table stays empty, and other
+columns than those of ``documents`` are left behind whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays."""
-    first = shingle_dedup.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) one row stays, that of the smallest doc_id.
+
+    Bit-sliced SimHash comparison finds the pairs, exact similarity confirms them.
+    """
+    rows = shingle_dedup.numbered(docs.select(*COLUMNS))
+    return rows.join(shingle_dedup.representatives(rows), "row", "left_semi").select(*COLUMNS)
 
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

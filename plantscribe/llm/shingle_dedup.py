@@ -1,14 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by bit-sliced SimHash comparison, confirmed by exact Jaccard similarity of word shingles.
 
 Two texts link where the sets of their WORDS-word shingles (lower-cased A-Z) have a Jaccard similarity of SIMILAR or more.
-Texts with equal sets are one node (128-bit digest of the set). Candidates share one of BANDS MinHash keys of ROWS minima
-each; at a similarity of 0.8 a pair shares none with a probability of 0.0004. A key links its nodes to their smallest one, not
-in pairs, and nodes joined by such links are a group: no candidate pair is lost, and rows grow with the nodes only. Each
-group's sets meet in a task, where pairs that share a key and aren't joined yet are compared exactly. A group beyond CHUNK
-nodes is dealt in pairs of chunks.
+Texts with equal sets are one node (128-bit digest of the set). A fingerprint wide enough for 0.8 can't be cut into blocks that
+agree, so groups are formed first: nodes that share one of BANDS MinHash keys of ROWS minima each are joined to the key's smallest
+node, not in pairs, and nodes joined by such links are a group; rows grow with the nodes only. At a similarity of 0.8 a pair
+shares no key with a probability of 0.0004. Each group meets in a task, where the SimHash fingerprints of the shingles are compared
+bit-sliced (``simhash.links_of``): at 0.8 some 10 of 64 bits differ, and more than RADIUS with a probability below 0.0001. Pairs
+within the radius that aren't joined yet are compared exactly. A group beyond CHUNK nodes is dealt in pairs of chunks.
 
 Shingles are 64-bit hashes. Null, empty and blank texts have the empty set and are copies of each other; shorter texts have one
-shingle. Rows without a doc_id get the component of their set, null if no row with a doc_id has it.
+shingle. Rows are told apart by a number of their own, so rows that repeat a doc_id or have none are compared like any other.
+Texts of any length are hashed whole, in their own task. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, hot_keys, spread_join, stored
+from .simhash import links_of
 
-WORDS, SIMILAR, BANDS, ROWS, CHUNK, SEED = 5, 0.8, 20, 5, 1024, 42
+WORDS, SIMILAR, RADIUS, BANDS, ROWS, CHUNK, SEED = 5, 0.8, 26, 20, 5, 1024, 42
 FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,7 +80,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(x.as_py()) for x in batch.column(1)]
         digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), digests, _lists([bands(x) for x in sets])], ["doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), digests, _lists([bands(x) for x in sets])], ["row", "digest", "bands"])
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """The majority of each bit over the shingles, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(own[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,19 +96,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             sets = [shingles(x.as_py()) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), _lists([bands(x) for x in sets]), _lists(sets)], ["node", "grp", "chunks", "bands", "own"])
+            prints = pa.array([fingerprint(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), prints, _lists(sets)], ["node", "grp", "chunks", "fp", "own"])
 
 
-def forest(nodes: list[int], keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def forest(nodes: list[int], fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that join all linked nodes of a group, at most one fewer than nodes."""
     root, sizes, edges = np.arange(len(nodes)), np.array([len(x) for x in sets]), []
-    for i in range(len(nodes) - 1):
-        near = (keys[i + 1 :] == keys[i]).any(axis=1) & (root[i + 1 :] != root[i])
-        near &= np.minimum(sizes[i + 1 :], sizes[i]) >= SIMILAR * np.maximum(sizes[i + 1 :], sizes[i])
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if root[j] != root[i] and jaccard(sets[i], sets[j]) >= SIMILAR:
-                edges.append((nodes[i], nodes[j]))
-                root[root == root[j]] = root[i]
+    for first in range(0, len(nodes), 256):
+        rows, others = links_of(fps, first, min(first + 256, len(nodes)), RADIUS)
+        for i, js in zip(np.unique(rows).tolist(), np.split(others, np.flatnonzero(np.diff(rows)) + 1), strict=True) if len(rows) else ():
+            js = js[(root[js] != root[i]) & (np.minimum(sizes[js], sizes[i]) >= SIMILAR * np.maximum(sizes[js], sizes[i]))]
+            for j in js.tolist():
+                if root[j] != root[i] and jaccard(sets[i], sets[j]) >= SIMILAR:
+                    edges.append((nodes[i], nodes[j]))
+                    root[root == root[j]] = root[i]
     return edges
 
 
@@ -105,41 +118,62 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket -> edges."""
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
-        if len(rows) > 1 and (found := forest([r[0] for r in rows], np.stack([r[1] for r in rows]), [r[2] for r in rows])):
+        if len(rows) > 1 and (found := forest([r[0] for r in rows], np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows])):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     held, bucket = [], None
     for batch in batches:
-        for k, (b, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        for k, (b, node, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
             if b != bucket:
                 yield from flush(held)
                 held, bucket = [], b
-            # copied: a view would hold its whole batch
-            held.append((node, batch.column(2)[k].values.to_numpy().copy(), batch.column(3)[k].values.to_numpy().view(np.uint64).copy()))
+            held.append((node, fp, batch.column(3)[k].values.to_numpy().view(np.uint64).copy()))  # a view would hold its whole batch
     yield from flush(held)
 
 
-def edges(docs: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Texts of ``docs`` and distinct sets ``(node, bands)`` -> forest edges ``(a, b)`` of all links."""
+def edges(rows: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Texts of ``rows`` and distinct sets ``(node, bands)`` -> forest edges ``(a, b)`` of all links."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    groups = connected_components(keyed.join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    members = cut(groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "chunks"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members, "doc_id")
-    rows = texts.mapInArrow(_sets, "node long, grp long, chunks int, bands array<long>, own array<long>")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a", "n")
+    first = cut(first)
+    met = spread_join(keyed, first.select("key", "a"), ["key"], hot_keys(first, ["key"]))
+    groups = connected_components(met.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("n")))
+    sized = spread_join(groups, sizes.select("component", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), ["component"], hot_keys(sizes, ["component"]))
+    members = cut(sized.select(F.col("node").alias("row"), F.col("component").alias("grp"), "chunks"))
+    found = rows.select("row", "text").join(members, "row").mapInArrow(_sets, "node long, grp long, chunks int, fp long, own array<long>")
+    found = found.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     partners = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("mine")))
-    rows = rows.withColumn("other", F.explode(partners))
+    found = found.withColumn("other", F.explode(partners))
     bucket = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))  # mixing two buckets adds only true links
-    placed = rows.select(bucket.alias("bucket"), "node", "bands", "own").repartition("bucket").sortWithinPartitions("bucket")
+    placed = found.select(bucket.alias("bucket"), "node", "fp", "own").repartition("bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(_compare, "a long, b long")
 
 
+def components(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(row, text)``, rows numbered and stored -> ``(row, component)``, the smallest row of each group."""
+    marked = cut(rows.select("row", F.col("text").cast("string")).mapInArrow(_describe, "row long, digest binary, bands array<long>"))
+    counted = cut(marked.groupBy("digest").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    labels = connected_components(edges(rows, counted.select("node", "bands"), chunk))
+    named = counted.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return spread_join(marked.select("row", "digest"), named, ["digest"], hot_keys(counted, ["digest"])).select("row", "component")
+
+
+def representatives(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(row, doc_id, text)`` -> the ``row`` of each group that has the smallest doc_id; one without a doc_id only where no row has one."""
+    met = components(rows, chunk).join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")
+    return met.groupBy("component").agg(first).select("m.row")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, as a stored table."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, component_id`` of each row."""
-    marked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_describe, "doc_id long, digest binary, bands array<long>"))
-    nodes = cut(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    labels = connected_components(edges(docs, nodes.where("node IS NOT NULL"), chunk))
-    named = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "digest").select("doc_id", "component_id")
+    """``doc_id, component_id`` of each row: the smallest doc_id of its group, null if none has one."""
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    met = cut(components(rows, chunk).join(rows.select("row", "doc_id"), "row"))
+    named = cut(met.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    return spread_join(met, named.drop("n"), ["component"], hot_keys(named, ["component"])).select("doc_id", "component_id")

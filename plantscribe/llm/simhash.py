@@ -2,13 +2,16 @@
 
 A fingerprint has the majority of each bit over the hashes of a text's word shingles. Two fingerprints link at RADIUS or
 fewer differing bits. With the 64 bits cut into RADIUS + 2 blocks, linked fingerprints agree on two blocks at least, so every
-pair of blocks is a table of buckets and no link is lost. Rows of a partition are compared in blocks: bit planes lie
+pair of blocks is a table of buckets and no link is lost. Where a billion fingerprints would crowd the buckets, three of RADIUS + 3
+blocks or four of RADIUS + 4 have to agree, which loses none either. Rows of a partition are compared in blocks: bit planes lie
 vertically, one machine word holds the same bit of 64 fingerprints, carry-save counters add up 64 distances at once, and a
 block is abandoned once all of its distances exceed the radius. A bucket beyond CHUNK rows is dealt in pairs of chunks, so
 that no task holds more than two chunks of it. A block gives the edges of a spanning forest of its links, not all pairs.
 
 Copies with one fingerprint are one node. Null, empty and blank texts have fingerprint zero and link like any other. Rows
-without a doc_id get the component of their fingerprint, null if no row with a doc_id has it. Other columns are ignored.
+without a doc_id get the component of their fingerprint, null if no row with a doc_id has it. Rows that repeat a doc_id are nodes of their
+own fingerprints; where these differ, the doc_id names both components. Texts of any length are hashed whole, in their own task. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut, split_words
+from .common import connected_components, cut, hot_keys, spread_join
 
 SHINGLE, SEED, RADIUS, CHUNK, BLOCK = 4, 42, 4, 2048, 1024
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -131,17 +134,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(held[0].view(np.uint64), held[1])
 
 
-def bucket_masks(radius: int = RADIUS) -> list[int]:
-    """Masks of two of radius + 2 blocks each, as signed longs."""
-    cuts = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
+def bucket_masks(radius: int = RADIUS, agreeing: int = 2) -> list[int]:
+    """Masks of ``agreeing`` of radius + agreeing blocks each, as signed longs."""
+    n = radius + agreeing
+    cuts = [round(64 * k / n) for k in range(n + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    masks = [a | b for a, b in combinations(blocks, 2)]
+    masks = [sum(own) for own in combinations(blocks, agreeing)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def edges(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def agreeing_blocks(fingerprints: int, per_bucket: int = 512, radius: int = RADIUS) -> int:
+    """Blocks to agree on, so that evenly spread fingerprints leave no more than ``per_bucket`` in a bucket: 2 to 4."""
+    for n in (2, 3):
+        if fingerprints <= per_bucket << (64 * n // (radius + n)):
+            return n
+    return 4
+
+
+def edges(nodes: DataFrame, chunk: int = CHUNK, agreeing: int | None = None) -> DataFrame:
     """Distinct fingerprints ``(fp, node)`` -> forest edges ``(a, b)`` of all links."""
-    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(bucket_masks())))
+    masks = bucket_masks(agreeing=agreeing or agreeing_blocks(nodes.count()))
+    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)))
     dealt = nodes.select("fp", "node", F.explode(tables).alias("b")).select("fp", "node", "b.t", "b.key")
     met = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     rows = dealt.join(cut(met.select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))), ["t", "key"])
@@ -156,7 +169,8 @@ def edges(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row."""
     marked = cut(fingerprints(docs))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    labels = connected_components(edges(nodes.where("node IS NOT NULL")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    labels = connected_components(edges(nodes.where("node IS NOT NULL").select("fp", "node")))
     named = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    met = spread_join(marked, named, ["fp"], hot_keys(nodes, ["fp"]))
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
