@@ -210,6 +210,13 @@ def summarise(seeds: DataFrame, subgraph: DataFrame, types: DataFrame) -> DataFr
     return nodes.join(subgraph.groupBy("seed").agg(F.count("*").alias("n_edges")), "seed", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
+def relations_of(edges: DataFrame) -> DataFrame:
+    """``tag, relation, other, direction`` for both ends of each edge, self-loops left out."""
+    proper = edges.where("src <> dst")
+    out = proper.select(F.col("src").alias("tag"), "relation", F.col("dst").alias("other"), F.lit("out").alias("direction"))
+    return out.unionByName(proper.select(F.col("dst").alias("tag"), "relation", F.col("src").alias("other"), F.lit("in").alias("direction")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Edges that touch each node, self-loops left out."""
     proper = edges.where("src <> dst")

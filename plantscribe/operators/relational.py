@@ -75,18 +75,30 @@ def work_order_lookup(questions: DataFrame, orders: DataFrame, text: str = "ques
 def keyword_search(incidents: DataFrame, history: DataFrame, limit: int = 5) -> DataFrame:
     """``incident_id, text`` against ``wo_id, description, completed_date``: rows with any keyword, newest first.
 
-    Substring matches can't be hashed; keywords (at most six an incident) are matched through the distinct words of the
-    descriptions: words are small and few, and only words that contain a keyword join back.
+    Keywords have three characters at least, so a word that contains one has its first three. The distinct words of the descriptions
+    meet the keywords by these, are compared whole, and only words with a keyword join back; work is linear in the words' lengths.
     """
     asked = incidents.select("incident_id", F.explode(X.keywords(F.col("text"))).alias("keyword"))
     words = history.select("wo_id", "completed_date", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("description"), F.lit(r"[a-z0-9\-]+"), F.lit(0)))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    pieces = vocabulary.select("word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda s: F.transform(F.sequence(F.lit(1), F.length("word") - s + 1), lambda n: F.substring("word", s, n)))))).alias("keyword"))
-    hits = pieces.join(asked.select("keyword").distinct(), "keyword", "left_semi")
+    vocabulary = words.select("word").distinct().where("length(word) > 2")
+    threes = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda k: F.substring("word", k, F.lit(3))))).alias("three"))
+    keywords = asked.select("keyword").distinct().withColumn("three", F.substring("keyword", 1, 3))
+    hits = threes.join(keywords, "three").where(F.col("word").contains(F.col("keyword"))).select("word", "keyword")
     found = asked.join(hits, "keyword").select("incident_id", "word").distinct().join(words, "word").select("incident_id", "wo_id", "completed_date").distinct()
     return found.withColumn("rank", F.row_number().over(W.partitionBy("incident_id").orderBy(F.desc_nulls_last("completed_date"), "wo_id"))).where(F.col("rank") <= limit)
 
 
+def failure_lines(history: DataFrame):
+    """``tag, code, description, occurrences`` -> one line of text each."""
+    return history.select("tag", F.concat(F.lit("- "), "tag", F.lit(": "), "description", F.lit(" ("), "code", F.lit(", "), F.col("occurrences").cast("string"), F.lit("x)")).alias("line"))
+
+
+def work_order_lines(orders: DataFrame) -> DataFrame:
+    """One line of text for each order; a null date is ``unscheduled``."""
+    day = F.coalesce(F.date_format("scheduled_date", "yyyy-MM-dd"), F.lit("unscheduled"))
+    return orders.select(F.concat(F.lit("- "), "wo_id", F.lit(" ["), "status", F.lit("/"), "priority", F.lit("] scheduled "), day).alias("line"))
+
+
 def fan_out(incidents: DataFrame) -> DataFrame:
     """One retrieval question per incident and cause category."""
     return incidents.select("incident_id", F.explode(F.array(*map(F.lit, CAUSE_CATEGORIES))).alias("category"), "text").withColumn("query_text", F.concat_ws(" ", "text", "category"))

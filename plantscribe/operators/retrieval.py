@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from ..session import cut
 
 K1, TOP_CAP, RERANK_CAP, BUDGET_TOKENS = 1.5, 50, 12, 6000
 
@@ -31,15 +32,29 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
     return queries.select(query, *extra, F.explode(F.array_distinct(X.index_tokens(F.col(text)))).alias("term"))
 
 
-def bm25(rows: DataFrame, terms: DataFrame, keys: list[str], document: str = "doc_id", scope: list[str] = (), k: int = 10) -> DataFrame:
+def asked_postings(chunks: DataFrame, terms: DataFrame, keys: list[str], scope: list[str] = (), text: str = "text") -> DataFrame:
+    """``keys, scope, term, tf`` of the terms that queries ask for, and of the empty term, which every chunk with a token has.
+
+    One pass over the texts: terms that nobody asks for go before anything is counted or shuffled, and the empty term's rows give the
+    size of the corpus. What is left is small and kept, since frequencies, size and scores all read it.
+    """
+    wanted = terms.select(*scope, "term").distinct()
+    wanted = wanted.unionByName(wanted.select(*scope, F.lit("").alias("term")).distinct())
+    own = [c for c in scope if c not in keys]
+    tokens = chunks.select(*keys, *own, X.index_tokens(F.col(text)).alias("_t")).withColumn("_n", F.size("_t")).where("_n > 0")
+    each = tokens.select(*keys, *own, "_n", F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(wanted, [*scope, "term"], "left_semi")
+    return cut(each.groupBy(*keys, *own, "_n", "term").agg(F.count("*").alias("_c")).select(*keys, *own, "term", (F.col("_c") / F.col("_n")).alias("tf")))
+
+
+def bm25(chunks: DataFrame, terms: DataFrame, keys: list[str], document: str = "doc_id", scope: list[str] = (), k: int = 10) -> DataFrame:
     """Best chunks of each query: ``query_id, keys, score, rank``; scores over the query's best score.
 
-    Terms come first: postings of terms that nobody asks for go before document frequencies are counted. Ranks are
-    ``row_number``, which Spark pre-limits per partition. The formula has no length normalisation.
+    Ranks are ``row_number``, which Spark pre-limits per partition. The formula has no length normalisation.
     """
     k = min(k, TOP_CAP)
-    total = rows.groupBy(*scope).agg(F.countDistinct(document).alias("_N"))
-    asked = rows.join(terms.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+    rows = asked_postings(chunks, terms, keys, scope)
+    total = rows.where("term = ''").groupBy(*scope).agg(F.countDistinct(document).alias("_N"))
+    asked = rows.where("term <> ''")
     matched = terms.join(asked, [*scope, "term"]).join(document_frequencies(asked, document, scope), [*scope, "term"])
     matched = matched.join(total, list(scope)) if scope else matched.join(F.broadcast(total))  # one row
     idf = F.log((F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -50,42 +65,51 @@ def bm25(rows: DataFrame, terms: DataFrame, keys: list[str], document: str = "do
     return top.select("query_id", *keys, F.round(F.col("_s") / F.when(peak == 0, 1.0).otherwise(peak), 6).alias("score"), "rank")
 
 
-BLOCK = 2048
+QUERY_BLOCK = 4096
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, query: str = "query_id", item: str = "vec_id", vector: str = "embedding", block: int = BLOCK, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine neighbours of a stated query set against all rows, in blocks: ``query_id, item, score, rank``.
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, query: str = "query_id", item: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK, exclude_self: bool = False) -> DataFrame:
+    """Exact cosine neighbours of a stated query set against all rows, in blocks of queries: ``query_id, item, score, rank``.
 
-    Both sides are packed into blocks of about ``block`` vectors; each pair of blocks is one matrix product of which only the k
-    best of each query leave the task. No side is broadcast or collected.
+    A block of at most ``block`` query vectors goes to the tasks (32 MB at 1,024 dimensions); the rows stream past it where they
+    are read, one matrix product a batch, and only the k best of each query leave a task. Rows are neither grouped nor shuffled, and
+    what is sent doesn't grow with them. Ties: the smaller id.
     """
     k = min(k, TOP_CAP)
-
-    def blocks(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // block))
-        cut = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"_{name}"), F.struct(F.col(key).cast("long").alias("i"), X.unit(F.col(vector)).alias("v")).alias("x"))
-        return cut.groupBy(f"_{name}").agg(F.collect_list("x").alias(name)), n
-
-    q, nq = blocks(queries, query, "q")
-    r, _ = blocks(rows, item, "r")
-    pairs = r.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, "_q")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                qi, qv = (left.values.field(f) for f in (0, 1))
-                ri, rv = (right.values.field(f) for f in (0, 1))
-                qi, ri = qi.to_numpy(), ri.to_numpy()
-                score = np.stack(qv.to_numpy(zero_copy_only=False)) @ np.stack(rv.to_numpy(zero_copy_only=False)).T
+    ordered = queries.select(F.col(query).cast("long").alias("q"), X.unit(F.col(vector)).alias("v"))
+    numbered = ordered.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() * 5 // (block * 4))))))
+
+    def search(ids: np.ndarray, vectors: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query place, item, score
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                flat = batch.column(1)
+                score = np.round(vectors @ flat.flatten().to_numpy().reshape(len(own), -1).T, 9)
                 if exclude_self:
-                    score[qi[:, None] == ri[None, :]] = -np.inf
-                score = np.round(score, 9)
-                for a, own in zip(qi.tolist(), score, strict=True):
-                    best = np.lexsort((ri, -own))[:k]
-                    best = best[np.isfinite(own[best])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a)), pa.array(ri[best]), pa.array(own[best])], ["query_id", item, "_s"])
-
-    found = pairs.select("q", "r").mapInArrow(multiply, f"query_id long, {item} long, _s double")
+                    score[ids[:, None] == own[None, :]] = -np.inf
+                few = min(k, len(own))
+                floor = np.partition(score, -few, axis=1)[:, -few]
+                at, col = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+                new = [at, own[col], score[at, col]]
+                held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+                order = np.lexsort((held[1], -held[2], held[0]))
+                held = [x[order] for x in held]
+                place = np.arange(len(order)) - np.searchsorted(held[0], held[0])
+                held = [x[place < k] for x in held]
+            if len(held[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", item, "_s"])
+
+        return run
+
+    found = None
+    for b in sorted(r["b"] for r in numbered.select("b").distinct().collect()):  # one small number a block
+        own = numbered.where(F.col("b") == b).select("q", "v").toPandas()
+        vectors = np.stack(own.v.to_list())
+        part = rows.select(F.col(item).cast("long"), X.unit(F.col(vector)).alias("v")).mapInArrow(search(own.q.to_numpy(), vectors), f"query_id long, {item} long, _s double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.select(F.lit(0).cast("long").alias("query_id"), F.col(item).cast("long"), F.lit(0.0).alias("_s")).limit(0)
     order = W.partitionBy("query_id").orderBy(F.desc("_s"), item)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", item, F.round("_s", 6).alias("score"), "rank")
 

@@ -91,23 +91,23 @@ def merge_entities(spark, sf_dir):
 
 
 NODES_SQL = """nodes AS (SELECT 'R-' || r_regionkey AS tag, 'Asset' AS node_type, r_name AS name FROM region UNION ALL SELECT 'N-' || n_nationkey, 'Asset', n_name FROM nation
- UNION ALL SELECT 'CMP-' || s_suppkey, 'Equipment', s_name FROM supplier UNION ALL SELECT 'P-' || p_partkey, 'Equipment', p_name FROM part WHERE p_partkey <= 500),
+ UNION ALL SELECT 'CMP-' || s_suppkey, 'Equipment', s_name FROM supplier UNION ALL SELECT 'P-' || p_partkey, 'Equipment', p_name FROM part),
 edges AS (SELECT 'N-' || n_nationkey AS src, 'IS_PART_OF' AS relation, 'R-' || n_regionkey AS dst FROM nation UNION ALL SELECT 'CMP-' || s_suppkey, 'IS_PART_OF', 'N-' || s_nationkey FROM supplier
- UNION ALL SELECT DISTINCT 'P-' || l_partkey, 'IS_PART_OF', 'CMP-' || l_suppkey FROM lineitem WHERE l_linenumber = 1)"""
+ UNION ALL SELECT DISTINCT 'P-' || l_partkey, 'IS_PART_OF', 'CMP-' || l_suppkey FROM lineitem)"""
 
 
 def nodes(spark, sf_dir):
-    def tagged(name, prefix, key, kind, label, where="true"):
-        return read(spark, sf_dir, name).where(where).select(F.concat(F.lit(prefix), key).alias("tag"), F.lit(kind).alias("node_type"), F.col(label).alias("name"))
+    def tagged(name, prefix, key, kind, label):
+        return read(spark, sf_dir, name).select(F.concat(F.lit(prefix), key).alias("tag"), F.lit(kind).alias("node_type"), F.col(label).alias("name"))
 
-    return tagged("region", "R-", "r_regionkey", "Asset", "r_name").unionByName(tagged("nation", "N-", "n_nationkey", "Asset", "n_name")).unionByName(tagged("supplier", "CMP-", "s_suppkey", "Equipment", "s_name")).unionByName(tagged("part", "P-", "p_partkey", "Equipment", "p_name", "p_partkey <= 500"))
+    return tagged("region", "R-", "r_regionkey", "Asset", "r_name").unionByName(tagged("nation", "N-", "n_nationkey", "Asset", "n_name")).unionByName(tagged("supplier", "CMP-", "s_suppkey", "Equipment", "s_name")).unionByName(tagged("part", "P-", "p_partkey", "Equipment", "p_name"))
 
 
 def edges(spark, sf_dir):
     def linked(df, a, b):
         return df.select(F.concat(*a).alias("src"), F.lit("IS_PART_OF").alias("relation"), F.concat(*b).alias("dst"))
 
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return linked(read(spark, sf_dir, "nation"), (F.lit("N-"), "n_nationkey"), (F.lit("R-"), "n_regionkey")).unionByName(linked(read(spark, sf_dir, "supplier"), (F.lit("CMP-"), "s_suppkey"), (F.lit("N-"), "s_nationkey"))).unionByName(linked(line, (F.lit("P-"), "l_partkey"), (F.lit("CMP-"), "l_suppkey")))
 
 
@@ -183,6 +183,12 @@ def node_degrees(spark, sf_dir):
     return G.degrees(edges(spark, sf_dir))
 
 
+@registry.add(f"WITH {NODES_SQL} SELECT src AS tag, relation, dst AS other, 'out' AS direction FROM edges WHERE src <> dst UNION ALL SELECT dst, relation, src, 'in' FROM edges WHERE src <> dst")
+def node_relations(spark, sf_dir):
+    """Each node's relations as rows, not as one array of a hub's."""
+    return G.relations_of(edges(spark, sf_dir))
+
+
 @registry.add(f"WITH {NODES_SQL} SELECT list_sort(list(DISTINCT node_type)) AS node_types FROM nodes")
 def node_types(spark, sf_dir):
     return nodes(spark, sf_dir).agg(F.array_sort(F.collect_set("node_type")).alias("node_types"))
@@ -204,7 +210,13 @@ def failure_history(spark, sf_dir):
     return exhibits.join(owners, "tag", "left_semi").join(modes, "code").groupBy("tag", "code", "description").agg(F.count("*").alias("occurrences"))
 
 
-LESSONS_SQL = """les AS (SELECT e.vec_id AS lesson_id, e.embedding, CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE left(d.text, 30) END AS summary, left(d.text, 60) AS description FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 3 <> 0),
+@registry.add(f"""WITH {NODES_SQL}, ex AS (SELECT 'CMP-' || l_suppkey AS src, 'FM-' || (l_quantity::INT % 10) AS dst FROM lineitem WHERE l_returnflag = 'R'), fm AS (SELECT 'FM-' || k AS code, 'failure ' || k AS description FROM range(0, 8) t(k))
+SELECT n.tag, '- ' || n.tag || ': ' || fm.description || ' (' || fm.code || ', ' || count(*) || 'x)' AS line FROM ex JOIN nodes n ON n.tag = ex.src AND n.node_type = 'Equipment' JOIN fm ON fm.code = ex.dst GROUP BY n.tag, fm.code, fm.description""")
+def failure_lines(spark, sf_dir):
+    return O.failure_lines(failure_history(spark, sf_dir))
+
+
+LESSONS_SQL = """les AS (SELECT e.vec_id AS lesson_id, e.embedding, CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE upper(d.lang) || ': ' || d.text END AS summary, d.text AS description FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 3 <> 0),
 qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 20 = 0),
 lv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 sm AS (SELECT query_id, vec_id AS lesson_id, round(list_dot_product(qv.e, lv.e) / sqrt(list_dot_product(qv.e, qv.e)) / sqrt(list_dot_product(lv.e, lv.e)), 9) AS s FROM qv, lv WHERE query_id <> vec_id),
@@ -212,7 +224,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, lesso
 
 
 def lessons(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("lesson_id"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.substring("text", 1, 30)).alias("summary"), F.substring("text", 1, 60).alias("description"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("lesson_id"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.upper("lang"), F.lit(": "), "text")).alias("summary"), F.col("text").alias("description"))
     return d.join(read(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("lesson_id")), "lesson_id", "left_semi")
 
 

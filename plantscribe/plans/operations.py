@@ -95,8 +95,7 @@ def work_order_lookup(spark, sf_dir):
 
 @registry.add(f"WITH {WO_SQL} SELECT '- ' || wo_id || ' [' || status || '/' || priority || '] scheduled ' || coalesce(strftime(scheduled_date, '%Y-%m-%d'), 'unscheduled') AS line FROM wo")
 def work_order_lines(spark, sf_dir):
-    line = F.concat(F.lit("- "), "wo_id", F.lit(" ["), "status", F.lit("/"), "priority", F.lit("] scheduled "), F.coalesce(F.date_format("scheduled_date", "yyyy-MM-dd"), F.lit("unscheduled")))
-    return work_orders(spark, sf_dir).select(line.alias("line"))
+    return O.work_order_lines(work_orders(spark, sf_dir))
 
 
 KEYWORDS_SQL = rf"list_filter(regexp_extract_all(lower(text), '[A-Za-z0-9\-]+'), lambda x: length(x) > 2 AND NOT list_contains({sql_list(X.KEYWORD_STOP_WORDS)}, x))"

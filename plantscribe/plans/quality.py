@@ -11,12 +11,12 @@ from .retrieval import BM25_SQL, RERANK_SQL, lexical, questions, reranked
 
 registry = Registry()
 KEYS = ["conv_id", "turn"]
-ANSWER_SQL = "ans AS (SELECT conv_id, turn, left(text, 40) || ' [source_' || (turn % 4) || '] and [SOURCE_2] ' || substr(text, 41, 20) || '[source_9] [source_' || turn || '].' AS answer, 3 AS n_sources FROM conversations)"
+ANSWER_SQL = "ans AS (SELECT conv_id, turn, left(text, 40) || ' [source_' || (turn % 4) || '] and [SOURCE_2] ' || substr(text, 41) || '[source_9] [source_' || turn || '].' AS answer, 3 AS n_sources FROM conversations)"
 
 
 def answers(spark, sf_dir):
     t = F.col("turn")
-    text = F.concat(F.substring("text", 1, 40), F.lit(" [source_"), t % 4, F.lit("] and [SOURCE_2] "), F.substring("text", 41, 20), F.lit("[source_9] [source_"), t, F.lit("]."))
+    text = F.concat(F.substring("text", 1, 40), F.lit(" [source_"), t % 4, F.lit("] and [SOURCE_2] "), F.expr("substring(text, 41)"), F.lit("[source_9] [source_"), t, F.lit("]."))
     return read(spark, sf_dir, "conversations").select(*KEYS, text.alias("answer"), F.lit(3).alias("n_sources"))
 
 
@@ -83,19 +83,36 @@ hits AS (SELECT r.query_id, min(r.rank) AS first_rank FROM bm25 r JOIN gold g ON
 ev AS (SELECT g.query_id, g.category, first_rank FROM gold g LEFT JOIN hits h USING (query_id))"""
 
 
+def word_runs(words, n: int):
+    """Hashes of each ``n`` words in a row."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n))))
+
+
 def golden(spark, sf_dir):
-    """Golden sources are the documents that contain the passage, found by shared shingles and checked on whole texts.
+    """Golden sources are the documents that contain the passage, found by shared runs of words and checked on whole texts.
 
-    The shingle is the passage's words 3 to 10: a document with the passage has that run, so the join loses none.
+    A document with the passage has the passage's inner words in a row (the outer ones may be parts of longer words), so a run of the
+    first six of them, or of all if there are fewer, names every document that can have it. Runs are hashed; only those that a
+    passage asks for go on, and texts are joined back for hits alone. Passages of one or two words have no inner one and no source.
     """
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    words = X.words(F.col("passage"))
-    items = items.withColumn("probe", F.when(F.size(words) >= 10, F.array_join(F.slice(words, 3, 6), " ")).otherwise(F.col("passage")))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", X.words(F.col("text")).alias("w"))
-    runs = docs.where(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("probe"))
-    pairs = runs.join(items, "probe").select("query_id", "doc_id", "passage").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
-    found = pairs.groupBy("query_id").agg(F.min("doc_id").cast("string").alias("source"), F.collect_list(F.col("doc_id").cast("string")).alias("alternates"))
-    return items.select("query_id", (F.col("query_id") % 4).alias("category")).join(found, "query_id", "left").withColumns({"page": F.lit(0), "alternates": F.coalesce("alternates", F.array().cast("array<string>"))})
+    inner = F.greatest(F.size(X.words(F.col("passage"))) - 2, F.lit(0))
+    items = items.withColumn("inner", F.slice(X.words(F.col("passage")), F.lit(2), inner))
+    items = items.withColumn("length", F.least(F.lit(6), F.size("inner")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", X.words(F.col("text")).alias("w"))
+    found = None
+    for n in sorted(r["length"] for r in items.where("length > 0").select("length").distinct().collect()):  # six values at most
+        asked = items.where(F.col("length") == n).select("query_id", "passage", F.get(word_runs(F.col("inner"), n), F.lit(0)).alias("probe"))
+        own = words.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(word_runs(F.col("w"), n))).alias("probe"))
+        pairs = own.join(asked, "probe").select("query_id", "doc_id", "passage")
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:  # no passage of three words
+        found = docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id", F.lit(None).cast("string").alias("passage")).limit(0)
+    checked = found.join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
+    sources = checked.groupBy("query_id").agg(F.min("doc_id").cast("string").alias("source"), F.collect_list(F.col("doc_id").cast("string")).alias("alternates"))
+    return items.select("query_id", (F.col("query_id") % 4).alias("category")).join(sources, "query_id", "left").withColumns({"page": F.lit(0), "alternates": F.coalesce("alternates", F.array().cast("array<string>"))})
 
 
 def evaluated(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C, retrieval as R
+from ..session import cut
 from .base import CHUNKS_SQL, POSTINGS_SQL, Registry, read, tokens_sql
 
 registry = Registry()
@@ -67,7 +68,7 @@ bm25 AS (SELECT query_id, doc_id, chunk_index, round(s / CASE WHEN m = 0 THEN 1
 
 
 def lexical(spark, sf_dir, k=10):
-    return R.bm25(R.postings(chunks(spark, sf_dir), KEYS), R.query_terms(questions(spark, sf_dir)), KEYS, k=k)
+    return R.bm25(chunks(spark, sf_dir), R.query_terms(questions(spark, sf_dir)), KEYS, k=k)
 
 
 @registry.add(f"WITH {BM25_SQL % 10} SELECT query_id, doc_id, chunk_index, score, rank FROM bm25")
@@ -76,7 +77,7 @@ def bm25_topk(spark, sf_dir):
 
 
 SCOPED_SQL = f"""WITH {POSTINGS_SQL}, sp AS (SELECT p.*, d.lang AS role_scope FROM postings p JOIN documents d USING (doc_id)),
-q AS (SELECT DISTINCT query_id, role_scope, term FROM (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'de' END AS role_scope, unnest({tokens_sql('text')}) AS term FROM benchmark)),
+q AS (SELECT DISTINCT query_id, role_scope, term FROM (SELECT item_id AS query_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS role_scope, unnest({tokens_sql('text')}) AS term FROM benchmark)),
 df AS (SELECT role_scope, term, count(DISTINCT doc_id) AS df FROM sp GROUP BY role_scope, term), n AS (SELECT role_scope, count(DISTINCT doc_id) AS n FROM sp GROUP BY role_scope),
 sc AS (SELECT query_id, doc_id, chunk_index, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5)), 9) AS s FROM q JOIN sp USING (role_scope, term) JOIN df USING (role_scope, term) JOIN n USING (role_scope) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id, chunk_index)::INT AS rank, max(s) OVER (PARTITION BY query_id) AS m FROM sc)
@@ -87,8 +88,8 @@ SELECT query_id, doc_id, chunk_index, round(s / CASE WHEN m = 0 THEN 1 ELSE m EN
 def bm25_by_scope(spark, sf_dir):
     """The scope stands for the caller's role: only postings of the query's own scope match."""
     docs = read(spark, sf_dir, "documents").withColumnRenamed("lang", "role_scope")
-    rows = R.postings(C.token_windows(docs, ["doc_id", "role_scope"]), [*KEYS, "role_scope"])
-    asked = questions(spark, sf_dir).withColumn("role_scope", F.when(F.col("query_id") % 2 == 0, "en").otherwise("de"))
+    rows = C.token_windows(docs, ["doc_id", "role_scope"])
+    asked = questions(spark, sf_dir).withColumn("role_scope", F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("query_id") % 4 + 1).cast("int")))
     return R.bm25(rows, R.query_terms(asked, extra=["role_scope"]), KEYS, scope=["role_scope"], k=5)
 
 
@@ -134,7 +135,9 @@ def rerank_pool(spark, sf_dir):
 
 def reranked(spark, sf_dir):
     """Pool rows with their texts (joined only now) and the model-free scorer."""
-    pool = R.rerank_pool(merged(spark, sf_dir), KEYS).join(chunks(spark, sf_dir), KEYS).join(questions(spark, sf_dir), "query_id")
+    pool = cut(R.rerank_pool(merged(spark, sf_dir), KEYS))  # twelve rows a question at most
+    texts = C.token_windows(read(spark, sf_dir, "documents").join(pool.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"])
+    pool = pool.join(texts, KEYS).join(questions(spark, sf_dir), "query_id")
     scored = pool.withColumn("rerank_score", F.round(R.overlap_scorer("query_text", "text"), 6))
     order = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), *KEYS)
     return scored.withColumn("final_rank", F.row_number().over(order))
