@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 # Words that the term index leaves out.
@@ -102,11 +105,29 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
+def unescape(text: Column) -> Column:
+    """Named and numbered character references as the characters that they stand for; unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k[-1] == ";"})), "map<string,string>")  # folded to one constant
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    decimal = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
+    hexadecimal = F.array_distinct(F.regexp_extract_all(text, F.lit("&#[xX]([0-9a-fA-F]{1,6});"), F.lit(1)))
+
+    def sign(code: Column) -> Column:
+        usable = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    out = F.aggregate(decimal, text, lambda t, m: F.replace(t, F.concat(F.lit("&#"), m, F.lit(";")), sign(m.cast("bigint"))))
+    out = F.aggregate(hexadecimal, out, lambda t, m: F.regexp_replace(t, F.concat(F.lit("&#[xX]"), m, F.lit(";")), F.regexp_replace(sign(F.conv(m, 16, 10).cast("bigint")), F.lit(r"([\\\\$])"), F.lit(r"\\\\$1"))))
+    known = F.filter(named, lambda m: (m != "amp") & names[m].isNotNull())
+    out = F.aggregate(known, out, lambda t, m: F.replace(t, F.concat(F.lit("&"), m, F.lit(";")), names[m]))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))  # last: what it gives is no reference
+
+
 def strip_html(html: Column) -> Column:
-    """Text of a page: no scripts, styles, comments or tags; trimmed lines; the page itself where nothing is left."""
+    """Text of a page: no scripts, styles, comments or tags, references resolved; trimmed lines; the page itself where nothing is left."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "\n")
+    t = unescape(F.regexp_replace(t, r"<[^>]*>", "\n"))
     t = F.regexp_replace(t, r"[ \t\r\n]*\n[ \t\r\n]*", "\n")
     return F.coalesce(F.nullif(F.regexp_replace(t, r"^[ \t\r\n]+|[ \t\r\n]+$", ""), F.lit("")), html)
 

@@ -56,10 +56,21 @@ def markdown_sections(docs: DataFrame, keys: list[str], text: str = "text") -> D
 
 
 def delimited_cells(docs: DataFrame, keys: list[str], text: str = "text", separator: str = ",") -> DataFrame:
-    """Non-empty trimmed cells ``keys, row, col, value`` of plain delimited text (no quoting)."""
-    rows = docs.select(*keys, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("row", "_r")).where(F.trim("_r") != "")
-    cells = rows.select(*keys, "row", F.posexplode(F.split("_r", rf"\Q{separator}\E")).alias("col", "_v"))
-    return cells.select(*keys, "row", "col", F.trim("_v").alias("value")).where("value <> ''")
+    """Non-empty trimmed cells ``keys, row, col, value`` of delimited text; rows without any are not counted.
+
+    A cell that starts with a quote goes on to the closing one, over separators and line breaks; a doubled quote is one. A quote that
+    is never closed is an ordinary character.
+    """
+    sep = rf"\Q{separator}\E"
+    cell = rf'(?:"(?:[^"]++|"")*+"(?:(?!{sep})[^\n])*+|(?:(?!{sep})[^\n])*+)'
+    clean = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.regexp_extract_all(clean, F.lit(rf"{cell}(?:{sep}{cell})*+"), F.lit(0))
+    full = F.filter(lines, lambda x: F.regexp_replace(x, rf'{sep}|[\s"]', "") != "")
+    rows = docs.select(*keys, F.posexplode(full).alias("row", "_r"))
+    cells = rows.select(*keys, "row", F.posexplode(F.regexp_extract_all(F.concat(F.lit(separator), "_r"), F.lit(rf"{sep}({cell})"), F.lit(1))).alias("col", "_v"))
+    quoted = r'(?s)^"((?:[^"]++|"")*+)"(.*)$'
+    value = F.when(F.col("_v").rlike(quoted), F.concat(F.replace(F.regexp_extract("_v", quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract("_v", quoted, 2))).otherwise(F.col("_v"))
+    return cells.select(*keys, "row", "col", F.regexp_replace(value, r"^\s+|\s+$", "").alias("value")).where("value <> ''")
 
 
 def readable_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,21 +111,43 @@ def _variants():
 
 
 def xml_leaves(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, pos, line``: ``tag: text`` of each element that holds text, without namespaces."""
-    found = F.expr(rf"regexp_extract_all({text}, '<([A-Za-z_][^<>\\s/]*)[^<>]*>\\s*([^<>]*[^<>\\s])\\s*<', 0)")
-    rows = docs.select(*keys, F.posexplode(found).alias("pos", "_m"))
+    """``keys, pos, line``: ``tag: text`` of each element that starts with text, without namespaces; of malformed XML, and of XML
+    without text, the paragraphs. CDATA without markup counts as text, comments don't."""
+    parsed = docs.select(*keys, F.col(text).alias("_x"), F.from_xml(F.col(text), "_corrupt_record string", {"mode": "PERMISSIVE"}).alias("_p"))
+    clean = F.regexp_replace(F.regexp_replace("_x", r"(?s)<!--.*?-->", ""), r"<!\[CDATA\[([^<&\]]*)\]\]>", "$1")
+    leaves = F.regexp_extract_all(clean, F.lit(r"<([A-Za-z_][^<>\s/]*)(?:\s[^<>]*[^<>/]|\s*)>\s*([^<>]*[^<>\s])\s*<"), F.lit(0))
+    rows = parsed.withColumn("_m", F.when(F.col("_p._corrupt_record").isNull() & F.col("_x").rlike(r"^\s*<"), leaves).otherwise(F.array()))
+    found = rows.select(*keys, F.posexplode("_m").alias("pos", "_m"))
     tag = F.regexp_replace(F.regexp_extract("_m", r"<([^<>\s/]+)", 1), r"^.*:", "")
-    return rows.select(*keys, "pos", F.concat(tag, F.lit(": "), F.trim(F.regexp_extract("_m", r"(?s)>\s*(.*?)\s*<$", 1))).alias("line"))
+    lines = found.select(*keys, "pos", F.concat(tag, F.lit(": "), X.unescape(F.trim(F.regexp_extract("_m", r"(?s)>\s*(.*?)\s*<$", 1)))).alias("line"))
+    rest = paragraphs(rows.where(F.size("_m") == 0), keys, "_x").select(*keys, F.col("chunk_index").alias("pos"), F.col("text").alias("line"))
+    return lines.unionByName(rest)
+
 
+MAIL_FIELDS = ("From", "To", "Cc", "Date", "Subject")  # fixed values, in this order
 
-def mail_chunks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Header block and body paragraphs of plain RFC 822 text; the subject is every chunk's section header."""
+
+def mail_chunks(docs: DataFrame, keys: list[str], text: str = "text", name: str | None = None) -> DataFrame:
+    """MAIL_FIELDS as a heading chunk, body paragraphs and the attachments' names of RFC 822 text.
+
+    The subject is every chunk's section header, or the file name (column ``name``); a mail without any content is one chunk that
+    names the file. Folded fields are put on one line. Parts of a multipart body aren't decoded.
+    """
+    file = F.coalesce(F.col(name), F.lit("")) if name else F.lit("")
     clean = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
-    halves = docs.select(*keys, F.split(clean, r"\n\n", 2).alias("_p")).withColumns({"_head": F.col("_p")[0], "_body": F.when(F.size("_p") > 1, F.col("_p")[1]).otherwise("")})
-    subject = F.nullif(F.trim(F.regexp_extract("_head", r"(?im)^subject:[ \t]*(.*)$", 1)), F.lit(""))
-    parts = F.array_insert(F.filter(F.transform(F.split("_body", r"\n\n+"), lambda p: F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", "")), lambda p: p != ""), 1, F.trim("_head"))
-    out = halves.select(*keys, subject.alias("parent_section_header"), F.posexplode(parts).alias("chunk_index", "text"))
-    return out.withColumn("chunk_type", F.when(F.col("chunk_index") == 0, "heading").otherwise("paragraph"))
+    halves = docs.select(*keys, file.alias("_file"), F.split(clean, r"\n\n", 2).alias("_p")).withColumns({"_head": F.regexp_replace(F.col("_p")[0], r"\n[ \t]+", " "), "_body": F.when(F.size("_p") > 1, F.col("_p")[1]).otherwise("")})
+    field = lambda f: F.trim(F.regexp_extract("_head", rf"(?im)^{f}:[ \t]*(.*)$", 1))
+    header = F.array_join(F.filter(F.array(*(F.when(field(f) != "", F.concat(F.lit(f"{f}: "), field(f))) for f in MAIL_FIELDS)), lambda x: x.isNotNull()), "\n")
+    attached = F.array_distinct(F.regexp_extract_all("_body", F.lit(r'(?im)^content-disposition:[ \t]*attachment;[^\n]*?(?:\n[ \t][^\n]*?)?filename="?([^"\n;]+)'), F.lit(1)))
+    struct = lambda kind, t: F.struct(F.lit(kind).alias("chunk_type"), t.alias("text"))
+    body = F.filter(F.transform(F.split("_body", r"\n\n"), lambda p: F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", "")), lambda p: p != "")
+    some = lambda kind, t: F.when(t != "", F.array(struct(kind, t))).otherwise(F.array().cast("array<struct<chunk_type:string,text:string>>"))
+    names = F.when(F.size(attached) > 0, F.concat(F.lit("Attachments: "), F.array_join(attached, ", "))).otherwise("")
+    parts = F.concat(some("heading", header), F.transform(body, lambda p: struct("paragraph", p)), some("paragraph", names))
+    own = halves.select(*keys, "_file", F.coalesce(F.nullif(field("Subject"), F.lit("")), F.nullif("_file", F.lit(""))).alias("_subject"), parts.alias("_parts"))
+    empty = F.size("_parts") == 0
+    own = own.select(*keys, F.when(~empty, F.col("_subject")).alias("parent_section_header"), F.when(empty, F.array(struct("paragraph", F.concat(F.lit("[Email: "), "_file", F.lit("]"))))).otherwise(F.col("_parts")).alias("_parts"))
+    return own.select(*keys, "parent_section_header", F.posexplode("_parts").alias("chunk_index", "_c")).select(*keys, "parent_section_header", "chunk_index", "_c.chunk_type", "_c.text")
 
 
 def listing(chunks: DataFrame, width: int = 500) -> DataFrame:

@@ -102,7 +102,12 @@ def vector_upsert(spark, sf_dir):
 HTML_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), '[ \t\r\n]*\n[ \t\r\n]*', chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 
 
-@registry.add(f"SELECT page_id, coalesce(nullif({HTML_SQL}, ''), html) AS text FROM pages")
+# Tags first, then the references that the pages hold, one by one: not how the library goes about it.
+STRIPPED_SQL = HTML_SQL.replace("'<[^>]*>', chr(10), 'g')", "'<[^>]*>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')")
+STRIPPED_SQL = STRIPPED_SQL.replace("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html", "regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html")
+
+
+@registry.add(f"SELECT page_id, coalesce(nullif({STRIPPED_SQL}, ''), html) AS text FROM pages")
 def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
@@ -115,22 +120,26 @@ def byte_decoding(spark, sf_dir):
     return d.select("doc_id", F.md5(X.decode_bytes(content)).alias("text_md5"))
 
 
-CELL_SQL = "SELECT doc_id, 0 AS \"row\", 0 AS col, 'id' AS value FROM documents UNION ALL SELECT doc_id, 0, 1, 'name' FROM documents UNION ALL SELECT doc_id, 1, 0, doc_id::VARCHAR FROM documents UNION ALL SELECT doc_id, 1, 1, source FROM documents UNION ALL SELECT doc_id, 2, 1, lang FROM documents UNION ALL SELECT doc_id, 2, 2, 'x' FROM documents"
+TRIMMED_SQL = "regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')"
+CELL_SQL = f"""SELECT * FROM (SELECT doc_id, 0 AS "row", 0 AS col, 'id' AS value FROM documents UNION ALL SELECT doc_id, 0, 1, 'full "text"' FROM documents UNION ALL SELECT doc_id, 1, 0, doc_id::VARCHAR FROM documents
+UNION ALL SELECT doc_id, 1, 1, {TRIMMED_SQL} FROM documents UNION ALL SELECT doc_id, 1, 2, source FROM documents UNION ALL SELECT doc_id, 2, 1, lang || ', x' FROM documents) WHERE value <> ''"""
 
 
 def tables(spark, sf_dir):
-    text = F.concat(F.lit("id, name\n"), "doc_id", F.lit(", "), "source", F.lit("\n\n,"), "lang", F.lit(", x"))
-    return C.delimited_cells(read(spark, sf_dir, "documents").select("doc_id", F.replace(text, F.lit("\n\n"), F.lit("\n")).alias("text")), ["doc_id"])
+    """Whole texts as quoted cells, with their separators, quotes and line breaks; a blank row between."""
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.concat(F.lit('id,"full ""text"""\r\n'), "doc_id", F.lit(","), quoted, F.lit(","), "source", F.lit("\r\n , ,\r\n,\""), "lang", F.lit(', x"\r\n'))
+    return C.delimited_cells(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), ["doc_id"])
 
 
-@registry.add(CELL_SQL)
+@registry.add(f"SELECT doc_id, \"row\", col, md5(value) AS value_md5 FROM ({CELL_SQL})")
 def delimited_cells(spark, sf_dir):
-    return tables(spark, sf_dir)
+    return tables(spark, sf_dir).select("doc_id", "row", "col", F.md5("value").alias("value_md5"))
 
 
-@registry.add("SELECT doc_id, unnest([0, 1, 2])::INT AS \"row\", unnest(['col0: id | col1: name', 'id: ' || doc_id || ' | name: ' || source, 'name: ' || lang || ' | col2: x']) AS line FROM documents")
+@registry.add(f"""SELECT doc_id, "row", md5(string_agg(CASE WHEN "row" = 0 OR col = 2 THEN 'col' || col WHEN col = 0 THEN 'id' ELSE 'full "text"' END || ': ' || value, ' | ' ORDER BY col)) AS line_md5 FROM ({CELL_SQL}) GROUP BY doc_id, "row" """)
 def delimited_lines(spark, sf_dir):
-    return C.readable_rows(tables(spark, sf_dir), ["doc_id"])
+    return C.readable_rows(tables(spark, sf_dir), ["doc_id"]).select("doc_id", "row", F.md5("line").alias("line_md5"))
 
 
 @registry.add("SELECT event_id, unnest(['id', 'a.k', 'a.list.0', 'a.list.1.z']) AS path, unnest([event_id::VARCHAR, props ->> 'k', event_type, 'deep']) AS value FROM events")
@@ -139,17 +148,27 @@ def json_leaves(spark, sf_dir):
     return C.json_leaves(read(spark, sf_dir, "events").select("event_id", js.alias("js")), ["event_id"], "js")
 
 
-@registry.add("SELECT doc_id, unnest(['id: ' || doc_id, 'source: ' || source, 'lang: ' || lang]) AS line FROM documents")
+@registry.add(r"""WITH x AS (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, text FROM documents), p AS (SELECT doc_id, unnest(string_split('<r><a>' || replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(10) || chr(10)) || '</b></r>', chr(10) || chr(10))) AS part FROM documents WHERE doc_id % 5 = 0)
+SELECT doc_id, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(['id: ' || doc_id, 'body: ' || t, 'lang: ' || lang]) AS line FROM x WHERE doc_id % 5 <> 0) WHERE line <> 'body: '
+UNION ALL SELECT doc_id, md5(regexp_replace(part, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) FROM p WHERE regexp_replace(part, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') <> ''""")
 def xml_leaves(spark, sf_dir):
-    text = F.concat(F.lit('<r><id>'), "doc_id", F.lit('</id>\n <x:source kind="a"> '), "source", F.lit("</x:source><empty/><b><lang>"), "lang", F.lit("</lang></b></r>"))
-    return C.xml_leaves(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), ["doc_id"]).drop("pos")
-
-
-@registry.add("""SELECT conv_id, turn, unnest([0, 1, 2])::INT AS chunk_index, unnest(['heading', 'paragraph', 'paragraph']) AS chunk_type, 'conv ' || conv_id AS parent_section_header,
- unnest(['From: ' || role || chr(10) || 'Subject: conv ' || conv_id, 'Dear all,', 'turn ' || turn]) AS text FROM conversations""")
+    """Whole texts, escaped, as elements; every fifth document is malformed and falls back to its paragraphs."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    good = F.concat(F.lit("<r><id>"), "doc_id", F.lit('</id>\n <x:body xmlns:x="u" kind="a"> '), escaped, F.lit("</x:body><empty/><b><lang>"), "lang", F.lit("</lang></b></r>"))
+    bad = F.concat(F.lit("<r><a>"), F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\n\n")), F.lit("</b></r>"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, bad).otherwise(good).alias("text"))
+    return C.xml_leaves(rows, ["doc_id"]).select("doc_id", F.md5("line").alias("line_md5"))
+
+
+@registry.add("""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS t, role, turn % 2 = 0 AS files FROM (SELECT *, replace(text, chr(10), ' ') AS line FROM conversations)),
+l AS (SELECT conv_id, turn, list_filter([{'k': 'heading', 't': 'From: ' || role || chr(10) || 'To: plant, shift' || chr(10) || 'Subject: conv ' || conv_id}], lambda x: true) || list_transform(list_filter(list_transform(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')), lambda p: p <> ''), lambda p: {'k': 'paragraph', 't': p})
+ || CASE WHEN files THEN [{'k': 'paragraph', 't': 'Content-Disposition: attachment; filename="log.csv"'}, {'k': 'paragraph', 't': 'Content-Disposition: attachment;' || chr(10) || ' filename=plan.pdf'}, {'k': 'paragraph', 't': 'Attachments: log.csv, plan.pdf'}] ELSE [] END AS parts FROM c),
+u AS (SELECT conv_id, turn, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS i FROM l) SELECT conv_id, turn, i::INT AS chunk_index, p.k AS chunk_type, 'conv ' || conv_id AS parent_section_header, md5(p.t) AS text_md5 FROM u""")
 def mail_chunks(spark, sf_dir):
-    text = F.concat(F.lit("From: "), "role", F.lit("\r\nSubject: conv "), "conv_id", F.lit("\r\n\r\nDear all,\r\n\r\n\r\n\r\nturn "), "turn", F.lit("\r\n"))
-    return C.mail_chunks(read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"])
+    """Whole messages as bodies; a folded and an unwanted field; every second mail names two attachments."""
+    files = '\r\n\r\nContent-Disposition: attachment; filename="log.csv"\r\n\r\nContent-Disposition: attachment;\r\n filename=plan.pdf'
+    text = F.concat(F.lit("X-Odd: 1\r\nSubject: conv "), "conv_id", F.lit("\r\nto: plant,\r\n shift\r\nFrom: "), "role", F.lit("\r\n\r\n"), "text", F.when(F.col("turn") % 2 == 0, files).otherwise(""))
+    return C.mail_chunks(read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", "chunk_index", "chunk_type", "parent_section_header", F.md5("text").alias("text_md5"))
 
 
 LANG_SQL = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({sql_list(v)[1:-1]}))), 'k': {-k}, 'code': '{c}'}}" for k, (c, v) in enumerate(L.PROFILES.items()))
