@@ -88,6 +88,12 @@ def keyword_search(incidents: DataFrame, history: DataFrame, limit: int = 5) ->
     return found.withColumn("rank", F.row_number().over(W.partitionBy("incident_id").orderBy(F.desc_nulls_last("completed_date"), "wo_id"))).where(F.col("rank") <= limit)
 
 
+def last_messages(rows: DataFrame, session: list[str], order: list[str], n: int = 20) -> DataFrame:
+    """The last ``n`` rows of each session with their ``position``, oldest first."""
+    kept = latest(rows, session, [F.desc(c) for c in order], n)
+    return kept.withColumn("position", F.row_number().over(W.partitionBy(*session).orderBy(*order)))
+
+
 def failure_lines(history: DataFrame):
     """``tag, code, description, occurrences`` -> one line of text each."""
     return history.select("tag", F.concat(F.lit("- "), "tag", F.lit(": "), "description", F.lit(" ("), "code", F.lit(", "), F.col("occurrences").cast("string"), F.lit("x)")).alias("line"))

@@ -145,6 +145,19 @@ def ordered_text(parts: str, rank: str = "rank", separator: str = "\n\n---\n\n")
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(parts).alias("t")))), lambda x: x["t"]), separator)
 
 
+def chunk_block(chunk_id, title, page, text):
+    """A chunk as the synthesis prompt shows it; a missing or zero page is ``p.?``."""
+    place = F.when(F.coalesce(page, F.lit(0)) == 0, "p.?").otherwise(F.concat(F.lit("p."), page.cast("string")))
+    return F.concat(F.lit("[chunk_id: "), chunk_id, F.lit(" | "), title, F.lit(", "), place, F.lit("]\n"), text)
+
+
+def keep_share(text, share: float = 0.7):
+    """A compressor that needs no model: the first words, stop words left out, up to that share of all words."""
+    words = X.words(text)
+    told = F.filter(words, lambda w: ~F.lower(w).isin(*X.INDEX_STOP_WORDS))
+    return F.array_join(F.slice(told, 1, F.ceil(F.size(words) * F.lit(share)).cast("int")), " ")
+
+
 def compress(contexts: DataFrame, text: str = "context", least_tokens: int = 2000, scorer=None) -> DataFrame:
     """Contexts under ``least_tokens`` pass; longer ones go through ``scorer`` (a column function), if there is one."""
     before = X.approximate_tokens(F.col(text))

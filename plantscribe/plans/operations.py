@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import relational as O
+from ..session import shared_root
+from ..sources import tables as T
 from .base import Registry, read, sql_list
 
 registry = Registry()
@@ -143,10 +147,32 @@ def soft_delete_restore(spark, sf_dir):
     return O.upsert(deleted, deleted.where("doc_id % 22 = 0").withColumn("is_deleted", F.lit(False)), ["doc_id"])
 
 
-@registry.add("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")
+@registry.add("SELECT session, conv_id, turn, role, row_number() OVER (PARTITION BY session ORDER BY conv_id, turn)::INT AS position FROM (SELECT *, conv_id % 7 AS session, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id DESC, turn DESC) AS r FROM conversations) WHERE r <= 20")
 def chat_history(spark, sf_dir):
-    """The last messages of each session; four here, as no test session has the default's 20."""
-    return O.latest(read(spark, sf_dir, "conversations"), ["conv_id"], [F.desc("turn")], 4).select("conv_id", "turn", "role")
+    """The last 20 messages of each session, oldest first; conversations in seven sessions, as none has 20 turns."""
+    rows = read(spark, sf_dir, "conversations").withColumn("session", F.col("conv_id") % 7)
+    return O.last_messages(rows, ["session"], ["conv_id", "turn"]).select("session", "conv_id", "turn", "role", "position")
+
+
+RUNS_SQL = "runs AS (SELECT label AS run, count(*) AS items, round(avg(vec_id), 4) AS mrr FROM embeddings GROUP BY label)"
+
+
+@registry.add(f"WITH {RUNS_SQL} SELECT run, items, mrr FROM runs ORDER BY run DESC LIMIT 3")
+def newest_runs(spark, sf_dir):
+    """Evaluation runs are appended one by one; the newest three come back."""
+    path = f"{shared_root(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    runs = read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("run")).agg(F.count("*").alias("items"), F.round(F.avg("vec_id"), 4).alias("mrr"))
+    T.append(runs.where("run % 2 = 0"), path)
+    T.append(runs.where("run % 2 = 1"), path)
+    return T.newest(spark, path, "run", 3)
+
+
+@registry.add("WITH r AS (SELECT user_id AS session, count(*) AS gaps, bool_or(event_type = 'error') AS has_critical_gaps FROM events GROUP BY user_id) SELECT session, gaps, has_critical_gaps FROM r")
+def compliance_reports(spark, sf_dir):
+    """Reports are appended with their flag and body and read back."""
+    path = f"{shared_root(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    T.append(T.compliance_report(read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("gaps"), F.bool_or(F.col("event_type") == "error").alias("has_critical_gaps"))), path)
+    return spark.read.parquet(path).select("session", F.get_json_object("report", "$.gaps").cast("long").alias("gaps"), "has_critical_gaps")
 
 
 @registry.add("SELECT conv_id, turn AS newest, text AS newest_text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")

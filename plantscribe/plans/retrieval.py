@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import text as X
 from ..operators import chunking as C, retrieval as R
 from ..session import cut
-from .base import CHUNKS_SQL, POSTINGS_SQL, Registry, read, tokens_sql
+from .base import CHUNKS_SQL, POSTINGS_SQL, Registry, read, sql_list, tokens_sql
 
 registry = Registry()
 KEYS = ["doc_id", "chunk_index"]
@@ -128,6 +128,12 @@ def hybrid_merge(spark, sf_dir):
     return merged(spark, sf_dir)
 
 
+@registry.add(f"WITH {MERGED_SQL}, arrived AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source, rank, doc_id, chunk_index)::INT AS arrival_rank FROM merged) SELECT query_id, doc_id, chunk_index, score, source, arrival_rank FROM arrived WHERE arrival_rank <= 12")
+def rerank_pool_by_arrival(spark, sf_dir):
+    """The cap in the order of insertion, lexical hits first."""
+    return R.rerank_pool(merged(spark, sf_dir), KEYS, by="arrival").select("query_id", *KEYS, "score", "source", F.col("pool_rank").alias("arrival_rank"))
+
+
 @registry.add(f"WITH {MERGED_SQL} SELECT query_id, doc_id, chunk_index, score, source, pool_rank FROM pool")
 def rerank_pool(spark, sf_dir):
     return R.rerank_pool(merged(spark, sf_dir), KEYS).drop("rank")
@@ -171,12 +177,51 @@ def context_blocks(spark, sf_dir):
     return kept.groupBy("query_id").agg(F.count("*").alias("n_blocks"), F.md5(R.ordered_text("block", "final_rank", "\n\n")).alias("context_md5"))
 
 
-@registry.add(f"""WITH {CHUNKS_SQL}, c AS (SELECT doc_id, string_agg(text, ' ' ORDER BY chunk_index) AS context FROM chunks GROUP BY doc_id)
-SELECT doc_id, length(context) // 4 AS tokens, false AS was_compressed, 1.0::DOUBLE AS ratio FROM c""")
+@registry.add(f"""WITH {RERANK_SQL} SELECT query_id, count(*) AS n_blocks, md5(string_agg('[chunk_id: ' || sha256(doc_id || ':' || chunk_index) || ' | doc ' || doc_id || ', p.' || CASE WHEN chunk_index = 0 THEN '?' ELSE chunk_index::VARCHAR END || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY final_rank)) AS context_md5 FROM fin GROUP BY query_id""")
+def chunk_id_blocks(spark, sf_dir):
+    """Blocks with chunk ids; the first chunk stands for one without a page."""
+    block = R.chunk_block(C.chunk_id(F.col("doc_id"), F.col("chunk_index")), F.concat(F.lit("doc "), "doc_id"), F.col("chunk_index"), F.col("text"))
+    return reranked(spark, sf_dir).withColumn("block", block).groupBy("query_id").agg(F.count("*").alias("n_blocks"), F.md5(R.ordered_text("block", "final_rank")).alias("context_md5"))
+
+
+OEM_WORDS = "|".join(X.TITLE_CLASSES["oem_manual"])
+
+
+@registry.add(f"""WITH {BM25_SQL % 10}, tt AS (SELECT b.*, CASE doc_id % 4 WHEN 0 THEN 'Pump OEM Manual ' WHEN 1 THEN 'DATA SHEET ' WHEN 2 THEN 'Service Guide ' ELSE 'Note ' END || doc_id AS title FROM bm25 b)
+SELECT query_id, doc_id, chunk_index, rank FROM tt WHERE regexp_matches(lower(title), '{OEM_WORDS}')""")
+def oem_manual_lookup(spark, sf_dir):
+    """Maker's documents among the top ten of a question, filtered after the ranking."""
+    kind = F.col("doc_id") % 4
+    title = F.concat(F.when(kind == 0, "Pump OEM Manual ").when(kind == 1, "DATA SHEET ").when(kind == 2, "Service Guide ").otherwise("Note "), F.col("doc_id"))
+    return lexical(spark, sf_dir).where(X.title_class(title, "oem_manual")).select("query_id", *KEYS, "rank")
+
+
+FANNED_SQL = BM25_SQL.replace("SELECT item_id AS query_id, unnest(", "SELECT item_id * 10 + k AS query_id, unnest(").replace("FROM benchmark)", "FROM (SELECT item_id, k, text || ' ' || c AS text FROM benchmark, (SELECT unnest(range(6)) AS k, unnest(['Equipment', 'Method', 'Material', 'Man', 'Environment', 'Measurement']) AS c)))")
+
+
+@registry.add(f"WITH {FANNED_SQL % 3} SELECT query_id // 10 AS incident_id, ['Equipment', 'Method', 'Material', 'Man', 'Environment', 'Measurement'][query_id % 10 + 1] AS category, doc_id, chunk_index, score, rank FROM bm25")
+def cause_evidence(spark, sf_dir):
+    """One retrieval for each incident and cause category; a category without a hit has no rows."""
+    from ..operators import relational as O
+
+    asked = O.fan_out(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("incident_id"), "text"))
+    number = F.array_position(F.array(*map(F.lit, O.CAUSE_CATEGORIES)), F.col("category")) - 1
+    terms = R.query_terms(asked.withColumn("query_id", F.col("incident_id") * 10 + number))
+    found = R.bm25(chunks(spark, sf_dir), terms, KEYS, k=3)
+    category = F.element_at(F.array(*map(F.lit, O.CAUSE_CATEGORIES)), (F.col("query_id") % 10 + 1).cast("int"))
+    return found.select(F.floor(F.col("query_id") / 10).alias("incident_id"), category.alias("category"), *KEYS, "score", "rank")
+
+
+COMPRESS_SQL = f"""{CHUNKS_SQL}, c AS (SELECT doc_id, string_agg(text, ' ' ORDER BY chunk_index) AS context FROM chunks GROUP BY doc_id),
+cw AS (SELECT doc_id, context, length(context) // 4 >= 2000 AS long, regexp_extract_all(context, '[^\\x20\\x09-\\x0D]+') AS w FROM c),
+cc AS (SELECT doc_id, context, long, CASE WHEN long THEN array_to_string(list_filter(w, lambda x: NOT list_contains({sql_list(X.INDEX_STOP_WORDS)}, lower(x)))[1:ceil(len(w) * 0.7)::INT], ' ') ELSE context END AS compressed FROM cw)"""
+
+
+@registry.add(f"WITH {COMPRESS_SQL} SELECT doc_id, length(context) // 4 AS tokens, long AS was_compressed, md5(compressed) AS compressed_md5, round((length(compressed) // 4) / (length(context) // 4), 6) AS ratio FROM cc WHERE length(context) // 4 > 0")
 def context_compression(spark, sf_dir):
-    """Pass-through with its statistics: the compressor is a plug-in."""
-    whole = chunks(spark, sf_dir).groupBy("doc_id").agg(R.ordered_text("text", "chunk_index", " ").alias("context"))
-    return R.compress(whole).select("doc_id", X.approximate_tokens(F.col("context")).alias("tokens"), "was_compressed", "ratio")
+    """Contexts of 2,000 tokens and more keep about 70 % of their words; shorter ones pass. Whole documents stand for contexts."""
+    whole = chunks(spark, sf_dir).groupBy("doc_id").agg(R.ordered_text("text", "chunk_index", " ").alias("context")).where(X.approximate_tokens(F.col("context")) > 0)
+    return R.compress(whole, scorer=R.keep_share).select("doc_id", X.approximate_tokens(F.col("context")).alias("tokens"), "was_compressed", F.md5("compressed").alias("compressed_md5"), F.round("ratio", 6).alias("ratio"))
 
 
 @registry.add("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..streaming import jobs as J, telemetry as S
-from .base import Registry, read
+from ..session import shared_root
+from .base import POSTINGS_SQL, Registry, read
 from .operations import JOBS_SQL, NEWEST_SQL, as_jobs
 
 registry = Registry()
@@ -15,8 +16,15 @@ W5 = "time_bucket(INTERVAL 5 MINUTE, ts)"
 
 
 def shared(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def streamed(spark, sf_dir, name, keys, build):
+    """``build`` over the events as a stream that processes what is there and stops; then what its keyed sink holds."""
+    root = shared(spark, name)
+    J.keyed(build(J.table_stream(spark, f"{sf_dir}/events.parquet")), name, root).awaitTermination()
+    rows = J.newest_rows(spark, root, name, keys)
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) if "window_start" in keys else rows
 
 
 RATES_SQL = f"SELECT {W5} AS window_start, event_type, count(*) AS n, round(count(*) / 300, 6) AS per_second FROM events GROUP BY ALL"
@@ -29,10 +37,7 @@ def request_rates(spark, sf_dir):
 
 @registry.add(RATES_SQL)
 def request_rates_stream(spark, sf_dir):
-    """The same as a stream that processes what is there and stops."""
-    root = shared(spark, "rates")
-    J.windowed(S.rates(J.table_stream(spark, f"{sf_dir}/events.parquet"), ["event_type"]), "rates", root).awaitTermination()
-    return spark.read.parquet(f"{root}/rates").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return streamed(spark, sf_dir, "rates", ["window_start", "event_type"], lambda e: S.rates(e, ["event_type"]))
 
 
 @registry.add(f"WITH {JOBS_SQL}, {NEWEST_SQL} SELECT document_id, status, created_at AS since FROM newest")
@@ -40,7 +45,7 @@ def newest_status_stream(spark, sf_dir):
     root = shared(spark, "status")
     jobs = as_jobs(J.table_stream(spark, f"{sf_dir}/events.parquet"))
     J.newest_status(jobs, root).awaitTermination()
-    return spark.read.parquet(f"{root}/newest_status")
+    return J.newest_rows(spark, root, "newest_status", ["document_id"]).select("document_id", "status", "since")
 
 
 @registry.add(f"SELECT {W5} AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS failure_rate FROM events GROUP BY ALL")
@@ -48,6 +53,11 @@ def failure_rates(spark, sf_dir):
     return S.failure_rates(read(spark, sf_dir, "events"), F.col("event_type") == "error")
 
 
+@registry.add(registry.sql["failure_rates"])
+def failure_rates_stream(spark, sf_dir):
+    return streamed(spark, sf_dir, "failures", ["window_start"], lambda e: S.failure_rates(e, F.col("event_type") == "error"))
+
+
 def _quantile_sql(q: float) -> str:
     out = f"{S.BUCKETS[-1]}::DOUBLE"
     for k in reversed(range(len(S.BUCKETS))):
@@ -59,28 +69,57 @@ def _quantile_sql(q: float) -> str:
 COUNTS_SQL = "[" + ", ".join(f"count(*) FILTER (value / 20 <= {b})" for b in S.BUCKETS) + "]"
 
 
-@registry.add(f"WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, {COUNTS_SQL} AS c FROM events GROUP BY ALL) SELECT window_start, n, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.95)} AS p95, {_quantile_sql(0.99)} AS p99 FROM h")
-def request_quantiles(spark, sf_dir):
-    rows = S.bucket_counts(read(spark, sf_dir, "events").withColumn("latency", F.col("value") / 20), "latency", width="1 hour")
+QUANTILES_SQL = f"WITH h AS (SELECT {W5} AS window_start, count(*) AS n, {COUNTS_SQL} AS c FROM events GROUP BY ALL) SELECT window_start, n, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.95)} AS p95, {_quantile_sql(0.99)} AS p99 FROM h"
+
+
+def quantiles(events):
+    rows = S.bucket_counts(events.withColumn("latency", F.col("value") / 20), "latency")
     return rows.select("window_start", "n", *(S.histogram_quantile(q, F.col("counts"), F.col("n")).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)))
 
 
+@registry.add(QUANTILES_SQL)
+def request_quantiles(spark, sf_dir):
+    return quantiles(read(spark, sf_dir, "events"))
+
+
+@registry.add(QUANTILES_SQL)
+def request_quantiles_stream(spark, sf_dir):
+    return streamed(spark, sf_dir, "quantiles", ["window_start"], quantiles)
+
+
 @registry.add("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tokens_per_hour(spark, sf_dir):
     return S.window_sums(read(spark, sf_dir, "events"), ["event_type"], "value")
 
 
+@registry.add(registry.sql["tokens_per_hour"])
+def tokens_per_hour_stream(spark, sf_dir):
+    return streamed(spark, sf_dir, "tokens", ["window_start", "event_type"], lambda e: S.window_sums(e, ["event_type"], "value"))
+
+
 @registry.add(f"SELECT {W5} AS window_start, event_type = 'error' AS failed, count(*) AS n, round(count(*) / 300, 6) AS per_second FROM events GROUP BY ALL")
 def task_rates(spark, sf_dir):
     return S.rates(read(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error"), ["failed"])
 
 
+@registry.add(registry.sql["task_rates"])
+def task_rates_stream(spark, sf_dir):
+    return streamed(spark, sf_dir, "tasks", ["window_start", "failed"], lambda e: S.rates(e.withColumn("failed", F.col("event_type") == "error"), ["failed"]))
+
+
 @registry.add("SELECT event_id, user_id, (sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS open FROM events")
 def open_connections(spark, sf_dir):
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return S.open_now(read(spark, sf_dir, "events"), step, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "open")
 
 
+@registry.add("SELECT user_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END)::BIGINT AS open FROM events GROUP BY user_id")
+def open_connections_stream(spark, sf_dir):
+    """Openings minus closings of each user, as a running sum in the stream's state."""
+    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return streamed(spark, sf_dir, "open", ["user_id"], lambda e: e.groupBy("user_id").agg(F.sum(step).alias("open")))
+
+
 @registry.add("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS expires, count(*) AS n FROM s GROUP BY user_id, k""")
@@ -93,9 +132,12 @@ def token_usage(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model"), F.when(F.col("event_id") % 2 == 0, "prompt").otherwise("completion").alias("kind")).agg(F.sum("user_id").alias("tokens"))
 
 
-@registry.add("SELECT doc_id, 1 AS first_chunk FROM documents WHERE regexp_matches(text, '[^\\x20\\x09-\\x0D]')")
+@registry.add(f"WITH {POSTINGS_SQL}, n AS (SELECT doc_id, chunk_index, count(*) AS n_terms FROM postings GROUP BY ALL) SELECT c.doc_id, c.chunk_index, md5(c.text) AS text_md5, c.token_count, coalesce(n_terms, 0) AS n_terms FROM chunks c LEFT JOIN n USING (doc_id, chunk_index)")
 def ingest_stream(spark, sf_dir):
-    """Documents stream into chunks and postings; here, the documents that got a first chunk."""
+    """Documents stream into chunks and postings."""
     root = shared(spark, "ingest")
     J.ingest(J.table_stream(spark, f"{sf_dir}/documents.parquet"), root).awaitTermination()
-    return spark.read.parquet(f"{root}/chunks").where("chunk_index = 0").select("doc_id", F.lit(1).alias("first_chunk"))
+    terms = J.current(spark, root, "postings").groupBy("doc_id", "version", "chunk_index").agg(F.count("*").alias("n_terms"))
+    met = J.current(spark, root).join(terms, ["doc_id", "version", "chunk_index"], "left")
+    return met.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "token_count", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+

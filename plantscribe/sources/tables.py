@@ -47,6 +47,11 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def compliance_report(rows: DataFrame, session: str = "session", flag: str = "has_critical_gaps") -> DataFrame:
+    """``session, report, has_critical_gaps``: the row as JSON beside the flag that lists filter on."""
+    return rows.select(session, F.to_json(F.struct(*rows.columns)).alias("report"), F.col(flag).alias("has_critical_gaps"))
+
+
 def newest(spark: SparkSession, path: str, order: str, n: int = 20) -> DataFrame:
     """The newest rows of an appended table, 100 at most."""
     return spark.read.parquet(path).orderBy(F.desc(order)).limit(min(n, 100))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import token_windows
-from ..operators.relational import latest
+from ..operators.relational import progress
 from ..operators.retrieval import postings
 
 
@@ -23,28 +23,46 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(documents: DataFrame, root: str, key: str = "doc_id") -> StreamingQuery:
-    """New documents become chunks and postings. A batch writes under its own number, so a replay overwrites its own rows only;
-    documents without words give no chunk and go no further."""
+    """New documents become chunks and postings, each batch under its own number, so a replay overwrites its own rows only.
+
+    A document that comes again replaces what it had: ``current`` reads each document's newest batch. Different texts of one document
+    in a batch are all kept, told apart by ``version``. Documents without words give no chunk; ``seen`` notes them all the same.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        own = latest(rows, [key], [F.col("text")])
-        chunks = token_windows(own, [key])
+        rows.select(key).distinct().write.mode("overwrite").parquet(f"{root}/seen/batch={number}")
+        own = rows.select(key, "text").distinct().withColumn("version", F.row_number().over(W.partitionBy(key).orderBy("text")) - 1)
         path = f"{root}/chunks/batch={number}"
-        chunks.write.mode("overwrite").parquet(path)
-        postings(rows.sparkSession.read.parquet(path), [key, "chunk_index"]).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        token_windows(own, [key, "version"]).write.mode("overwrite").parquet(path)
+        postings(rows.sparkSession.read.parquet(path), [key, "version", "chunk_index"]).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
 
     return replayable(documents, "ingest", root, batch)
 
 
-def newest_status(jobs: DataFrame, root: str) -> StreamingQuery:
-    """The newest status of each document: max_by keeps one row of state a document."""
-    state = jobs.groupBy("document_id").agg(F.max_by("status", F.struct("created_at", "job_id")).alias("status"), F.max("created_at").alias("since"))
-    return replayable(state, "newest_status", root, lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/newest_status"), "complete")
+def current(spark: SparkSession, root: str, table: str = "chunks", key: str = "doc_id") -> DataFrame:
+    """Of each document the rows of its newest batch; a document whose newest text has no words has none."""
+    newest = spark.read.parquet(f"{root}/seen").groupBy(key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{root}/{table}").join(newest, [key, "batch"], "left_semi").drop("batch")
+
+
+def keyed(frame: DataFrame, name: str, root: str) -> StreamingQuery:
+    """An aggregate over a stream: each batch writes the rows that it changed, the state of closed windows is dropped, and late rows with it."""
+    return replayable(frame, name, root, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}"), "update")
 
 
-def windowed(frame: DataFrame, name: str, root: str) -> StreamingQuery:
-    """An aggregate over a stream, its whole result rewritten with each batch."""
-    return replayable(frame, name, root, lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/{name}"), "complete")
+def newest_rows(spark: SparkSession, root: str, name: str, keys: list[str]) -> DataFrame:
+    """What a ``keyed`` run holds now: of each key the row of the newest batch."""
+    rows = spark.read.parquet(f"{root}/{name}")
+    own = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), "batch").alias("_r")).select(*keys, "_r.*")
+
+
+def newest_status(jobs: DataFrame, root: str) -> StreamingQuery:
+    """The newest status of each document with its progress and failure message: max_by keeps one row of state a document."""
+    last = F.max_by(F.struct("status", *(c for c in ("message",) if c in jobs.columns)), F.struct("created_at", "job_id")).alias("_s")
+    state = jobs.groupBy("document_id").agg(last, F.max("created_at").alias("since"))
+    state = state.select("document_id", "_s.*", "since").withColumn("progress", progress(F.col("status")))
+    return keyed(state, "newest_status", root)
 
 
 def warnings(incidents: DataFrame, lessons: DataFrame, match: Callable[[DataFrame, DataFrame], DataFrame], root: str) -> StreamingQuery:

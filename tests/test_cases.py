@@ -27,7 +27,8 @@ def test_whole_rows_stay_whole(spark):
 
 
 def test_score_of_one_term(spark):
-    rows = spark.createDataFrame([(d, 0, t, tf) for d, t, tf in ((1, "pump", 0.4), (2, "pump", 0.1), (3, "valve", 1.0))], "doc_id long, chunk_index int, term string, tf double")
+    texts = ((1, "pump pump seal ring oil"), (2, "pump seal ring oil belt gear hose tube pipe cap"), (3, "valve"))
+    rows = spark.createDataFrame([(d, 0, t) for d, t in texts], "doc_id long, chunk_index int, text string")
     terms = spark.createDataFrame([(9, "pump")], "query_id long, term string")
     top = R.bm25(rows, terms, ["doc_id", "chunk_index"]).collect()
     assert [(r.doc_id, r.rank) for r in top] == [(1, 1), (2, 2)] and top[0].score == 1.0
@@ -144,3 +145,46 @@ def test_warnings_of_a_stream_and_replay(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         J.warnings(J.table_stream(spark, str(tmp_path / "incidents")), lessons, lambda a, b: a.join(b, "kind"), str(tmp_path / "out")).awaitTermination()
     assert [(r.id, r.warning) for r in spark.read.parquet(str(tmp_path / "out" / "warnings")).collect()] == [(1, "check the seal")]
+
+
+def test_late_rows_are_dropped_and_documents_replaced(spark, tmp_path):
+    from plantscribe.streaming import jobs as J, telemetry as S
+
+    def events(day, hour, n):
+        spark.range(n).selectExpr(f"timestamp'2024-01-{day:02} {hour:02}:00:00' ts", "'a' kind").write.mode("append").parquet(str(tmp_path / "events"))
+
+    root = str(tmp_path / "out")
+    for step in ((9, 10, 3), (9, 12, 2), (5, 10, 7), (9, 12, 1)):  # the third comes four days late
+        events(*step)
+        J.keyed(S.rates(J.table_stream(spark, str(tmp_path / "events")), ["kind"]), "rates", root).awaitTermination()
+    got = {r.window_start.hour if r.window_start.day == 9 else -1: r.n for r in J.newest_rows(spark, root, "rates", ["window_start", "kind"]).collect()}
+    assert got == {10: 3, 12: 3}
+
+    for rows in ([(1, "old text"), (2, "two"), (2, "zwei")], [(1, "new words here"), (3, " ")]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+        J.ingest(J.table_stream(spark, str(tmp_path / "docs")), root).awaitTermination()
+    assert sorted((r.doc_id, r.text) for r in J.current(spark, root).collect()) == [(1, "new words here"), (2, "two"), (2, "zwei")]
+    assert {r.term for r in J.current(spark, root, "postings").where("doc_id = 1").collect()} >= {"new", "words"}
+
+
+def test_parsers_on_odd_texts(spark):
+    from plantscribe.functions import text as X
+    from plantscribe.operators import chunking as C
+
+    def rows(f, text, *cols):
+        return [tuple(r[c] for c in cols) for r in f(spark.createDataFrame([(1, text)], "k long, text string"), ["k"]).collect()]
+
+    assert rows(C.delimited_cells, 'a,"x, y",2\n\n"he said ""hi""\nthere",b"c,\n"open', "row", "col", "value") == [(0, 0, "a"), (0, 1, "x, y"), (0, 2, "2"), (1, 0, 'he said "hi"\nthere'), (1, 1, 'b"c'), (2, 0, '"open')]
+    assert rows(C.xml_leaves, "<r><!-- <a>no</a> --><a>1 &lt; 2 &amp;amp;</a><b><![CDATA[plain]]></b></r>", "line") == [("a: 1 < 2 &amp;",), ("b: plain",)]
+    assert rows(C.xml_leaves, "<r><a>1</b>\n\nsecond", "line") == [("<r><a>1</b>",), ("second",)]
+    assert rows(C.mail_chunks, "\n\n", "text") == [("[Email: ]",)]
+    html = "&lt;b&gt; &#233;&#x20AC; &eacute; &amp;lt; &nope; &#36;"
+    assert spark.range(1).select(X.unescape(F.lit(html)).alias("t")).first().t == "<b> é€ é &lt; &nope; $"
+
+
+def test_keyword_search_takes_a_word_of_any_length(spark):
+    from plantscribe.operators import relational as O
+
+    history = spark.createDataFrame([(1, "x" * 100_000 + "pump", None), (2, "a pumping station", None)], "wo_id long, description string, completed_date date")
+    found = O.keyword_search(spark.createDataFrame([(7, "pump failure")], "incident_id long, text string"), history).collect()
+    assert {r.wo_id for r in found} == {1, 2}
