@@ -92,3 +92,11 @@ def render_template(template: Column, values: dict[str, Column]) -> tuple[Column
         out = F.replace(out, F.lit("{" + name + "}"), value)
     left = F.regexp_extract(out, r"\{([a-z_]+)\}", 1)
     return out, F.when(left != "", F.concat(F.lit("missing variable: "), left))
+
+
+def why_chain(steps: DataFrame, session: str, order: str, question: str, answer: str, least: int = 5) -> DataFrame:
+    """``session, answered, complete, chain``: questions with their answers, or that one is awaited; complete at ``least`` answers."""
+    given = F.coalesce(F.trim(answer), F.lit("")) != ""
+    line = F.concat(F.col(order).cast("string"), F.lit(". "), question, F.lit(": "), F.when(given, F.col(answer)).otherwise("(awaiting answer)"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t"))))
+    return steps.groupBy(session).agg(F.count_if(given).alias("answered"), (F.count_if(given) >= least).alias("complete"), F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("chain"))

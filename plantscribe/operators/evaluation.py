@@ -75,3 +75,13 @@ def latency_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         return F.round(F.sum(part), 1)
 
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median("_v"), 1).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.min("_v"), 1).alias("min"), F.round(F.max("_v"), 1).alias("max"))
+
+
+def extraction_report(chunks: DataFrame, entities: DataFrame, relations: DataFrame, document: str = "doc_id", failed: str = "failed") -> DataFrame:
+    """``document, chunks, failed, entities, relations, success_rate`` of the documents in ``chunks``; a null chunk is none, and a
+    document without chunks succeeds."""
+    count = lambda rows, name: rows.groupBy(document).agg(F.count("*").alias(name))
+    some = F.col(failed).isNotNull()
+    base = chunks.groupBy(document).agg(F.count_if(some).alias("chunks"), F.count_if(some & F.col(failed)).alias("failed"))
+    met = base.join(count(entities, "entities"), document, "left").join(count(relations, "relations"), document, "left").na.fill(0, ["entities", "relations"])
+    return met.withColumn("success_rate", F.round(F.when(F.col("chunks") == 0, 1.0).otherwise((F.col("chunks") - F.col("failed")) / F.col("chunks")), 4))

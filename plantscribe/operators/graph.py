@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,29 @@ class Ontology:
         if strange:
             raise ValueError(f"relations between unknown node types: {strange}")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Ontology":
+        """Of a JSON file (YAML where that library is installed) with ``version``, ``node_types`` and ``allowed_relations``."""
+        text = spark.read.text(path, wholetext=True).first()[0]
+        try:
+            raw = json.loads(text)
+        except ValueError:
+            import yaml
+
+            raw = yaml.safe_load(text)
+        if not isinstance(raw, dict) or (lacking := [k for k in ("version", "node_types", "allowed_relations") if k not in raw]):
+            raise ValueError(f"an ontology lacks {lacking if isinstance(raw, dict) else 'its keys'}")
+        if not isinstance(raw["node_types"], dict) or not raw["node_types"] or not isinstance(raw["allowed_relations"], list):
+            raise ValueError("node_types has to be a filled object, allowed_relations an array")
+        for name, own in raw["node_types"].items():
+            listed = [own.get("required_properties"), own.get("optional_properties", [])] if isinstance(own, dict) else [None]
+            if not all(isinstance(x, list) and all(isinstance(p, str) for p in x) for x in listed):
+                raise ValueError(f"node type {name} needs lists of property names")
+        triples = [tuple(r.get(k) for k in ("source", "relation", "target")) for r in raw["allowed_relations"] if isinstance(r, dict)]
+        if len(triples) < len(raw["allowed_relations"]) or not all(isinstance(x, str) for t in triples for x in t):
+            raise ValueError("a relation needs source, relation and target")
+        return cls({k: tuple(v["required_properties"]) for k, v in raw["node_types"].items()}, tuple(triples))
+
     def nodes(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, list(v)) for k, v in self.required.items()], "node_type string, required array<string>")
 
@@ -143,19 +167,34 @@ def resolve_greedy(entities: DataFrame, group: str, most: int = 2) -> DataFrame:
     return own.mapInArrow(run, f"`{group}` {kind}, e array<struct<pos:long,tag:string,entity_type:string,canonical:string>>").select(group, F.inline("e"))
 
 
+def _stated(entities: DataFrame, field: str, name: str) -> Column:
+    """A field, or what the property bag (map column ``props``, if there is one) says in its place."""
+    own = F.nullif(F.col(field), F.lit(""))
+    return F.coalesce(own, F.nullif(F.col("props")[name], F.lit(""))) if "props" in entities.columns else own
+
+
 def resolve_models(entities: DataFrame) -> DataFrame:
     """Equipment with one manufacturer and model (trimmed, upper case) is one: its first tag by ``seq`` is canonical."""
-    key = [F.upper(F.trim("manufacturer")), F.upper(F.trim("model"))]
-    both = (F.col("entity_type") == "Equipment") & F.col("manufacturer").isNotNull() & F.col("model").isNotNull()
-    first = entities.where(both).groupBy(key[0].alias("_m"), key[1].alias("_k")).agg(F.min_by("tag", "seq").alias("canonical"))
-    marked = entities.withColumns({"_m": F.when(both, key[0]), "_k": F.when(both, key[1])})
+    maker, model = _stated(entities, "manufacturer", "manufacturer"), _stated(entities, "model", "model_number")
+    both = (F.col("entity_type") == "Equipment") & maker.isNotNull() & model.isNotNull()
+    marked = entities.withColumns({"_m": F.when(both, F.upper(F.trim(maker))), "_k": F.when(both, F.upper(F.trim(model)))})
+    first = marked.where("_m IS NOT NULL").groupBy("_m", "_k").agg(F.min_by("tag", "seq").alias("canonical"))
     return marked.join(first, ["_m", "_k"], "left").withColumn("canonical", F.coalesce("canonical", "tag")).drop("_m", "_k")
 
 
 def merge_entities(entities: DataFrame) -> DataFrame:
-    """One row per canonical tag: the shortest tag with its text, first known manufacturer and model, members' count."""
+    """One row per canonical tag: the shortest tag with its text, first known manufacturer and model, members' count.
+
+    With property bags (``props``) also their union; of two values of a property the first by ``seq``, the canonical one's, wins.
+    """
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-    return entities.groupBy("entity_type", "canonical").agg(F.min_by("tag", F.struct(F.length("tag"), "seq")).alias("tag"), first("manufacturer").alias("manufacturer"), first("model").alias("model"), F.count("*").alias("members"))
+    key = ["entity_type", "canonical"]
+    merged = entities.groupBy(*key).agg(F.min_by("tag", F.struct(F.length("tag"), "seq")).alias("tag"), first("manufacturer").alias("manufacturer"), first("model").alias("model"), F.count("*").alias("members"))
+    if "props" not in entities.columns:
+        return merged
+    values = entities.select(*key, "seq", F.explode("props").alias("_k", "_v")).groupBy(*key, "_k").agg(F.min_by("_v", "seq").alias("_v"))
+    bags = values.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("props"))
+    return merged.join(bags, key, "left").withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
 
 
 def check_nodes(nodes: DataFrame, ontology: Ontology = INDUSTRIAL) -> DataFrame:

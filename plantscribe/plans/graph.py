@@ -70,14 +70,18 @@ def resolve_greedy(spark, sf_dir):
     return G.resolve_greedy(found.select("order_id", "pos", "tag", "entity_type"), "order_id")
 
 
-ENT_SQL = "ent AS (SELECT p_partkey AS seq, 'P-' || p_partkey AS tag, CASE WHEN p_partkey % 9 = 0 THEN 'Sensor' ELSE 'Equipment' END AS entity_type, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE ' ' || lower(p_brand) END AS manufacturer, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size::VARCHAR END AS model FROM part)"
-RES_SQL = f"""{ENT_SQL}, c AS (SELECT upper(trim(manufacturer)) AS m, upper(trim(model)) AS k, min_by(tag, seq) AS canonical FROM ent WHERE entity_type = 'Equipment' AND manufacturer IS NOT NULL AND model IS NOT NULL GROUP BY ALL),
-res AS (SELECT e.*, coalesce(c.canonical, e.tag) AS canonical FROM ent e LEFT JOIN c ON e.entity_type = 'Equipment' AND c.m = upper(trim(e.manufacturer)) AND c.k = upper(trim(e.model)))"""
+ENT_SQL = "ent AS (SELECT p_partkey AS seq, 'P-' || p_partkey AS tag, CASE WHEN p_partkey % 9 = 0 THEN 'Sensor' ELSE 'Equipment' END AS entity_type, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE ' ' || lower(p_brand) END AS manufacturer, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size::VARCHAR END AS model, CASE WHEN p_partkey % 10 = 0 THEN lower(p_brand) || ' ' END AS bag_maker, CASE WHEN p_partkey % 14 = 0 THEN p_size::VARCHAR END AS bag_model, 'c' || (p_partkey % 3) AS color FROM part)"
+RES_SQL = f"""{ENT_SQL}, st AS (SELECT *, upper(trim(coalesce(manufacturer, bag_maker))) AS m, upper(trim(coalesce(model, bag_model))) AS k FROM ent),
+c AS (SELECT m, k, min_by(tag, seq) AS canonical FROM st WHERE entity_type = 'Equipment' AND m IS NOT NULL AND k IS NOT NULL GROUP BY ALL),
+res AS (SELECT e.*, coalesce(c.canonical, e.tag) AS canonical FROM st e LEFT JOIN c ON e.entity_type = 'Equipment' AND c.m = e.m AND c.k = e.k)"""
 
 
 def equipment(spark, sf_dir):
+    """Some makers and models stand in the property bag only."""
     k = F.col("p_partkey")
-    return read(spark, sf_dir, "part").select(k.alias("seq"), F.concat(F.lit("P-"), k).alias("tag"), F.when(k % 9 == 0, "Sensor").otherwise("Equipment").alias("entity_type"), F.when(k % 5 != 0, F.concat(F.lit(" "), F.lower("p_brand"))).alias("manufacturer"), F.when(k % 7 != 0, F.col("p_size").cast("string")).alias("model"))
+    bag = {"manufacturer": F.when(k % 10 == 0, F.concat(F.lower("p_brand"), F.lit(" "))), "model_number": F.when(k % 14 == 0, F.col("p_size").cast("string")), "color": F.concat(F.lit("c"), k % 3)}
+    props = F.map_filter(F.create_map(*(x for n, v in bag.items() for x in (F.lit(n), v))), lambda _, v: v.isNotNull())
+    return read(spark, sf_dir, "part").select(k.alias("seq"), props.alias("props"), F.concat(F.lit("P-"), k).alias("tag"), F.when(k % 9 == 0, "Sensor").otherwise("Equipment").alias("entity_type"), F.when(k % 5 != 0, F.concat(F.lit(" "), F.lower("p_brand"))).alias("manufacturer"), F.when(k % 7 != 0, F.col("p_size").cast("string")).alias("model"))
 
 
 @registry.add(f"WITH {RES_SQL} SELECT tag, entity_type, canonical FROM res")
@@ -85,9 +89,11 @@ def resolve_models(spark, sf_dir):
     return G.resolve_models(equipment(spark, sf_dir)).select("tag", "entity_type", "canonical")
 
 
-@registry.add(f"WITH {RES_SQL} SELECT entity_type, canonical, min_by(tag, length(tag) * 1000000000 + seq) AS tag, min_by(manufacturer, seq) FILTER (manufacturer IS NOT NULL) AS manufacturer, min_by(model, seq) FILTER (model IS NOT NULL) AS model, count(*) AS members FROM res GROUP BY entity_type, canonical")
+@registry.add(f"""WITH {RES_SQL} SELECT entity_type, canonical, min_by(tag, length(tag) * 1000000000 + seq) AS tag, min_by(manufacturer, seq) FILTER (manufacturer IS NOT NULL) AS manufacturer, min_by(model, seq) FILTER (model IS NOT NULL) AS model, count(*) AS members,
+ concat_ws(',', 'color=' || min_by(color, seq), 'manufacturer=' || min_by(bag_maker, seq) FILTER (bag_maker IS NOT NULL), 'model_number=' || min_by(bag_model, seq) FILTER (bag_model IS NOT NULL)) AS props FROM res GROUP BY entity_type, canonical""")
 def merge_entities(spark, sf_dir):
-    return G.merge_entities(G.resolve_models(equipment(spark, sf_dir)))
+    found = G.merge_entities(G.resolve_models(equipment(spark, sf_dir)))
+    return found.withColumn("props", F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ","))
 
 
 NODES_SQL = """nodes AS (SELECT 'R-' || r_regionkey AS tag, 'Asset' AS node_type, r_name AS name FROM region UNION ALL SELECT 'N-' || n_nationkey, 'Asset', n_name FROM nation
@@ -261,9 +267,17 @@ def lesson_links(spark, sf_dir):
 @registry.add(f"""WITH {TEXT_SQL}, e AS (SELECT order_id, line, list_distinct(regexp_extract_all(text, '{TAG_RE}')) AS tags FROM txt), p AS (SELECT order_id, line, unnest(tags) AS src, tags FROM e), q AS (SELECT order_id, line, src, unnest(tags) AS dst FROM p)
 SELECT DISTINCT src, CASE WHEN src LIKE 'FT%' THEN 'MONITORS' ELSE 'IS_PART_OF' END AS relation, dst FROM q WHERE src <> dst AND dst NOT LIKE 'FT%'""")
 def co_occurring_relations(spark, sf_dir):
-    """The relation extractor that needs no model: tags of one text in pairs that the ontology allows; texts have few tags."""
-    own = tag_texts(spark, sf_dir).select(F.array_distinct(X.tags(F.col("text"))).alias("tags"))
-    pairs = own.select(F.explode("tags").alias("src"), "tags").select("src", F.explode("tags").alias("dst")).where("src <> dst").distinct()
+    """The relation extractor that needs no model: tags of one text in pairs that the ontology allows."""
+    return typed_pairs(tag_texts(spark, sf_dir), []).distinct()
+
+
+MOST_CHARACTERS = 4000  # fixed value: the extractor reads no more of a chunk
+
+
+def typed_pairs(chunks, keys):
+    """``keys, src, relation, dst``: allowed pairs of the tags in a chunk, if it has two; a chunk's read part bounds its tags."""
+    own = chunks.select(*keys, F.array_distinct(X.tags(F.substring("text", 1, MOST_CHARACTERS))).alias("tags")).where("size(tags) > 1")
+    pairs = own.select(*keys, F.explode("tags").alias("src"), "tags").select(*keys, "src", F.explode("tags").alias("dst")).where("src <> dst")
     typed = pairs.withColumns({"source_type": G.classify_tags(F.col("src"))["entity_type"], "target_type": G.classify_tags(F.col("dst"))["entity_type"]})
-    rules = F.broadcast(G.INDUSTRIAL.relations(spark))  # as many rows as triples
-    return typed.join(rules, ["source_type", "target_type"]).select("src", "relation", "dst").distinct()
+    rules = F.broadcast(G.INDUSTRIAL.relations(chunks.sparkSession))  # as many rows as triples
+    return typed.join(rules, ["source_type", "target_type"]).select(*keys, "src", "relation", "dst")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import relational as O
+from ..operators import answers as A, relational as O
 from ..session import shared_root
 from ..sources import tables as T
 from .base import Registry, read, sql_list
@@ -213,12 +213,12 @@ def work_order_upsert(spark, sf_dir):
     return O.upsert(wo, wo.where("priority = '1-URGENT'").withColumn("status", F.lit("CLOSED")), ["wo_id"])
 
 
-@registry.add("SELECT conv_id AS session_id, count(*) FILTER (text <> '') AS answered, count(*) FILTER (text <> '') >= 5 AS complete, string_agg(turn || '. ' || role || ': ' || CASE WHEN length(text) > 100 THEN '(awaiting answer)' ELSE 'answered' END, chr(10) ORDER BY turn) AS chain FROM conversations GROUP BY conv_id")
+@registry.add("""WITH a AS (SELECT conv_id AS session_id, turn, role, CASE WHEN turn % 3 = 0 THEN '' WHEN trim(text, ' ') = '' THEN '' ELSE text END AS answer FROM conversations)
+SELECT session_id, count(*) FILTER (answer <> '') AS answered, count(*) FILTER (answer <> '') >= 5 AS complete, md5(string_agg(turn || '. ' || role || ': ' || CASE WHEN answer = '' THEN '(awaiting answer)' ELSE answer END, chr(10) ORDER BY turn)) AS chain_md5 FROM a GROUP BY session_id""")
 def why_chain(spark, sf_dir):
-    line = F.concat("turn", F.lit(". "), "role", F.lit(": "), F.when(F.length("text") > 100, "(awaiting answer)").otherwise("answered"))
-    answered = F.count_if(F.col("text") != "")
-    steps = F.array_sort(F.collect_list(F.struct("turn", line.alias("t"))))
-    return read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(answered.alias("answered"), (answered >= 5).alias("complete"), F.array_join(F.transform(steps, lambda x: x["t"]), "\n").alias("chain"))
+    """Every third answer is still awaited."""
+    steps = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.when(F.col("turn") % 3 != 0, F.col("text")).alias("answer"))
+    return A.why_chain(steps, "session_id", "turn", "role", "answer").select("session_id", "answered", "complete", F.md5("chain").alias("chain_md5"))
 
 
 @registry.add("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang END AS filter_lang, lang NOT IN ('en', 'de') AS bad_filter FROM documents")

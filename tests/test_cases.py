@@ -188,3 +188,21 @@ def test_keyword_search_takes_a_word_of_any_length(spark):
     history = spark.createDataFrame([(1, "x" * 100_000 + "pump", None), (2, "a pumping station", None)], "wo_id long, description string, completed_date date")
     found = O.keyword_search(spark.createDataFrame([(7, "pump failure")], "incident_id long, text string"), history).collect()
     assert {r.wo_id for r in found} == {1, 2}
+
+
+def test_ontology_files(spark, tmp_path):
+    import json
+
+    from plantscribe.operators.graph import Ontology
+
+    def load(raw):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(raw))
+        return Ontology.load(spark, str(path))
+
+    good = {"version": "1", "node_types": {"A": {"required_properties": ["x"]}, "B": {"required_properties": [], "optional_properties": ["y"]}}, "allowed_relations": [{"source": "A", "relation": "R", "target": "B"}]}
+    own = load(good)
+    assert own.required == {"A": ("x",), "B": ()} and own.triples == (("A", "R", "B"),) and own.nodes(spark).count() == 2
+    for bad in ({}, good | {"node_types": {}}, good | {"node_types": {"A": {}}}, good | {"allowed_relations": [{"source": "A"}]}, good | {"allowed_relations": [{"source": "A", "relation": "R", "target": "C"}]}):
+        with pytest.raises(ValueError):
+            load(bad)
