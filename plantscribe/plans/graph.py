@@ -246,9 +246,14 @@ def similar_lessons(spark, sf_dir):
 
 @registry.add(f"WITH {LESSONS_SQL} SELECT query_id, r.lesson_id, round(s, 6) AS score, coalesce(nullif(summary, ''), description) AS warning FROM rk r JOIN les USING (lesson_id) WHERE rank = 1 AND round(s, 6) > 0.3")
 def proactive_warnings(spark, sf_dir):
-    """The best lesson's record, if it has one; the default threshold is 0.85, lower here so that some pass."""
-    best = similar(spark, sf_dir, 1).where("score > 0.3").drop("rank")
-    return best.join(lessons(spark, sf_dir), "lesson_id").select("query_id", "lesson_id", "score", F.coalesce(F.nullif("summary", F.lit("")), "description").alias("warning"))
+    e = read(spark, sf_dir, "embeddings")
+    return warned(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, lessons(spark, sf_dir))
+
+
+def warned(incidents, vectors, known, threshold=0.3):
+    """The best lesson's record, if it has one; the usual threshold is 0.85, lower here so that some pass."""
+    best = R.nearest(incidents, vectors, 1, exclude_self=True).withColumnRenamed("vec_id", "lesson_id").where(F.col("score") > threshold).drop("rank")
+    return best.join(known, "lesson_id").select("query_id", "lesson_id", "score", F.coalesce(F.nullif("summary", F.lit("")), "description").alias("warning"))
 
 
 @registry.add(f"""WITH {NODES_SQL}, l AS (SELECT doc_id AS lesson_id, 'CMP-' || doc_id AS asset_tag, ['FM-' || (doc_id % 10), 'FM-' || (doc_id % 4)] AS codes FROM documents)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..streaming import jobs as J, telemetry as S
 from ..session import shared_root
 from .base import POSTINGS_SQL, Registry, read
+from .graph import lessons, registry as graph_registry, warned
 from .operations import JOBS_SQL, NEWEST_SQL, as_jobs
 
 registry = Registry()
+warning_sql = graph_registry.sql["proactive_warnings"]
 W5 = "time_bucket(INTERVAL 5 MINUTE, ts)"
 
 
@@ -141,3 +143,13 @@ def ingest_stream(spark, sf_dir):
     met = J.current(spark, root).join(terms, ["doc_id", "version", "chunk_index"], "left")
     return met.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "token_count", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
+
+
+@registry.add(warning_sql)
+def proactive_warnings_stream(spark, sf_dir):
+    """Incidents stream in; each batch searches the standing lessons."""
+    root = shared(spark, "warnings")
+    vectors = read(spark, sf_dir, "embeddings")
+    incidents = J.table_stream(spark, f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    J.warnings(incidents, lessons(spark, sf_dir), lambda rows, known: warned(rows, vectors, known), root).awaitTermination()
+    return spark.read.parquet(f"{root}/warnings").drop("batch")
