@@ -141,3 +141,44 @@ def test_contradicting_and_null_labels(spark, docs):
     odd = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (2, None, None), (None, 1, 1), (3, 7, 7)], "doc_id long, quality int, toxic int")
     assert quality_model.classify(docs.limit(20), odd).select(F.max("score"), F.min("score")).first() == (0.5, 0.5)
     assert toxicity.classify(docs.limit(20), odd).count() == 20
+
+
+def test_language_query_against_brute_force(docs, odd_docs):
+    """Each n-gram, weight and probability anew; only the learned numbers are shared."""
+    model = language_id.train(docs.limit(300))
+    size, mask = language_id.DIMENSIONS, (1 << 64) - 1
+
+    def brute(text):
+        kept = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        kept = " " + " ".join(kept.split()) + " "
+        counts = {}
+        for n in (1, 2, 3):
+            for k in range(len(kept) - n + 1):
+                code = 0
+                for c in kept[k : k + n]:
+                    code = (code * 0x100000001B3 + ord(c)) & mask
+                h = ((code + n) * int(language_id.SALTS[n - 1]) & mask) >> (64 - language_id.DIMENSION_BITS)
+                counts[h] = counts.get(h, 0) + 1
+        if not kept.strip():
+            return "und", 0.0
+        x = {h: (1 + np.log(c)) * model.idf[h] for h, c in counts.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        s = np.array([sum(v / norm * model.weights[h, k] for h, v in x.items()) + model.weights[size, k] for k in range(len(model.languages))])
+        p = np.exp((s - s.max()) / model.temperature)
+        return model.languages[int(p.argmax())], float((p / p.sum()).max())
+
+    rows = odd_docs.union(odd_docs).select("doc_id", "text").union(docs.limit(40).select("doc_id", "text"))
+    texts = {(r.doc_id, i): r.text for i, r in enumerate(rows.collect())}
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.predict(rows, model).collect()]
+    for ((d, _), text), (doc_id, lang, score) in zip(texts.items(), got, strict=True):
+        assert d == doc_id and (lang, score) == (brute(text)[0], pytest.approx(brute(text)[1], abs=1e-4))
+
+
+def test_quality_query_against_brute_force(docs, labels, odd_docs):
+    """Scores from each text's features, by the plain formula; repeated rows score alike."""
+    model = quality_model.train(docs, labels)
+    rows = odd_docs.union(odd_docs).select("doc_id", "text").union(docs.limit(60).select("doc_id", "text"))
+    for r, want in zip(quality_model.score(rows, model).collect(), rows.collect(), strict=True):
+        s = sum((x - m) / d * w for x, m, d, w in zip(quality_model.features(want.text), model.mean, model.scale, model.weights, strict=True))
+        z = min(max((s - model.threshold) / model.temperature, -40), 40)
+        assert r.doc_id == want.doc_id and r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.5)

@@ -78,3 +78,28 @@ def test_sum_of_squares_places_as_brute_force_and_wastes_little():
         mine.append(best[1])
     assert len(set(sequence)) == mine.count(40)
     assert len(set(sequence)) <= 1.03 * -(-lengths.sum() // 40) + 1
+
+
+def test_one_row_many_times_spreads(spark):
+    rows = spark.range(0, 9000, 1, 6).selectExpr("cast(7 as long) doc_id", "'the same few words' text")
+    got = packing.pack(packing.token_pieces(rows), group_pieces=1000).selectExpr("sequence_id div 4294967296 as g").groupBy("g").count().collect()
+    assert len(got) == 9 and max(r["count"] for r in got) < 1300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be put together
+    path = token_orc.write_tokens(rows, scratch(spark, "t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = token_orc.read_tokens(spark, path).groupBy("part").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 4500
+    index = token_orc.token_index(spark, path).orderBy("start").collect()
+    assert [r.start for r in index] == [*range(0, 9000 * index[0].n_tokens, index[0].n_tokens)]
+
+
+def test_random_texts_have_the_library_s_ids():
+    import random
+
+    from plantscribe.llm.tokens import WordEncoder
+
+    own, library, rng = WordEncoder(default_vocabulary()), Tokenizer.from_file(default_vocabulary()), random.Random(1)
+    signs = [*"aAbéÉzZ09.,!?;:#$%&*|'\"()-_<>=/@ \n\t\r\x0b\x00\x7f́;İΣσß”“—日ñ", "'s", "<|startoftext|>", "<|ENDOFTEXT|>", " the ", "ing,"]
+    for _ in range(5000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(next(own.packed([text])), "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
