@@ -1,4 +1,4 @@
-"""Language of a text by its most frequent small words; a rule without a model."""
+"""Language of a text by twelve of its small words a language: a rule for routing, no model of the language."""
 
 from __future__ import annotations
 

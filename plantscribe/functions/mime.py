@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-OFFICE = "application/vnd.openxmlformats-officedocument."
 # File extension -> type.
 EXTENSIONS = {
-    ".pdf": "application/pdf", ".doc": "application/msword", ".docx": OFFICE + "wordprocessingml.document", ".xls": "application/vnd.ms-excel", ".xlsx": OFFICE + "spreadsheetml.sheet",
-    ".ppt": "application/vnd.ms-powerpoint", ".pptx": OFFICE + "presentationml.presentation", ".txt": "text/plain", ".log": "text/plain", ".text": "text/plain", ".md": "text/markdown",
+    ".pdf": "application/pdf", ".doc": "application/msword", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".xls": "application/vnd.ms-excel", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".ppt": "application/vnd.ms-powerpoint", ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".txt": "text/plain", ".log": "text/plain", ".text": "text/plain", ".md": "text/markdown",
     ".markdown": "text/markdown", ".csv": "text/csv", ".tsv": "text/tab-separated-values", ".json": "application/json", ".xml": "application/xml", ".html": "text/html", ".htm": "text/html",
     ".yaml": "application/x-yaml", ".yml": "application/x-yaml", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".tif": "image/tiff",
     ".tiff": "image/tiff", ".webp": "image/webp", ".eml": "message/rfc822", ".msg": "application/vnd.ms-outlook", ".zip": "application/zip",
 }
+# Declared types that tell nothing.
 GENERIC = ("", "application/octet-stream", "binary/octet-stream", "application/binary")
+# What is admitted, up to which size.
 ALLOWED = (*dict.fromkeys(EXTENSIONS.values()), "text/xml")
 MAX_BYTES = 100 << 20
 # First bytes in hex -> type.
 MAGIC = {"25504446": "application/pdf", "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "424D": "image/bmp", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "504B0304": "application/zip"}
+# Parser -> the types that it takes.
 PARSERS = {
     "text": ("text/plain",), "markdown": ("text/markdown",), "delimited": ("text/csv", "text/tab-separated-values"), "json": ("application/json",),
     "xml": ("application/xml", "text/xml"), "html": ("text/html",), "mail": ("message/rfc822",), "yaml": ("application/x-yaml",),

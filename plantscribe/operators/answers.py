@@ -8,9 +8,11 @@ from ..functions import text as X
 
 SOURCE_MARKER = r"(?i)\[source_(\d+)\]"
 CHUNK_MARKER = r"\[\[chunk:([^\]]+)\]\]"
+# Severities of gaps.
 SEVERITIES = ("CRITICAL", "MAJOR", "MINOR")
 RELATION = "array<struct<source_tag:string,source_type:string,relation_type:string,target_tag:string,target_type:string,confidence:double>>"
 GAP = "array<struct<clause:string,description:string,severity:string>>"
+# Fixed value: relations of less confidence are tentative.
 TENTATIVE_BELOW = 0.6
 
 

@@ -8,6 +8,7 @@ from ..functions import text as X
 
 # Progress percent by job status.
 JOB_PROGRESS = {"QUEUED": 5, "EXTRACTING": 20, "EXTRACTED": 40, "PARSING": 55, "CHUNKED": 70, "EMBEDDING": 85, "INDEXED": 90, "KG_EXTRACTING": 93, "KG_POPULATED": 97, "COMPLETED": 100, "FAILED": 0}
+# Statuses of open work orders, and the categories of causes in order.
 OPEN_STATUSES = ("OPEN", "IN_PROGRESS")
 CAUSE_CATEGORIES = ("Equipment", "Method", "Material", "Man", "Environment", "Measurement")
 
