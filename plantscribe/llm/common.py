@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,28 +80,90 @@ def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame,
     return left.join(right, [*key, "_salt"], how).drop("_salt")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``edges(a, b)`` -> ``(node, component)``, the smallest node that each can reach; all inside Spark.
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edges between ids -> ``(node, root, rounds)`` of all nodes but the roots: the smallest node that each can reach.
 
-    Each round sends the smallest label among a node's neighbours (pre-aggregated before the shuffle) and then jumps to the label
-    of the label. A round's table is written to the shared folder. Rounds grow with the logarithm of the path length for paths
-    whose ids are in no special order, and with the length at worst. Nodes of large degree and labels of large components are hot keys of
-    the joins and are dealt over several tasks.
+    Every root hooks onto its smallest neighbouring root, trees are flattened by pointer jumping, and edges are drawn between roots
+    again. A root that nobody joins has a smaller neighbour in the next round, so two rounds halve the roots at least.
+    """
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    parent, rounds = np.arange(len(ids)), 0
+    while len(u):
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        u, v = parent[u], parent[v]
+        u, v = u[u != v], v[u != v]
+        rounds += 1
+    moved = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[moved], ids[parent[moved]], rounds
+
+
+def _contract(block: int):
+    """Edges of a task, ``block`` at a time -> edges from each node to the smallest one that its block lets it reach; never more of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            a, b, _ = smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                held.append([part.column(k).to_numpy() for k in range(2)])
+                n += part.num_rows
+                if n >= block:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def connected_components(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """``edges(a, b)`` -> ``(node, component)``, the smallest node that each can reach, of every node that has an edge; all inside Spark.
+
+    A round contracts edges within each task first (``block`` at a time, ``smallest_reachable``). Then every node takes its smallest
+    neighbour as its parent, parents are replaced by theirs until nothing changes, and edges are drawn between what is left. Two
+    rounds halve the roots at least, whatever the order of ids along a path, and parents of a chain take as many steps as the logarithm
+    of its length, so there is no limit of rounds. Each table is written to the shared folder. Parents of many nodes are hot keys of the
+    joins and are dealt over several tasks.
     """
     keep = lambda df: stored(df, "components")
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    large = keep(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"]))
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], large).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = keep(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")))
-        giant = hot_keys(hooked.groupBy("component").agg(F.count("*").alias("n")), ["component"])
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        step = keep(spread_join(hooked, jump, ["component"], giant, "left").select("node", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")))
-        labels = step.select("node", "component")
-        if step.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+
+    def follow(rows: DataFrame, at: str, parents: DataFrame, hot: DataFrame) -> DataFrame:
+        met = spread_join(rows, parents.select(F.col("node").alias(at), F.col("parent").alias("_next")), [at], hot, "left")
+        return met.withColumn(at, F.coalesce("_next", at)).drop("_next")
+
+    todo, maps = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b"), []
+    while True:
+        todo = keep(todo.distinct().mapInArrow(_contract(block), "a long, b long").distinct())
+        parents = keep(todo.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
+        if parents.isEmpty():
+            break
+        while True:
+            hot = hot_keys(parents.groupBy("parent").agg(F.count("*").alias("n")), ["parent"])
+            jumped = keep(follow(parents.withColumn("_old", F.col("parent")), "parent", parents, hot))
+            parents = jumped.select("node", "parent")
+            if jumped.where("_old <> parent").isEmpty():
+                break
+        maps.append(parents)
+        left = todo.join(parents.withColumnRenamed("node", "a"), "a").where("parent <> b")  # one parent for each a
+        hot = hot_keys(left.groupBy("b").agg(F.count("*").alias("n")), ["b"])
+        left = follow(left.select(F.col("parent").alias("a"), "b"), "b", parents, hot).where("a <> b")
+        todo = keep(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if not maps:
+        return edges.sparkSession.createDataFrame([], "node long, component long")
+    labels = maps.pop()
+    while maps:
+        earlier = maps.pop()
+        hot = hot_keys(earlier.groupBy("parent").agg(F.count("*").alias("n")), ["parent"])
+        labels = keep(follow(earlier, "parent", labels, hot).unionByName(labels))
+    roots = labels.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()
+    return keep(labels.select("node", F.col("parent").alias("component")).unionByName(roots))
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
