@@ -12,6 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes of UTF-8 split here are exactly the words ``[^\x20\x09-\x0D]+``.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: SQL of the driver's oracle: the table of CRC-32, and the checksum of a text's UTF-8 bytes by a column ``crc_table`` that holds it.
+CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT))"
+
+
+def crc32_sql(text: str) -> str:
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda k: ('0x' || substr(hex(encode({text})), k::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

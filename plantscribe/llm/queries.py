@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import iso_media, language_id, nbest_pieces, packing, quality_model, quality_rules, simhash, substring_dedup, token_orc, toxicity
+from . import importance, iso_media, language_id, merkle, nbest_pieces, packing, quality_model, quality_rules, simhash, substring_dedup, token_orc, toxicity
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op9_quality_rules": quality_rules.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}

@@ -49,7 +49,7 @@ def test_rounds_grow_with_the_logarithm(shape):
     assert rounds <= 2 * math.log2(N)
 
 
-@pytest.mark.parametrize(("shape", "block"), [("random", 16), ("sorted", 1), ("many", 1 << 20), ("star", 64)])
+@pytest.mark.parametrize(("shape", "block"), [("random", 128), ("sorted", 1), ("many", 1 << 20), ("star", 64)])
 def test_components_of_large_shapes(spark, shape, block):
     a, b = (x[:2000] if shape in ("sorted", "random") else x for x in shapes()[shape])
     edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").repartition(5)
