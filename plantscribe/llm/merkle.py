@@ -26,7 +26,6 @@ from ..operators.ranking import positions
 from .common import CRC_TABLE_SQL, crc32_sql, hot_keys, spread_join, stored
 
 ARITY, HEIGHT, TAMPER_MODULUS = 3, 7, 2
-BLOCK = ARITY**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 SIBLINGS = "array<struct<left:string,right:string>>"
 Node = tuple[str, tuple]  # digest and children
@@ -71,10 +70,10 @@ def siblings(node: Node, place: int, span: int) -> list[tuple[str, str]]:
     return found[::-1]
 
 
-def levels_of(n: int) -> int:
-    """Levels above the leaves that a block builds in a source of ``n`` nodes: all of them, HEIGHT where more blocks follow."""
+def levels_of(n: int, height: int = HEIGHT) -> int:
+    """Levels above the leaves that a block builds in a source of ``n`` nodes: all of them, ``height`` where more blocks follow."""
     levels = 0
-    while n > 1 and levels < HEIGHT:
+    while n > 1 and levels < height:
         n, levels = -(-n // ARITY), levels + 1
     return levels
 
@@ -104,77 +103,88 @@ def _in_batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBa
 
 
 def _by_block(rows: DataFrame, run: Callable[[list[dict]], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """One call of ``run`` for each block of BLOCK places, its rows in order of ``place``."""
+    """One call of ``run`` for each block, its rows in order of ``place``."""
     placed = rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "place")
     return placed.mapInArrow(lambda batches: _in_batches((out for own in _blocks(batches) for out in run(own)), schema), ddl)
 
 
-def _blocked(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+def _blocked(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("place") / ARITY**height).cast("long"))
 
 
 NODES = pa.schema([("grp", pa.int64()), ("place", pa.int64()), ("node", pa.string()), ("n", pa.int64())])
 
 
-def _roots(own: list[dict]) -> Iterator[dict]:
-    n = own[0]["n"]
-    yield {"grp": own[0]["grp"], "place": own[0]["block"], "node": grow([r["node"] for r in own], levels_of(n))[0], "n": -(-n // BLOCK)}
+def _roots(height: int):
+    def run(own: list[dict]) -> Iterator[dict]:
+        n = own[0]["n"]
+        yield {"grp": own[0]["grp"], "place": own[0]["block"], "node": grow([r["node"] for r in own], levels_of(n, height))[0], "n": -(-n // ARITY**height)}
 
+    return run
 
-def towers(leaves: DataFrame) -> list[DataFrame]:
+
+def towers(leaves: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     """Nodes ``grp, place, node, n`` (n: nodes of the group) -> the tables of block roots above, up to one node a group."""
     tables = [leaves]
     while (tables[-1].agg(F.max("n").alias("n")).first()["n"] or 1) > 1:
-        tables.append(stored(_by_block(_blocked(tables[-1].select("grp", "place", "node", "n")), _roots, NODES, "grp long, place long, node string, n long"), "merkle-nodes"))
+        tables.append(stored(_by_block(_blocked(tables[-1].select("grp", "place", "node", "n"), height), _roots(height), NODES, "grp long, place long, node string, n long"), "merkle-nodes"))
     return tables
 
 
 PATHS = pa.schema([("grp", pa.int64()), ("place", pa.int64()), ("path", pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))])
 
 
-def _paths(own: list[dict]) -> Iterator[dict]:
-    """The first row of a block brings the path above it."""
-    above, rows = own[0]["path"], own[1:]
-    tree = grow([r["node"] for r in rows], levels_of(rows[0]["n"]))
-    span = ARITY ** levels_of(rows[0]["n"])
-    for k, row in enumerate(rows):
-        yield {"grp": row["grp"], "place": row["place"], "path": [{"left": a, "right": b} for a, b in siblings(tree, k, span)] + above}
+def _paths(height: int):
+    def run(own: list[dict]) -> Iterator[dict]:
+        above, rows = own[0]["path"], own[1:]  # the first row of a block brings the path above it
+        levels = levels_of(rows[0]["n"], height)
+        tree = grow([r["node"] for r in rows], levels)
+        for k, row in enumerate(rows):
+            yield {"grp": row["grp"], "place": row["place"], "path": [{"left": a, "right": b} for a, b in siblings(tree, k, ARITY**levels)] + above}
+
+    return run
 
 
-def _with_above(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _with_above(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
     """Nodes and, before those of each block, the path above the block."""
     heads = above.select("grp", F.col("place").alias("block"), F.lit(-1).cast("long").alias("place"), "path")
-    return _blocked(nodes).unionByName(heads, allowMissingColumns=True)
+    return _blocked(nodes, height).unionByName(heads, allowMissingColumns=True)
+
 
+def _paths_below(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
+    return _by_block(_with_above(nodes, above, height), _paths(height), PATHS, f"grp long, place long, path {SIBLINGS}")
 
-def paths(tables: list[DataFrame], top: DataFrame) -> DataFrame:
+
+def paths(tables: list[DataFrame], top: DataFrame, height: int = HEIGHT) -> DataFrame:
     """Paths ``grp, place, path`` of the nodes of ``tables[1]``, from the path of each group's last node down; as ``top`` where there is none."""
     for nodes in reversed(tables[1:-1]):
-        top = stored(_by_block(_with_above(nodes, top), _paths, PATHS, f"grp long, place long, path {SIBLINGS}"), "merkle-paths")
+        top = stored(_paths_below(nodes, top, height), "merkle-paths")
     return top
 
 
 PROOFS = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("leaf", pa.string()), ("proof_sha256", pa.string()), ("folded_root", pa.string())])
 
 
-def _proofs(own: list[dict]) -> Iterator[dict]:
-    above, rows = [(p["left"], p["right"]) for p in own[0]["path"]], own[1:]
-    levels = levels_of(rows[0]["n"])
-    span = ARITY**levels
-    tree = grow([r["node"] for r in rows], levels)
-    upper = "".join(a + b for a, b in above)
+def _proofs(height: int):
+    def run(own: list[dict]) -> Iterator[dict]:
+        above, rows = [(p["left"], p["right"]) for p in own[0]["path"]], own[1:]
+        levels = levels_of(rows[0]["n"], height)
+        tree, span = grow([r["node"] for r in rows], levels), ARITY**levels
+        upper = "".join(a + b for a, b in above)
+
+        def to_the_top(node: str) -> str:
+            for left, right in above:  # the ancestor's copy, whose other children are shared
+                node = digest(left + node + right)
+            return node
 
-    def to_the_top(node: str) -> str:
-        for left, right in above:  # the ancestor's copy, whose other children are shared
-            node = digest(left + node + right)
-        return node
+        first = to_the_top(tree[0])
+        for k, row in enumerate(rows):
+            proof = "".join(a + b for a, b in siblings(tree, k, span)) + upper
+            changed = row["tampered"]
+            folded = to_the_top(version(tree, k, span, changed)[0]) if changed else first
+            yield {"grp": row["grp"], "doc_id": row["doc_id"], "leaf": row["node"], "proof_sha256": digest(proof), "folded_root": folded}
 
-    first = to_the_top(tree[0])
-    for k, row in enumerate(rows):
-        proof = "".join(a + b for a, b in siblings(tree, k, span)) + upper
-        changed = row["tampered"]
-        folded = to_the_top(version(tree, k, span, changed)[0]) if changed else first
-        yield {"grp": row["grp"], "doc_id": row["doc_id"], "leaf": row["node"], "proof_sha256": digest(proof), "folded_root": folded}
+    return run
 
 
 def leaf(text: Column | None = None) -> Column:
@@ -190,7 +200,7 @@ def leaves(docs: DataFrame, modulus: int = TAMPER_MODULUS) -> DataFrame:
     return own.select("doc_id", "source", leaf().alias("node"), F.when(hit, leaf(F.replace("text", F.lit("\n"), F.lit("")))).alias("tampered"))
 
 
-def manifest(docs: DataFrame, modulus: int = TAMPER_MODULUS) -> DataFrame:
+def manifest(docs: DataFrame, modulus: int = TAMPER_MODULUS, height: int = HEIGHT) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of each row."""
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("name")  # null before all others
     order = [F.asc("name"), F.asc_nulls_first("doc_id"), F.asc("node"), F.xxhash64(F.monotonically_increasing_id())]
@@ -200,16 +210,16 @@ def manifest(docs: DataFrame, modulus: int = TAMPER_MODULUS) -> DataFrame:
     numbered = spread_join(placed, sources, ["name"], hot_keys(sources, ["name"]))
     nodes = stored(numbered.select("grp", (F.col("at") - F.col("start")).alias("place"), "node", "n", "doc_id", "tampered"), "merkle-numbered")
 
-    own = towers(nodes)
-    top = towers(own[-1].select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("place"), "node", F.lit(sources.count()).cast("long").alias("n")))
+    own = towers(nodes, height)
+    top = towers(own[-1].select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("place"), "node", F.lit(sources.count()).cast("long").alias("n")), height)
     root = F.lit(getattr(top[-1].first(), "node", None))  # one digest
     none = F.array().cast(SIBLINGS).alias("path")
-    of_top = paths(top, top[-1].select("grp", "place", none))  # paths of the top tree's blocks
+    of_top = paths(top, top[-1].select("grp", "place", none), height)  # paths of the top tree's blocks
     if len(top) > 1:
-        of_top = _by_block(_with_above(top[0], of_top), _paths, PATHS, f"grp long, place long, path {SIBLINGS}")
+        of_top = _paths_below(top[0], of_top, height)
     of_sources = stored(of_top.select(F.col("place").alias("grp"), F.lit(0).cast("long").alias("place"), "path"), "merkle-paths")
-    above = paths(own, of_sources)
-    proofs = _by_block(_with_above(nodes, above), _proofs, PROOFS, "grp long, doc_id long, leaf string, proof_sha256 string, folded_root string")
+    above = paths(own, of_sources, height)
+    proofs = _by_block(_with_above(nodes, above, height), _proofs(height), PROOFS, "grp long, doc_id long, leaf string, proof_sha256 string, folded_root string")
     subroots = own[-1].select("grp", F.col("node").alias("subroot"))
     met = spread_join(stored(proofs, "merkle-proofs"), subroots, ["grp"], hot_keys(sources, ["grp"]))
     return met.select("doc_id", "leaf", "subroot", root.cast("string").alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
