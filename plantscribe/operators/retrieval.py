@@ -23,6 +23,18 @@ def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return tokens.select(*keys, "_n", F.explode("_t").alias("term")).groupBy(*keys, "_n", "term").agg(F.count("*").alias("_c")).select(*keys, "term", (F.col("_c") / F.col("_n")).alias("tf"))
 
 
+def term_vectors(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, dimension, weight``: sparse unit vectors of hashed term counts, the embedder that needs no model.
+
+    Norms are summed up within the row, so that only the counts by dimension shuffle.
+    """
+    terms = chunks.select(*keys, F.transform(X.index_tokens(F.col(text)), lambda t: X.hashed_dimension(t)).alias("_d"))
+    each = terms.select(*keys, F.explode("_d").alias("dimension")).groupBy(*keys, "dimension").agg(F.count("*").alias("_n"))
+    whole = each.groupBy(*keys).agg(F.collect_list(F.struct("dimension", "_n")).alias("_all"))  # as many as dimensions
+    norm = F.sqrt(F.aggregate("_all", F.lit(0).cast("long"), lambda s, x: s + x["_n"] * x["_n"]))
+    return whole.select(*keys, norm.alias("_norm"), F.explode("_all").alias("_x")).select(*keys, "_x.dimension", F.round(F.col("_x._n") / F.col("_norm"), 6).alias("weight"))
+
+
 def document_frequencies(rows: DataFrame, document: str = "doc_id", scope: list[str] = ()) -> DataFrame:
     return rows.groupBy(*scope, "term").agg(F.countDistinct(document).alias("df"))
 

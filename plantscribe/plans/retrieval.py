@@ -257,6 +257,4 @@ def has_chunk_edges(spark, sf_dir):
 SELECT item_id, dimension, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM c""")
 def hashed_vectors(spark, sf_dir):
     """The embedder that needs no model: unit vectors of hashed term counts, sparse."""
-    terms = read(spark, sf_dir, "benchmark").select("item_id", F.explode(X.index_tokens(F.col("text"))).alias("t"))
-    counts = terms.groupBy("item_id", X.hashed_dimension(F.col("t")).alias("dimension")).agg(F.count("*").alias("n"))
-    return counts.select("item_id", "dimension", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("item_id"))), 6).alias("weight"))
+    return R.term_vectors(read(spark, sf_dir, "benchmark"), ["item_id"])

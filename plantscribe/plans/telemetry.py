@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..streaming import jobs as J, telemetry as S
 from ..session import shared_root
+from ..sources.keyed import KeyedTables
 from .base import POSTINGS_SQL, Registry, read
 from .graph import lessons, registry as graph_registry, warned
 from .operations import JOBS_SQL, NEWEST_SQL, as_jobs
@@ -139,11 +141,69 @@ def ingest_stream(spark, sf_dir):
     """Documents stream into chunks and postings."""
     root = shared(spark, "ingest")
     J.ingest(J.table_stream(spark, f"{sf_dir}/documents.parquet"), root).awaitTermination()
+    return ingested(spark, root)
+
+
+def ingested(spark, root):
     terms = J.current(spark, root, "postings").groupBy("doc_id", "version", "chunk_index").agg(F.count("*").alias("n_terms"))
     met = J.current(spark, root).join(terms, ["doc_id", "version", "chunk_index"], "left")
     return met.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "token_count", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
+CHANGED_SQL = f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 25 = 0 THEN ' ' WHEN doc_id % 10 = 0 THEN 'tested again: ' || text ELSE text END AS text FROM documents), {POSTINGS_SQL.replace('FROM documents', 'FROM changed')}, n AS (SELECT doc_id, chunk_index, count(*) AS n_terms FROM postings GROUP BY ALL)
+SELECT c.doc_id, c.chunk_index, md5(c.text) AS text_md5, c.token_count, coalesce(n_terms, 0) AS n_terms FROM chunks c LEFT JOIN n USING (doc_id, chunk_index)"""
+
+
+def change_every_tenth(spark, sf_dir, root):
+    """All documents in one batch; in a second one every tenth with another text and every 25th without any, given twice."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("version"))
+    text = F.when(F.col("doc_id") % 25 == 0, " ").otherwise(F.concat(F.lit("tested again: "), "text"))
+    tables = KeyedTables(spark, root, "doc_id")
+    for number, own in ((0, docs), (1, docs.where("doc_id % 10 = 0 OR doc_id % 25 = 0").withColumn("text", text)), (1, docs.limit(0))):
+        if tables.manifest()["done"].get("load", -1) < number:
+            batch = tables.batch()
+            J.described(batch, own, ["doc_id", "version"], number)
+            tables.commit(batch, own, "load", number)
+    return tables
+
+
+@registry.add(CHANGED_SQL)
+def keyed_replacement(spark, sf_dir):
+    """Chunks and postings on disk: a small batch replaces its documents, all others stay."""
+    return ingested(spark, change_every_tenth(spark, sf_dir, shared(spark, "keyed")).root)
+
+
+@registry.add(CHANGED_SQL)
+def compacted_replacement(spark, sf_dir):
+    """The same after compaction, with old batches cleared."""
+    tables = change_every_tenth(spark, sf_dir, shared(spark, "compacted"))
+    tables.compact()
+    tables.clear()
+    return ingested(spark, tables.root)
+
+
+TAGGED_SQL = POSTINGS_SQL.replace("FROM documents", "FROM tagged")
+
+
+@registry.add(rf"""WITH tagged AS (SELECT doc_id, CASE WHEN trim(text) <> '' THEN 'P-' || doc_id % 50 || ' and FT-7: ' || text END AS text FROM documents), {TAGGED_SQL},
+dims AS (SELECT doc_id, chunk_index, (('0x' || substr(md5(term), 1, 7))::BIGINT % 64) AS dimension, tf FROM postings),
+found AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(text, '\b(?:[A-Z]{{1,4}}-\d+[A-Z]?|[A-Z]{{1,4}}\d{{3,}}[A-Z]?)\b')) AS tag FROM chunks),
+ids AS (SELECT doc_id, chunk_index, sha256(doc_id || ':' || chunk_index) AS chunk_id FROM chunks),
+rows AS (SELECT 'chunks' AS stage, doc_id, md5(chunk_index || text) AS row_md5 FROM chunks UNION ALL SELECT 'postings', doc_id, md5(chunk_index || term) FROM postings
+UNION ALL SELECT 'vectors', doc_id, md5(chunk_index || ':' || dimension) FROM (SELECT DISTINCT doc_id, chunk_index, dimension FROM dims) UNION ALL SELECT 'entities', doc_id, md5(chunk_index || tag) FROM found
+UNION ALL SELECT 'edges', doc_id, md5(doc_id || chunk_id) FROM ids UNION ALL SELECT 'edges', doc_id, md5(chunk_id || tag) FROM (SELECT DISTINCT doc_id, chunk_index, tag FROM found) JOIN ids USING (doc_id, chunk_index))
+SELECT stage, doc_id, count(*) AS n, min(row_md5) AS first_md5, max(row_md5) AS last_md5, 0 AS batch_number FROM rows GROUP BY ALL""")
+def ingest_chain_stream(spark, sf_dir):
+    """The whole chain of one stream, table by table: rows of each document with their batch's number, which is one over all tables."""
+    root = shared(spark, "chain")
+    tagged = F.when(F.trim("text") != "", F.concat(F.lit("P-"), F.col("doc_id") % 50, F.lit(" and FT-7: "), "text"))
+    stream = J.table_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", tagged.alias("text"))
+    J.ingest(stream, root).awaitTermination()
+    tell = {"chunks": ("chunk_index", "text"), "postings": ("chunk_index", "term"), "vectors": ("chunk_index", F.lit(":"), "dimension"), "entities": ("chunk_index", "tag"), "edges": ("src", "dst")}
+    found = [J.current(spark, root, name).select(F.lit(name).alias("stage"), "doc_id", "batch_number", F.md5(F.concat(*own)).alias("row_md5")) for name, own in tell.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.groupBy("stage", "doc_id", "batch_number").agg(F.count("*").alias("n"), F.min("row_md5").alias("first_md5"), F.max("row_md5").alias("last_md5"))
+
 
 @registry.add(warning_sql)
 def proactive_warnings_stream(spark, sf_dir):

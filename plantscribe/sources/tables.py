@@ -36,13 +36,6 @@ def golden_json(spark: SparkSession, path: str) -> DataFrame:
     return golden_defaults(spark.read.schema(GOLDEN).json(path, multiLine=True))
 
 
-def write_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Replace the hash buckets that ``rows`` touch. Within a bucket a document is replaced whole: the caller passes a bucket's
-    kept rows as well (``replace_by``). Spark overwrites only the partitions present."""
-    spread = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

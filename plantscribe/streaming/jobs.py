@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.chunking import token_windows
+from ..operators.chunking import chunk_id, token_windows
+from ..operators.graph import extract_entities
 from ..operators.relational import progress
-from ..operators.retrieval import postings
+from ..operators.retrieval import postings, term_vectors
+from ..sources.keyed import Batch, KeyedTables
 
 
 def replayable(stream: DataFrame, name: str, root: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -22,27 +24,42 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def described(batch: Batch, own: DataFrame, keys: list[str], number: int) -> None:
+    """What a batch of texts becomes: chunks, and of the chunks postings, vectors, entities and edges. A text without words has none of them."""
+    chunk = [*keys, "chunk_index"]
+    numbered = lambda rows: rows.withColumn("batch_number", F.lit(number))
+    chunks = batch.put("chunks", numbered(token_windows(own, keys)))
+    batch.put("postings", numbered(postings(chunks, chunk)))
+    batch.put("vectors", numbered(term_vectors(chunks, chunk)))
+    entities = batch.put("entities", numbered(extract_entities(chunks, chunk)))
+    id_of = chunk_id(F.col(keys[0]), F.col("chunk_index"))
+    holds = chunks.select(*chunk, F.lit("HAS_CHUNK").alias("relation"), F.col(keys[0]).cast("string").alias("src"), id_of.alias("dst"))
+    names = entities.select(*chunk, F.lit("MENTIONS").alias("relation"), id_of.alias("src"), F.col("tag").alias("dst")).distinct()
+    batch.put("edges", numbered(holds.unionByName(names)))
+
+
 def ingest(documents: DataFrame, root: str, key: str = "doc_id") -> StreamingQuery:
-    """New documents become chunks and postings, each batch under its own number, so a replay overwrites its own rows only.
+    """New documents become chunks, postings, vectors, entities and edges, five tables under one batch number and one commit.
 
-    A document that comes again replaces what it had: ``current`` reads each document's newest batch. Different texts of one document
-    in a batch are all kept, told apart by ``version``. Documents without words give no chunk; ``seen`` notes them all the same.
+    A document that comes again replaces all that it had, and one whose newest text has no words has nothing. A batch that is replayed
+    counts once. Different texts of one document in a batch are all kept, told apart by ``version``.
     """
+    tables = KeyedTables(documents.sparkSession, root, key)
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.select(key).distinct().write.mode("overwrite").parquet(f"{root}/seen/batch={number}")
-        own = rows.select(key, "text").distinct().withColumn("version", F.row_number().over(W.partitionBy(key).orderBy("text")) - 1)
-        path = f"{root}/chunks/batch={number}"
-        token_windows(own, [key, "version"]).write.mode("overwrite").parquet(path)
-        postings(rows.sparkSession.read.parquet(path), [key, "version", "chunk_index"]).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        if tables.manifest()["done"].get("ingest", -1) >= number:
+            return
+        own, at = rows.select(key, "text").distinct(), tables.batch()
+        own = at.put("texts", own.withColumn("version", F.row_number().over(W.partitionBy(key).orderBy("text")) - 1))
+        described(at, own, [key, "version"], number)
+        tables.commit(at, own, "ingest", number)
 
     return replayable(documents, "ingest", root, batch)
 
 
 def current(spark: SparkSession, root: str, table: str = "chunks", key: str = "doc_id") -> DataFrame:
     """Of each document the rows of its newest batch; a document whose newest text has no words has none."""
-    newest = spark.read.parquet(f"{root}/seen").groupBy(key).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{root}/{table}").join(newest, [key, "batch"], "left_semi").drop("batch")
+    return KeyedTables(spark, root, key).read(table)
 
 
 def keyed(frame: DataFrame, name: str, root: str) -> StreamingQuery:

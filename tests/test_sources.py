@@ -1,17 +1,58 @@
-from plantscribe.operators import graph as G, relational as O
+from pyspark.sql import functions as F
+
+from plantscribe.operators import graph as G
 from plantscribe.sources import tables as T
+from plantscribe.sources.keyed import KeyedTables
+
+
+def state(tables, name="chunks"):
+    return sorted(tuple(r) for r in tables.read(name).collect())
 
 
 def test_keyed_replacement_on_disk(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    base = spark.createDataFrame([(d, k, "old") for d in range(20) for k in range(3)], "doc_id long, chunk_index int, text string")
-    T.write_by_key(base, path, "doc_id", 4)
+    """One key of a thousand is replaced, one deleted; the others stay, in all tables, also after compaction."""
+    tables = KeyedTables(spark, str(tmp_path / "store"), "doc_id")
+    base = spark.createDataFrame([(d, k, "old") for d in range(1000) for k in range(2)], "doc_id long, chunk_index int, text string")
+    assert tables.replace({"chunks": base, "postings": base.select("doc_id", F.lit("t").alias("term"))})
     new = spark.createDataFrame([(7, 0, "new")], "doc_id long, chunk_index int, text string")
-    touched = spark.read.parquet(path).drop("bucket").checkpoint()
-    T.write_by_key(O.replace_by(touched, new, "doc_id"), path, "doc_id", 4)
-    T.write_by_key(O.replace_by(spark.read.parquet(path).drop("bucket").checkpoint(), new, "doc_id"), path, "doc_id", 4)  # again: nothing changes
-    got = sorted((r.doc_id, r.chunk_index, r.text) for r in spark.read.parquet(path).collect())
-    assert got == sorted([(d, k, "old") for d in range(20) if d != 7 for k in range(3)] + [(7, 0, "new")])
+    gone = spark.createDataFrame([(7,), (9,)], "doc_id long")
+    tables.replace({"chunks": new, "postings": new.select("doc_id", F.lit("u").alias("term"))}, keys=gone)
+    want = sorted([(d, k, "old") for d in range(1000) if d not in (7, 9) for k in range(2)] + [(7, 0, "new")])
+    terms = sorted([(d, "t") for d in range(1000) if d not in (7, 9) for _ in range(2)] + [(7, "u")])
+    assert state(tables) == want and state(tables, "postings") == terms
+    tables.replace({"chunks": new})  # again: postings of the key go, since they aren't told anew
+    assert state(tables) == want and state(tables, "postings") == [x for x in terms if x[0] != 7]
+    assert tables.compact() and not tables.compact()
+    assert state(tables) == want and state(tables, "postings") == [x for x in terms if x[0] != 7]
+    tables.clear()
+    assert state(tables) == want and len(list((tmp_path / "store" / "data").iterdir())) == 1
+    more = spark.createDataFrame([(7, 1, "newest", 5)], "doc_id long, chunk_index int, text string, page int")
+    tables.replace({"chunks": more})
+    assert {tuple(r) for r in tables.read("chunks").where("doc_id < 9 AND doc_id > 5").collect()} == {(6, 0, "old", None), (6, 1, "old", None), (7, 1, "newest", 5), (8, 0, "old", None), (8, 1, "old", None)}
+
+
+def test_killed_and_repeated_writes(spark, tmp_path):
+    tables = KeyedTables(spark, str(tmp_path / "store"), "k")
+    rows = lambda *v: spark.createDataFrame(list(v), "k int, v string")
+    tables.replace({"t": rows((1, "a"), (2, "b"))}, stream="s", number=0)
+    killed = tables.batch()
+    killed.put("t", rows((1, "lost")))  # no commit follows
+    assert state(tables, "t") == [(1, "a"), (2, "b")]
+    assert tables.replace({"t": rows((2, "c"))}, stream="s", number=1)
+    assert not tables.replace({"t": rows((2, "twice"))}, stream="s", number=1)
+    assert state(tables, "t") == [(1, "a"), (2, "c")]
+    slow = tables.batch()  # a write that began before a compaction and ends after it
+    slow.put("t", rows((1, "late")))
+    tables.compact()
+    assert tables.commit(slow, rows((1, "late")))
+    assert state(tables, "t") == [(1, "late"), (2, "c")]
+    folders = tuple(b["folder"] for b in tables.manifest()["batches"])
+    two = [tables.batch(), tables.batch()]
+    for own in two:
+        own.put("t", tables.read("t"))
+    assert tables.commit(two[0], rows((1, ""), (2, "")), instead=folders)
+    assert not tables.commit(two[1], rows((1, ""), (2, "")), instead=folders)
+    assert state(tables, "t") == [(1, "late"), (2, "c")] and tables.manifest()["done"] == {"s": 1}
 
 
 def test_files_csv_and_appends(spark, tmp_path):
