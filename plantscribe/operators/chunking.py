@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from .trees import json_walk, leaves, xml_walk
 
 WINDOW, OVERLAP = 768, 64
 
@@ -82,46 +83,23 @@ def readable_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def json_leaves(rows: DataFrame, keys: list[str], json: str, depth: int | None = None) -> DataFrame:
-    """``keys, path, value``: dotted path of each scalar at any level, or down to ``depth``; invalid JSON gives its paragraphs, without a path.
-
-    One job a level finds whether anything nested is left.
-    """
-    parsed = rows.select(*keys, F.col(json).alias("_json"), F.try_parse_json(F.col(json)).alias("v"))
-    broken = paragraphs(parsed.where("v IS NULL AND _json IS NOT NULL"), keys, "_json")
-    leaves = broken.select(*keys, F.lit(None).cast("string").alias("path"), F.col("text").alias("value"))
-    level = parsed.where("v IS NOT NULL").select(*keys, F.lit("").alias("path"), "v")
-    done = 0
-    while True:
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves = leaves.unionByName(level.where(~nested).select(*keys, "path", F.expr("cast(v as string)").alias("value")))
-        if done == depth:
-            return leaves
-        level = level.where(nested).lateralJoin(_variants()).select(*keys, F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("_e.key", F.col("_e.pos").cast("string"))).alias("path"), F.col("_e.value").alias("v"))
-        done += 1
-        if level.isEmpty():
-            return leaves
-
-
-def _variants():
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    return spark.tvf.variant_explode(F.col("v").outer()).select(F.struct("pos", "key", "value").alias("_e"))
+    """``keys, pos, path, value``: dotted path of each scalar in document order, at any level or down to ``depth``; invalid JSON gives
+    its paragraphs, without a path. One pass, whatever the depth."""
+    parsed = leaves(rows, keys, json, json_walk)
+    found = parsed.select(*keys, F.posexplode("_leaves").alias("pos", "_e")).select(*keys, "pos", F.col("_e.name").alias("path"), "_e.value")
+    if depth is not None:
+        found = found.where(F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", r"\."))) <= depth)
+    broken = paragraphs(parsed.where("_leaves IS NULL AND _text IS NOT NULL"), keys, "_text")
+    return found.unionByName(broken.select(*keys, F.col("chunk_index").alias("pos"), F.lit(None).cast("string").alias("path"), F.col("text").alias("value")))
 
 
 def xml_leaves(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, pos, line``: ``tag: text`` of each element that starts with text, without namespaces; of malformed XML, and of XML
-    without text, the paragraphs. CDATA without markup counts as text, comments don't."""
-    parsed = docs.select(*keys, F.col(text).alias("_x"), F.from_xml(F.col(text), "_corrupt_record string", {"mode": "PERMISSIVE"}).alias("_p"))
-    clean = F.regexp_replace(F.regexp_replace("_x", r"(?s)<!--.*?-->", ""), r"<!\[CDATA\[([^<&\]]*)\]\]>", "$1")
-    leaves = F.regexp_extract_all(clean, F.lit(r"<([A-Za-z_][^<>\s/]*)(?:\s[^<>]*[^<>/]|\s*)>\s*([^<>]*[^<>\s])\s*<"), F.lit(0))
-    rows = parsed.withColumn("_m", F.when(F.col("_p._corrupt_record").isNull() & F.col("_x").rlike(r"^\s*<"), leaves).otherwise(F.array()))
-    found = rows.select(*keys, F.posexplode("_m").alias("pos", "_m"))
-    tag = F.regexp_replace(F.regexp_extract("_m", r"<([^<>\s/]+)", 1), r"^.*:", "")
-    lines = found.select(*keys, "pos", F.concat(tag, F.lit(": "), X.unescape(F.trim(F.regexp_extract("_m", r"(?s)>\s*(.*?)\s*<$", 1)))).alias("line"))
-    rest = paragraphs(rows.where(F.size("_m") == 0), keys, "_x").select(*keys, F.col("chunk_index").alias("pos"), F.col("text").alias("line"))
-    return lines.unionByName(rest)
+    without text, the paragraphs."""
+    parsed = leaves(docs, keys, text, xml_walk)
+    lines = parsed.select(*keys, F.posexplode("_leaves").alias("pos", "_e")).select(*keys, "pos", F.concat("_e.name", F.lit(": "), "_e.value").alias("line"))
+    rest = paragraphs(parsed.where("_text IS NOT NULL AND coalesce(size(_leaves), 0) <= 0"), keys, "_text")
+    return lines.unionByName(rest.select(*keys, F.col("chunk_index").alias("pos"), F.col("text").alias("line")))
 
 
 MAIL_FIELDS = ("From", "To", "Cc", "Date", "Subject")  # fixed values, in this order

@@ -142,19 +142,31 @@ def delimited_lines(spark, sf_dir):
     return C.readable_rows(tables(spark, sf_dir), ["doc_id"]).select("doc_id", "row", F.md5("line").alias("line_md5"))
 
 
-@registry.add("SELECT event_id, unnest(['id', 'a.k', 'a.list.0', 'a.list.1.z']) AS path, unnest([event_id::VARCHAR, props ->> 'k', event_type, 'deep']) AS value FROM events")
+@registry.add("""WITH l AS (SELECT doc_id, source, lang, n_chars, string_split(text, chr(10)) AS ls, replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(10) || chr(10)) AS spread FROM documents),
+p AS (SELECT doc_id, unnest(string_split('{"id": ' || doc_id || ', ' || spread, chr(10) || chr(10))) AS part FROM l WHERE doc_id % 5 = 0)
+SELECT doc_id, unnest(['id', 'meta.source', 'meta.size.0', 'meta.size.1.deep.a', 'meta.size.1.ok', 'meta.size.1.none'] || list_transform(range(len(ls)), lambda k: 'body.' || k || '.line')) AS path,
+ unnest(list_transform([doc_id::VARCHAR, source, n_chars || '.50', '1e3', 'true', NULL] || ls, lambda v: md5(v))) AS value_md5, unnest(range(6 + len(ls)))::INT AS pos FROM l WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id, NULL, md5(t), (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT FROM (SELECT doc_id, k, regexp_replace(part, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS t
+ FROM (SELECT doc_id, unnest(string_split('{"id": ' || doc_id || ', ' || spread, chr(10) || chr(10))) AS part, unnest(range(len(string_split('{"id": ' || doc_id || ', ' || spread, chr(10) || chr(10))))) AS k FROM l WHERE doc_id % 5 = 0)) WHERE t <> ''""")
 def json_leaves(spark, sf_dir):
-    js = F.concat(F.lit('{"id": '), "event_id", F.lit(', "a": {"k": '), F.get_json_object("props", "$.k"), F.lit(', "list": ["'), "event_type", F.lit('", {"z": "deep"}]}}'))
-    return C.json_leaves(read(spark, sf_dir, "events").select("event_id", js.alias("js")), ["event_id"], "js")
+    """Whole texts line by line in nested JSON, beside numbers, flags and null; every fifth document is cut off and falls back to its paragraphs."""
+    lines = F.to_json(F.transform(F.split("text", r"\n", -1), lambda t: F.struct(t.alias("line"))))
+    good = F.concat(F.lit('{"id": '), "doc_id", F.lit(', "meta": {"source": "'), "source", F.lit('", "size": ['), "n_chars", F.lit('.50, {"deep": {"a": 1e3}, "ok": true, "none": null}], "empty": {}, "also": []}, "body": '), lines, F.lit("}"))
+    spread = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\n\n"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"id": '), "doc_id", F.lit(", "), spread)).otherwise(good).alias("js"))
+    return C.json_leaves(rows, ["doc_id"], "js").select("doc_id", "pos", "path", F.md5("value").alias("value_md5"))
 
 
 @registry.add(r"""WITH x AS (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, text FROM documents), p AS (SELECT doc_id, unnest(string_split('<r><a>' || replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(10) || chr(10)) || '</b></r>', chr(10) || chr(10))) AS part FROM documents WHERE doc_id % 5 = 0)
-SELECT doc_id, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(['id: ' || doc_id, 'body: ' || t, 'lang: ' || lang]) AS line FROM x WHERE doc_id % 5 <> 0) WHERE line <> 'body: '
+SELECT doc_id, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(['id: ' || doc_id, 'body: ' || t, 'in: 1 < 2 & é', 'raw: <q a="b">' || t || '</q> and', 'lang: ' || lang]) AS line FROM x WHERE doc_id % 5 <> 0) WHERE line <> 'body: '
 UNION ALL SELECT doc_id, md5(regexp_replace(part, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) FROM p WHERE regexp_replace(part, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') <> ''""")
 def xml_leaves(spark, sf_dir):
-    """Whole texts, escaped, as elements; every fifth document is malformed and falls back to its paragraphs."""
+    """Whole texts, escaped and as CDATA, among mixed content, attributes with marks, references and comments; every fifth document is
+    malformed and falls back to its paragraphs."""
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    good = F.concat(F.lit("<r><id>"), "doc_id", F.lit('</id>\n <x:body xmlns:x="u" kind="a"> '), escaped, F.lit("</x:body><empty/><b><lang>"), "lang", F.lit("</lang></b></r>"))
+    inner = F.lit('<c.in kind="x>y"> <!-- <no>tag</no> --><in>1 &lt; 2 &amp; &#233;</in> tail </c.in>')
+    raw = F.concat(F.lit('<raw><![CDATA[<q a="b">'), F.regexp_replace("text", r"^\s+|\s+$", ""), F.lit("</q>]]> and<empty/> more</raw>"))
+    good = F.concat(F.lit("<r><id>"), "doc_id", F.lit('</id>\n <x:body xmlns:x="u" kind=\'a>"b\'> '), escaped, inner, F.lit(" after </x:body><empty/>"), raw, F.lit("<b><lang>"), "lang", F.lit("</lang></b></r>"))
     bad = F.concat(F.lit("<r><a>"), F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\n\n")), F.lit("</b></r>"))
     rows = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, bad).otherwise(good).alias("text"))
     return C.xml_leaves(rows, ["doc_id"]).select("doc_id", F.md5("line").alias("line_md5"))
