@@ -6,7 +6,9 @@ agree, so groups are formed first: nodes that share one of BANDS MinHash keys of
 node, not in pairs, and nodes joined by such links are a group; rows grow with the nodes only. At a similarity of 0.8 a pair
 shares no key with a probability of 0.0004. Each group meets in a task, where the SimHash fingerprints of the shingles are compared
 bit-sliced (``simhash.links_of``): at 0.8 some 10 of 64 bits differ, and more than RADIUS with a probability below 0.0001. Pairs
-within the radius that aren't joined yet are compared exactly. A group beyond CHUNK nodes is dealt in pairs of chunks.
+within the radius that aren't joined yet are compared exactly. A group beyond CHUNK nodes is dealt in chunks, and its smallest node, the
+leader, is compared in each of them. Nodes that are joined to the leader then need no comparison among each other: only the rest is
+compared with the group, in pairs of chunks. A group of copies of one text travels once, whatever its size.
 
 Shingles are 64-bit hashes. Null, empty and blank texts have the empty set and are copies of each other; shorter texts have one
 shingle. Rows are told apart by a number of their own, so rows that repeat a doc_id or have none are compared like any other.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import connected_components, cut, hot_keys, spread_join, stored
 from .simhash import links_of
@@ -97,12 +99,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 512)
             sets = [shingles(x.as_py()) for x in part.column(1)]
             prints = pa.array([fingerprint(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), prints, _lists(sets)], ["node", "grp", "chunks", "fp", "own"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), prints, _lists(sets)], ["node", "joined", "buckets", "fp", "own"])
 
 
-def forest(nodes: list[int], fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that join all linked nodes of a group, at most one fewer than nodes."""
-    root, sizes, edges = np.arange(len(nodes)), np.array([len(x) for x in sets]), []
+def forest(nodes: list[int], joined: list[int], fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that join all linked nodes of a group, at most one fewer than nodes. Nodes with one ``joined`` are joined already."""
+    root, sizes, edges = np.unique(joined, return_inverse=True)[1], np.array([len(x) for x in sets]), []
     for first in range(0, len(nodes), 256):
         rows, others = links_of(fps, first, min(first + 256, len(nodes)), RADIUS)
         for i, js in zip(np.unique(rows).tolist(), np.split(others, np.flatnonzero(np.diff(rows)) + 1), strict=True) if len(rows) else ():
@@ -118,19 +120,53 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket -> edges."""
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
-        if len(rows) > 1 and (found := forest([r[0] for r in rows], np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows])):
+        node, joined, prints, sets = zip(*rows, strict=True) if rows else ((), (), (), ())
+        if len(rows) > 1 and (found := forest(node, joined, np.array(prints, np.int64).view(np.uint64), sets)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     held, bucket = [], None
     for batch in batches:
-        for k, (b, node, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+        for k, (b, node, joined, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
             if b != bucket:
                 yield from flush(held)
                 held, bucket = [], b
-            held.append((node, fp, batch.column(3)[k].values.to_numpy().view(np.uint64).copy()))  # a view would hold its whole batch
+            held.append((node, joined, fp, batch.column(4)[k].values.to_numpy().view(np.uint64).copy()))  # a view would hold its whole batch
     yield from flush(held)
 
 
+def _meet(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``dealt(row, joined, buckets)``: the texts go to all of their buckets; edges ``(a, b)`` of the links within. Mixing two buckets adds only true links."""
+    found = rows.select("row", "text").join(dealt.select("row", "joined", "buckets"), "row").mapInArrow(_sets, "node long, joined long, buckets array<long>, fp long, own array<long>")
+    placed = found.select(F.explode("buckets").alias("bucket"), "node", "joined", "fp", "own").repartition("bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(_compare, "a long, b long")
+
+
+def _chunk(n: str, size: int) -> Column:
+    return F.pmod(F.xxhash64("row", F.lit(1)), F.greatest(F.ceil(F.col(n) / size), F.lit(1))).cast("int")
+
+
+def _numbers(n: Column) -> Column:
+    """0 up to n, exclusive; none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _rest(rows: DataFrame, members: DataFrame, near: DataFrame, chunk: int) -> DataFrame:
+    """Edges in groups beyond a chunk that the leader and the single chunks left open: nodes that aren't joined to the leader, with all."""
+    labels = connected_components(near)
+    large = cut(members.where(F.col("n") > chunk).select("row", "grp").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("joined", F.coalesce("component", "row")))
+    open_ = F.col("joined") != F.col("grp")  # the leader is the smallest of its group
+    sizes = cut(large.groupBy("grp").agg(F.count_if(open_).alias("n_open"), F.count_if(~open_).alias("n_done"), F.count("*").alias("n")).where("n_open > 0"))
+    met = spread_join(large, sizes.drop("n"), ["grp"], hot_keys(sizes, ["grp"]))
+    chunks = lambda n: F.ceil(F.col(n) / chunk)
+    mine = F.when(open_, _chunk("n_open", chunk)).otherwise(_chunk("n_done", chunk))
+    pair = lambda kind, a, b: F.xxhash64("grp", F.lit(kind), a, b)
+    among = F.transform(_numbers(chunks("n_open")), lambda k: pair(0, F.least("mine", k), F.greatest("mine", k)))
+    across = F.transform(_numbers(chunks("n_done")), lambda k: pair(1, F.col("mine"), k))
+    to_open = F.transform(_numbers(chunks("n_open")), lambda k: pair(1, k, F.col("mine")))
+    buckets = F.when(open_, F.concat(among, across)).otherwise(to_open)
+    return _meet(rows, cut(met.withColumn("mine", mine).withColumn("buckets", buckets).select("row", "joined", "buckets")))
+
+
 def edges(rows: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Texts of ``rows`` and distinct sets ``(node, bands)`` -> forest edges ``(a, b)`` of all links."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -139,15 +175,15 @@ def edges(rows: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     met = spread_join(keyed, first.select("key", "a"), ["key"], hot_keys(first, ["key"]))
     groups = connected_components(met.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     sizes = cut(groups.groupBy("component").agg(F.count("*").alias("n")))
-    sized = spread_join(groups, sizes.select("component", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), ["component"], hot_keys(sizes, ["component"]))
-    members = cut(sized.select(F.col("node").alias("row"), F.col("component").alias("grp"), "chunks"))
-    found = rows.select("row", "text").join(members, "row").mapInArrow(_sets, "node long, grp long, chunks int, fp long, own array<long>")
-    found = found.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
-    partners = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("mine")))
-    found = found.withColumn("other", F.explode(partners))
-    bucket = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))  # mixing two buckets adds only true links
-    placed = found.select(bucket.alias("bucket"), "node", "fp", "own").repartition("bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(_compare, "a long, b long")
+    sized = spread_join(groups, sizes, ["component"], hot_keys(sizes, ["component"]))
+    members = cut(sized.select(F.col("node").alias("row"), F.col("component").alias("grp"), "n"))
+    places = F.when(F.col("row") == F.col("grp"), _numbers(F.ceil(F.col("n") / chunk))).otherwise(F.array(_chunk("n", chunk)))
+    dealt = members.select("row", F.col("row").alias("joined"), F.transform(places, lambda k: F.xxhash64("grp", k)).alias("buckets"))
+    near = _meet(rows, dealt)
+    if members.where(F.col("n") > chunk).isEmpty():
+        return near
+    near = stored(near, "near")
+    return near.unionByName(_rest(rows, members, near, chunk))
 
 
 def components(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -58,3 +59,32 @@ def test_stage_drops_copies_with_changed_words(spark):
     comp, _ = brute_components([r[:2] for r in rows])
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
     assert kept == {d for d, c in comp.items() if d == c}
+
+
+def test_large_group_travels_once(spark, monkeypatch):
+    """Near copies of one text link to the leader: nothing is left to compare in pairs of chunks; an outlier in the group is compared with all."""
+    from plantscribe.llm import shingle_dedup as S
+
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
+
+    def copy(k, changed):
+        own = list(base)
+        for at in range(changed):
+            own[119 - at] = f"x{k}-{at}"
+        return " ".join(own)
+
+    texts = [copy(k, 6) for k in range(300)] + [copy(1000, 18), copy(1000, 17) + " end", "quite another text of its own here"]
+    docs = S.numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    sent = []
+    monkeypatch.setattr(S, "_meet", lambda rows, dealt, meet=S._meet: (sent.append(dealt.selectExpr("sum(size(buckets))").first()[0] or 0), meet(rows, dealt))[1])
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs.select("doc_id", "text"), chunk=16).collect()}
+    sets = [S.shingles(t) for t in texts]
+    want = {k: k for k in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and S.jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert got == want
+    assert sent[0] < 2 * len(texts) and sum(sent) < 5 * len(texts)
