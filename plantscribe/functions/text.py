@@ -37,11 +37,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _one_of(values: tuple[str, ...]) -> str:
+    """A pattern of these words, those with one first letter together."""
+    firsts = dict.fromkeys(v[0] for v in values)
+    return "|".join(f"{f}(?:{'|'.join(v[1:] for v in values if v[0] == f)})" for f in firsts)
+
+
+#: One pass of the pattern leaves stop words and single characters out; a filter over the tokens would run outside generated code.
+INDEX_TOKEN = rf"(?<![a-z0-9_\-])(?!(?:{_one_of(INDEX_STOP_WORDS)})(?![a-z0-9_\-]))[a-z0-9_\-]{{2,}}+"
+
+
 def index_tokens(text: Column) -> Column:
     """Lower-cased index terms without stop words and single characters."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-zA-Z0-9_\-]+"), F.lit(0))
-    stop = F.array(*map(F.lit, INDEX_STOP_WORDS))
-    return F.filter(found, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(INDEX_TOKEN), F.lit(0))
 
 
 def keywords(text: Column, limit: int = 6) -> Column:

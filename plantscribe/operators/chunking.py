@@ -17,7 +17,8 @@ def token_windows(docs: DataFrame, keys: list[str], text: str = "text", window:
     Empty texts give no chunk. No shuffle: windows are numbered within their row.
     """
     step = window - overlap
-    rows = docs.withColumn("_w", X.words(F.col(text))).withColumn("_n", F.size("_w")).where("_n > 0")
+    some = docs.where(F.col(text).rlike(X.WORD))  # a filter on the words' number would split every text a second time
+    rows = some.withColumn("_w", X.words(F.col(text))).withColumn("_n", F.size("_w"))
     single = (F.col("_n") <= window) | (F.coalesce(whole, F.lit(False)) if whole is not None else F.lit(False))
     starts = F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("_n") - overlap - 1), F.lit(step)))
     rows = rows.select(*keys, text, "_w", "_n", single.alias("_one"), F.posexplode(starts).alias("chunk_index", "_s"))

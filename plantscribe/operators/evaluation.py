@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ranking import values_at
 
 MAX_HALLUCINATION = 0.15
 
 
+def golden_names(golden: DataFrame) -> DataFrame:
+    """``golden(query_id, source, page, alternates array)`` -> one row ``query_id, slug, golden_page, main`` for each name."""
+    main = golden.select("query_id", F.lower("source").alias("slug"), F.col("page").alias("golden_page"), F.lit(True).alias("main"))
+    return main.unionByName(golden.select("query_id", F.explode(F.transform("alternates", lambda a: F.lower(a))).alias("slug"), F.lit(None).cast("int").alias("golden_page"), F.lit(False).alias("main")))
+
+
 def golden_hits(golden: DataFrame, ranked: DataFrame) -> DataFrame:
     """``query_id, rank`` of ranked chunks of a golden source.
 
-    ``golden(query_id, source, page, alternates array)``, ``ranked(query_id, rank, document, title_stem, page)``: the source
-    matches by document or stem, with pages at most one apart where both are known; alternates match by document alone.
+    ``golden`` as rows of ``golden_names``, or as these are made of; ``ranked(query_id, rank, document, title_stem, page)``. The main source
+    matches by document or stem, with pages at most one apart where both are known; alternates match by document alone. Names stay rows,
+    so a question may have any number of them.
     """
-    main = golden.select("query_id", F.lower("source").alias("slug"), F.col("page").alias("golden_page"), F.lit(True).alias("main"))
-    other = golden.select("query_id", F.explode(F.transform("alternates", lambda a: F.lower(a))).alias("slug"), F.lit(None).cast("int").alias("golden_page"), F.lit(False).alias("main"))
+    known = golden if "slug" in golden.columns else golden_names(golden)
     names = ranked.select("query_id", "rank", "page", F.explode(F.array_distinct(F.array(F.lower("document"), F.lower("title_stem")))).alias("slug"))
     near = F.coalesce(F.abs(F.col("page") - F.col("golden_page")) <= 1, F.lit(True))
-    return names.join(main.unionByName(other), ["query_id", "slug"]).where(~F.col("main") | near).select("query_id", "rank").distinct()
+    return known.join(names, ["query_id", "slug"]).where(~F.col("main") | near).select("query_id", "rank").distinct()
 
 
 def first_hit_ranks(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -63,18 +71,26 @@ def exclusive_percentile(sorted_values: Column, p: int) -> Column:
 def latency_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, median, exclusive 95th and 99th percentile, least and largest, one place.
 
-    Values are sorted by Spark first and only the four around the two percentiles are gathered, so a group of any size is fine.
+    Values are counted, sorted over all tasks and only those at the wanted ranks are gathered, so a group may hold any share of the rows.
     """
-    n = F.count("*").over(W.partitionBy(*keys))
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), n.alias("_n"), F.row_number().over(W.partitionBy(*keys).orderBy(value)).alias("_k"))
+    below = lambda n, p: F.least(F.greatest(F.floor((n + 1) * p / 100), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+    ranks = {"_m0": lambda n: F.floor((n - 1) / 2), "_m1": lambda n: F.floor(n / 2)}
+    for p in (95, 99):
+        ranks |= {f"_a{p}": lambda n, p=p: below(n, p) - 1, f"_b{p}": lambda n, p=p: F.least(below(n, p), n - 1)}
+    found = values_at(rows.withColumn("_d", F.col(value).cast("double")), keys, "_d", ranks)
 
     def at(p: int) -> Column:
-        j = F.least(F.greatest(F.floor((F.col("_n") + 1) * p / 100), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
-        delta = (F.col("_n") + 1) * p - j * 100
-        part = F.when(F.col("_n") == 1, F.col("_v")).when(F.col("_k") == j, F.col("_v") * (100 - delta) / 100).when(F.col("_k") == j + 1, F.col("_v") * delta / 100)
-        return F.round(F.sum(part), 1)
+        delta = (F.col("n") + 1) * p - below(F.col("n"), p) * 100
+        mixed = F.col(f"_a{p}") * (100 - delta) / 100 + F.col(f"_b{p}") * delta / 100
+        return F.round(F.when(F.col("n") == 1, F.col(f"_a{p}")).otherwise(mixed), 1)
+
+    return found.select(*keys, "n", F.round((F.col("_m0") + F.col("_m1")) / 2, 1).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round("least", 1).alias("min"), F.round("largest", 1).alias("max"))
+
 
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median("_v"), 1).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.min("_v"), 1).alias("min"), F.round(F.max("_v"), 1).alias("max"))
+def group_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median, least and largest value of each group, whatever its size."""
+    found = values_at(rows, keys, value, {"_m0": lambda n: F.floor((n - 1) / 2), "_m1": lambda n: F.floor(n / 2)})
+    return found.select(*keys, ((F.col("_m0") + F.col("_m1")) / 2).alias("median"), F.col("least").alias("min"), F.col("largest").alias("max"))
 
 
 def extraction_report(chunks: DataFrame, entities: DataFrame, relations: DataFrame, document: str = "doc_id", failed: str = "failed") -> DataFrame:

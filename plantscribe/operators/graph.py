@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
+from ..session import stored
 
 # Tag prefix -> (type, measurement, class).
 TAG_PREFIXES: dict[str, tuple[str, str | None, str | None]] = {
@@ -220,25 +221,67 @@ def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.dropDuplicates(["src", "relation", "dst"])
 
 
+#: A hub holds more than one in HUB_SHARE of all steps (so there are at most HUB_SHARE hubs) and HUB_STEPS; its steps are dealt over PARTS tasks.
+HUB_SHARE, HUB_STEPS, PARTS = 1000, 1000, 64
+
+
+class Steps:
+    """Edges from each of their ends, ``node, next, src, relation, dst``, those of hubs dealt by their other end."""
+
+    def __init__(self, edges: DataFrame) -> None:
+        ends = lambda a, b: edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "src", "relation", "dst")
+        self.rows = ends("src", "dst").unionByName(ends("dst", "src").where("src <> dst"))
+        counts = self.rows.groupBy("node").agg(F.count("*").alias("_n"))
+        total = edges.count() * 2
+        self.hubs = F.broadcast(counts.where(F.col("_n") > max(total / HUB_SHARE, HUB_STEPS)).select("node", F.lit(True).alias("_hub")))
+        part = F.when(F.col("_hub"), F.pmod(F.xxhash64("next", "relation"), F.lit(PARTS))).otherwise(0).cast("int")
+        self.dealt = self.rows.join(self.hubs, "node", "left").withColumn("_part", part).drop("_hub")
+
+    def of(self, frontier: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
+        """``seed, node`` with all steps of the node; a hub's frontier row goes to each of its parts."""
+        parts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        sent = frontier.join(self.hubs, "node", "left").withColumn("_part", F.explode(parts)).drop("_hub")
+        return sent.join(self.dealt if dealt is None else dealt, ["node", "_part"])
+
+    def first(self, limit: int) -> DataFrame:
+        """Of each node (and part) the first steps in order, outwards and inwards; Spark limits them before it shuffles."""
+        order = W.partitionBy("node", "_part", F.col("node") == F.col("src")).orderBy("src", "relation", "dst")
+        return self.dealt.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= limit).drop("_k")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None = None) -> DataFrame:
     """``seed, src, relation, dst``: edges among all nodes within ``depth`` steps of each seed, either direction.
 
-    Frontiers are joined level by level and known nodes dropped before the next; a limit takes a seed's first edges
-    in a fixed order. Edges that lack an end are dropped; a seed without edges gives no row and disturbs no other.
+    Edges that touch a node nearer than ``depth`` belong whatever their other end is, so only those between two nodes of the last level
+    have to be looked for. With a limit a seed gets its first edges by ``src, relation, dst``: a node sends no more steps than that, and the last
+    level is only entered as far as names come before the last edge that is known already. Steps of hubs are dealt over several tasks.
+    Edges that lack an end are dropped; a seed without edges gives no row and disturbs no other.
     """
     depth = max(1, min(depth, 3))
-    whole = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "relation", "dst").distinct()
-    steps = whole.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(whole.select(F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
-    reached = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
-    frontier = reached
-    for _ in range(depth):
-        frontier = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct().join(reached, ["seed", "node"], "left_anti")
-        reached = reached.unionByName(frontier)
-    inside = reached.select("seed", F.col("node").alias("src")).join(whole, "src").join(reached.select("seed", F.col("node").alias("dst")), ["seed", "dst"], "left_semi")
-    out = inside.select("seed", "src", "relation", "dst").distinct()
+    whole = stored(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "relation", "dst").distinct(), "edges")
+    steps, edge = Steps(whole), ["seed", "src", "relation", "dst"]
+
+    def first(rows: DataFrame) -> DataFrame:
+        order = W.partitionBy("seed").orderBy("src", "relation", "dst")
+        return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r") if limit else rows
+
+    inner = frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    for _ in range(depth - 1):
+        frontier = stored(steps.of(frontier).select("seed", F.col("next").alias("node")).distinct().join(inner, ["seed", "node"], "left_anti"), "frontier")
+        inner = inner.unionByName(frontier)
+    touching = first(steps.of(inner, steps.first(limit) if limit else None).select(*edge).distinct())
+    outer = steps.of(frontier).select("seed", F.col("next").alias("node"))
     if limit:
-        out = out.withColumn("_r", F.row_number().over(W.partitionBy("seed").orderBy("src", "relation", "dst"))).where(F.col("_r") <= limit).drop("_r")
-    return out
+        touching = stored(touching, "touching")
+        last = touching.groupBy("seed").agg(F.when(F.count("*") >= limit, F.max("src")).alias("_last"))
+        outer = outer.join(last, "seed").where("_last IS NULL OR node <= _last")
+    outer = stored(outer.select("seed", "node").distinct().join(inner, ["seed", "node"], "left_anti"), "outer")
+    # With a limit an end beyond the last known name may be missing in ``outer``: ends are looked up among all nodes of the last level.
+    ends = steps.of(frontier).select("seed", F.col("next").alias("dst")).distinct() if limit else outer.withColumnRenamed("node", "dst")
+    between = steps.of(outer, steps.dealt.where("node = src")).select(*edge).join(ends, ["seed", "dst"], "left_semi")
+    if limit:
+        between = between.join(inner.withColumnRenamed("node", "dst"), ["seed", "dst"], "left_anti")  # known already
+    return first(touching.unionByName(between.select(*edge)))
 
 
 def summarise(seeds: DataFrame, subgraph: DataFrame, types: DataFrame) -> DataFrame:

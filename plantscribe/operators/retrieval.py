@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from ..session import cut
+from ..session import cut, stored
 
 K1, TOP_CAP, RERANK_CAP, BUDGET_TOKENS = 1.5, 50, 12, 6000
 
@@ -77,51 +78,127 @@ def bm25(chunks: DataFrame, terms: DataFrame, keys: list[str], document: str = "
     return top.select("query_id", *keys, F.round(F.col("_s") / F.when(peak == 0, 1.0).otherwise(peak), 6).alias("score"), "rank")
 
 
-QUERY_BLOCK = 4096
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, query: str = "query_id", item: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine neighbours of a stated query set against all rows, in blocks of queries: ``query_id, item, score, rank``.
-
-    A block of at most ``block`` query vectors goes to the tasks (32 MB at 1,024 dimensions); the rows stream past it where they
-    are read, one matrix product a batch, and only the k best of each query leave a task. Rows are neither grouped nor shuffled, and
-    what is sent doesn't grow with them. Ties: the smaller id.
+#: Vectors of a block, query blocks and row blocks of a cell, and pivots that vectors are put together by.
+BLOCK, QUERY_BLOCKS, ROW_BLOCKS, PIVOTS = 1024, 4, 64, 16
+BLOCKS = "block long, ids array<long>, vectors binary, middle binary, reach double"
+
+
+def _packed(pivots: np.ndarray, size: int):
+    """Unit vectors -> blocks of near ones: ids, the matrix, its middle as a unit vector and the largest angle to it."""
+
+    def block(number: int, ids: list[np.ndarray], rows: list[np.ndarray]) -> tuple:
+        ids_, flat = np.concatenate(ids), np.concatenate(rows)
+        middle = flat.mean(axis=0)
+        length = float(np.sqrt(middle @ middle))
+        zero = (flat * flat).sum(axis=1) < 0.5  # a zero vector has no direction: such a block is never skipped
+        reach = float(np.arccos(np.clip(flat @ (middle / length), -1, 1)).max()) if length > 1e-9 and not zero.any() else np.pi
+        return number, ids_.tolist(), np.ascontiguousarray(flat, "<f8").tobytes(), (middle / max(length, 1e-9)).astype("<f8").tobytes(), reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        sizes: dict[int, int] = {}
+        done, part = 0, TaskContext.get().partitionId() << 32
+
+        def told(p: int) -> pa.RecordBatch:
+            nonlocal done
+            done += 1
+            found = block(part + done, *held.pop(p))
+            del sizes[p]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(found, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["block", "ids", "vectors", "middle", "reach"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            rows = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
+            near = (rows @ pivots.T).argmax(axis=1) if len(pivots) else np.zeros(len(ids), np.int64)
+            for p in np.unique(near).tolist():
+                own = np.flatnonzero(near == p)
+                for at in range(0, len(own), size):
+                    cut_ = own[at : at + size]
+                    kept = held.setdefault(p, ([], []))
+                    kept[0].append(ids[cut_])
+                    kept[1].append(rows[cut_].copy())
+                    sizes[p] = sizes.get(p, 0) + len(cut_)
+                    if sizes[p] >= size:
+                        yield told(p)
+        for p in list(held):
+            yield told(p)
+
+    return run
+
+
+def _search(k: int, exclude_self: bool, item: str):
+    """A cell's query blocks, then its row blocks one by one -> the k best rows of each query within the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for q in asked:
+                at, place = np.nonzero(np.isfinite(q["score"]))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(q["ids"][at]), pa.array(q["item"][at, place]), pa.array(q["score"][at, place])], ["query_id", item, "_s"])
+
+        def matrix(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids = np.array(row["ids"], np.int64)
+            return ids, np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1), np.frombuffer(row["middle"], "<f8")
+
+        for batch in batches:
+            for row in (r for n in range(batch.num_rows) for r in batch.slice(n, 1).to_pylist()):
+                if row["cell"] != cell:
+                    yield from told()
+                    cell, asked = row["cell"], []
+                ids, vectors, middle = matrix(row)
+                if row["kind"] == 0:
+                    asked.append({"ids": ids, "vectors": vectors.copy(), "middle": middle.copy(), "reach": row["reach"], "item": np.zeros((len(ids), k), np.int64), "score": np.full((len(ids), k), -np.inf)})
+                    continue
+                for q in asked:
+                    gap = np.arccos(np.clip(float(q["middle"] @ middle), -1, 1)) - q["reach"] - row["reach"]
+                    if np.cos(max(gap, 0.0)) + 1e-8 < q["score"][:, -1].min():
+                        continue  # no row of the block can come among the k best of any query
+                    score = np.round(q["vectors"] @ vectors.T, 9)
+                    if exclude_self:
+                        score[q["ids"][:, None] == ids[None, :]] = -np.inf
+                    better = np.flatnonzero((score >= q["score"][:, -1:]).any(axis=1))
+                    score = score[better]
+                    if score.shape[1] > k:  # all rows from the k-th best score on, ties included
+                        floor = np.partition(score, -k, axis=1)[:, -k]
+                        keep = (score >= np.maximum(floor, q["score"][better, -1])[:, None]).sum(axis=1).max(initial=0)
+                        few = np.argpartition(-score, min(keep, score.shape[1] - 1), axis=1)[:, : max(keep, k)]
+                    else:
+                        few = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+                    both = np.concatenate((q["score"][better], np.take_along_axis(score, few, axis=1)), axis=1)
+                    named = np.concatenate((q["item"][better], ids[few]), axis=1)
+                    order = np.lexsort((named, -both), axis=1)[:, :k]
+                    q["score"][better], q["item"][better] = np.take_along_axis(both, order, axis=1), np.take_along_axis(named, order, axis=1)
+        yield from told()
+
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, query: str = "query_id", item: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """Exact cosine neighbours of a table of queries in a table of rows: ``query_id, item, score, rank``.
+
+    Both sides are packed where they are read into blocks of unit vectors that are near one of a few pivots (rows with the smallest
+    hashes). Pairs of blocks are dealt as a grid of cells: a cell has at most QUERY_BLOCKS query blocks, which its task holds, and about
+    ROW_BLOCKS row blocks, which pass by. A pair is skipped where the angle between the middles, less both reaches, is too wide for any of the
+    queries. The plan has one size whatever the tables hold; the driver sees the pivots and two counts. Ties: the smaller id.
     """
-    k = min(k, TOP_CAP)
-    ordered = queries.select(F.col(query).cast("long").alias("q"), X.unit(F.col(vector)).alias("v"))
-    numbered = ordered.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() * 5 // (block * 4))))))
-
-    def search(ids: np.ndarray, vectors: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query place, item, score
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                flat = batch.column(1)
-                score = np.round(vectors @ flat.flatten().to_numpy().reshape(len(own), -1).T, 9)
-                if exclude_self:
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                few = min(k, len(own))
-                floor = np.partition(score, -few, axis=1)[:, -few]
-                at, col = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-                new = [at, own[col], score[at, col]]
-                held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-                order = np.lexsort((held[1], -held[2], held[0]))
-                held = [x[order] for x in held]
-                place = np.arange(len(order)) - np.searchsorted(held[0], held[0])
-                held = [x[place < k] for x in held]
-            if len(held[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", item, "_s"])
-
-        return run
-
-    found = None
-    for b in sorted(r["b"] for r in numbered.select("b").distinct().collect()):  # one small number a block
-        own = numbered.where(F.col("b") == b).select("q", "v").toPandas()
-        vectors = np.stack(own.v.to_list())
-        part = rows.select(F.col(item).cast("long"), X.unit(F.col(vector)).alias("v")).mapInArrow(search(own.q.to_numpy(), vectors), f"query_id long, {item} long, _s double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.select(F.lit(0).cast("long").alias("query_id"), F.col(item).cast("long"), F.lit(0.0).alias("_s")).limit(0)
+    k, spark = min(k, TOP_CAP), rows.sparkSession
+    unit = lambda df, name: df.select(F.col(name).cast("long").alias("id"), X.unit(F.col(vector)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    asked, held = unit(queries, query), unit(rows, item)
+    few = held.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(PIVOTS).collect()
+    pivots = np.array([r.v for r in few])
+    left, right = (stored(df.mapInArrow(_packed(pivots, block), BLOCKS), name) for df, name in ((asked, "query-blocks"), (held, "row-blocks")))
+    spare = spark.sparkContext.defaultParallelism
+    n_rows = right.count()
+    across, down = max(1, -(-left.count() // QUERY_BLOCKS)), max(1, -(-n_rows // ROW_BLOCKS), min(n_rows, spare))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = left.withColumns({"kind": F.lit(0), "_a": place(across), "_d": every(down)}).unionByName(right.withColumns({"kind": F.lit(1), "_d": place(down), "_a": every(across)}))
+    cells = sent.select((F.col("_a") * F.lit(down).cast("long") + F.col("_d")).alias("cell"), "kind", "ids", "vectors", "middle", "reach").repartition("cell").sortWithinPartitions("cell", "kind")
+    found = cells.mapInArrow(_search(k, exclude_self, item), f"query_id long, {item} long, _s double")
     order = W.partitionBy("query_id").orderBy(F.desc("_s"), item)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", item, F.round("_s", 6).alias("score"), "rank")
 

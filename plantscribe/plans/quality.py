@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import answers as A, evaluation as E
+from ..session import cut
 from .base import Registry, read
 from .retrieval import BM25_SQL, RERANK_SQL, lexical, questions, reranked
 
@@ -91,7 +92,7 @@ def word_runs(words, n: int):
 
 
 def golden(spark, sf_dir):
-    """Golden sources are the documents that contain the passage, found by shared runs of words and checked on whole texts.
+    """Questions with their category, and their golden sources as rows: the documents that contain the passage, found by shared runs of words and checked on whole texts.
 
     A document with the passage has the passage's inner words in a row (the outer ones may be parts of longer words), so a run of the
     first six of them, or of all if there are fewer, names every document that can have it. Runs are hashed; only those that a
@@ -111,15 +112,16 @@ def golden(spark, sf_dir):
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:  # no passage of three words
         found = docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id", F.lit(None).cast("string").alias("passage")).limit(0)
-    checked = found.join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
-    sources = checked.groupBy("query_id").agg(F.min("doc_id").cast("string").alias("source"), F.collect_list(F.col("doc_id").cast("string")).alias("alternates"))
-    return items.select("query_id", (F.col("query_id") % 4).alias("category")).join(sources, "query_id", "left").withColumns({"page": F.lit(0), "alternates": F.coalesce("alternates", F.array().cast("array<string>"))})
+    checked = cut(found.join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id"))).distinct()
+    main = checked.groupBy("query_id").agg(F.min("doc_id").cast("string").alias("slug")).select("query_id", "slug", F.lit(0).alias("golden_page"), F.lit(True).alias("main"))
+    other = checked.select("query_id", F.col("doc_id").cast("string").alias("slug"), F.lit(None).cast("int").alias("golden_page"), F.lit(False).alias("main"))
+    return items.select("query_id", (F.col("query_id") % 4).alias("category")), main.unionByName(other)
 
 
 def evaluated(spark, sf_dir):
-    gold = golden(spark, sf_dir)
+    items, names = golden(spark, sf_dir)
     ranked = lexical(spark, sf_dir).select("query_id", "rank", F.col("doc_id").cast("string").alias("document"), F.concat(F.lit("doc "), "doc_id").alias("title_stem"), F.col("chunk_index").alias("page"))
-    return E.first_hit_ranks(gold, E.golden_hits(gold, ranked)).join(gold.select("query_id", "category"), "query_id")
+    return E.first_hit_ranks(items, E.golden_hits(names, ranked)).join(items, "query_id")
 
 
 @registry.add(f"WITH {GOLD_SQL} SELECT * FROM ev")
@@ -240,7 +242,7 @@ def latency_summary(spark, sf_dir):
 
 @registry.add("SELECT event_type, median(value) AS median, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
 def group_statistics(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return E.group_statistics(read(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @registry.add(f"WITH {RERANK_SQL} SELECT query_id, doc_id, left(text, 200) AS excerpt, round(rerank_score, 4) AS score FROM fin WHERE final_rank <= 5")
