@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs as J, telemetry as S
+from ..functions import text as X
+from ..streaming import jobs as J, sessions as C, telemetry as S
 from ..session import shared_root
 from ..sources.keyed import KeyedTables
 from .base import POSTINGS_SQL, Registry, read
@@ -131,6 +132,32 @@ def chat_sessions(spark, sf_dir):
     return S.sessions(read(spark, sf_dir, "events"), ["user_id"])
 
 
+SESSIONS_SQL = """g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)"""
+
+
+@registry.add(f"""WITH {SESSIONS_SQL} SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS expires, count(*) AS n, md5(array_to_string(list(event_id ORDER BY ts, event_id)[-20:], ',')) AS messages_md5 FROM s GROUP BY user_id, k""")
+def chat_sessions_stream(spark, sf_dir):
+    """Sessions with their last twenty messages, kept as state with a timer that each turn renews."""
+    root = shared(spark, "sessions")
+    C.chat_sessions(J.table_stream(spark, f"{sf_dir}/events.parquet"), root, "user_id", "ts", "event_id").awaitTermination()
+    rows = spark.read.parquet(f"{root}/sessions").groupBy("session", "session_start").agg(F.max_by(F.struct("expires", "n", "messages"), F.struct("batch", "n")).alias("r"))
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return rows.select(F.col("session").alias("user_id"), time("session_start").alias("session_start"), time("r.expires").alias("expires"), "r.n", F.md5(F.array_join(F.col("r.messages").cast("array<string>"), ",")).alias("messages_md5"))
+
+
+@registry.add("""WITH RECURSIVE q AS (SELECT sha256('do ' || event_type || '|' || user_id % 7 || '|' || 10) AS request, ts, event_id FROM events), firsts AS (SELECT request, min(ts) AS ts FROM q GROUP BY request),
+w AS (SELECT request, ts FROM firsts UNION ALL SELECT w.request, (SELECT min(q.ts) FROM q WHERE q.request = w.request AND q.ts >= w.ts + INTERVAL 300 SECOND) FROM w WHERE w.ts IS NOT NULL)
+SELECT w.request, w.ts, min(q.event_id) AS event_id FROM w JOIN q ON q.request = w.request AND q.ts = w.ts GROUP BY ALL""")
+def unrepeated_questions_stream(spark, sf_dir):
+    """Questions by their request key; one within 300 seconds of the same that passed is held back."""
+    root = shared(spark, "passed")
+    stream = J.table_stream(spark, f"{sf_dir}/events.parquet")
+    asked = stream.withColumn("request", X.request_key(F.concat(F.lit("do "), "event_type"), (F.col("user_id") % 7).cast("string"), F.lit(10)))
+    C.without_repeats(asked, root, "request", "ts", "event_id").awaitTermination()
+    return spark.read.parquet(f"{root}/passed").select("request", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.col("id").alias("event_id"))
+
+
 @registry.add("SELECT event_type AS model, CASE WHEN event_id % 2 = 0 THEN 'prompt' ELSE 'completion' END AS kind, sum(user_id)::BIGINT AS tokens FROM events GROUP BY ALL")
 def token_usage(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model"), F.when(F.col("event_id") % 2 == 0, "prompt").otherwise("completion").alias("kind")).agg(F.sum("user_id").alias("tokens"))
