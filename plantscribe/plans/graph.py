@@ -276,12 +276,9 @@ def co_occurring_relations(spark, sf_dir):
     return typed_pairs(tag_texts(spark, sf_dir), []).distinct()
 
 
-MOST_CHARACTERS = 4000  # fixed value: the extractor reads no more of a chunk
-
-
 def typed_pairs(chunks, keys):
-    """``keys, src, relation, dst``: allowed pairs of the tags in a chunk, if it has two; a chunk's read part bounds its tags."""
-    own = chunks.select(*keys, F.array_distinct(X.tags(F.substring("text", 1, MOST_CHARACTERS))).alias("tags")).where("size(tags) > 1")
+    """``keys, src, relation, dst``: allowed pairs of all tags of a chunk, if it has two; a chunk's window bounds its tags."""
+    own = chunks.select(*keys, F.array_distinct(X.tags(F.col("text"))).alias("tags")).where("size(tags) > 1")
     pairs = own.select(*keys, F.explode("tags").alias("src"), "tags").select(*keys, "src", F.explode("tags").alias("dst")).where("src <> dst")
     typed = pairs.withColumns({"source_type": G.classify_tags(F.col("src"))["entity_type"], "target_type": G.classify_tags(F.col("dst"))["entity_type"]})
     rules = F.broadcast(G.INDUSTRIAL.relations(chunks.sparkSession))  # as many rows as triples

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import chunking as C, retrieval as R
+from ..operators import chunking as C, evaluation as E, plugins as P, retrieval as R
 from ..session import cut
 from .base import CHUNKS_SQL, POSTINGS_SQL, Registry, read, sql_list, tokens_sql
 
@@ -38,14 +38,28 @@ def paragraph_chunks(spark, sf_dir):
     return C.paragraphs(read(spark, sf_dir, "documents"), ["doc_id"], separator="\n")
 
 
-MARKDOWN = "concat('# Page ', page_id, chr(10), 'intro of ', url, chr(10), chr(10), '## Source', chr(10), url, chr(10), 'length ', length(html))"
+MARKDOWN = "concat('## ', doc_id, char(10), text, char(10), char(10), ' # ', source, char(13), char(10), source, ' of ', lang, char(10), 'length ', n_chars)"
 
 
-@registry.add("""SELECT page_id, unnest([0, 1, 2, 3])::INT AS chunk_index, unnest(['heading', 'paragraph', 'heading', 'paragraph']) AS chunk_type,
-  unnest([NULL, 'Page ' || page_id, NULL, 'Source']) AS parent_section_header,
-  unnest(['Page ' || page_id, 'intro of ' || url, 'Source', url || chr(10) || 'length ' || length(html)]) AS text FROM pages""")
+@registry.add("""WITH md AS (SELECT doc_id, string_split('## ' || doc_id || chr(10) || text || chr(10) || chr(10) || ' # ' || source || chr(10) || source || ' of ' || lang || chr(10) || 'length ' || n_chars, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, trim(unnest(ls)) AS t, unnest(range(len(ls))) AS k FROM md), h AS (SELECT *, starts_with(t, '#') AS h FROM l),
+c AS (SELECT *, (h OR t = '' OR coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY k), true))::INT AS cut FROM h),
+b AS (SELECT *, sum(cut) OVER w AS b, last_value(CASE WHEN h THEN trim(regexp_replace(t, '^#+', '')) END IGNORE NULLS) OVER w AS head FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT doc_id, b, min(k) AS k, bool_or(h) AS h, max(head) AS head, string_agg(t, chr(10) ORDER BY k) AS t FROM b WHERE t <> '' GROUP BY doc_id, b)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, CASE WHEN h THEN 'heading' ELSE 'paragraph' END AS chunk_type, CASE WHEN NOT h THEN head END AS parent_section_header, md5(CASE WHEN h THEN head ELSE t END) AS text_md5 FROM g""")
 def markdown_chunks(spark, sf_dir):
-    return C.markdown_sections(read(spark, sf_dir, "pages").select("page_id", F.expr(MARKDOWN).alias("text")), ["page_id"])
+    """Whole texts between headings of two kinds; lines of a text that start with a number sign are headings too."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.expr(MARKDOWN).alias("text"))
+    return C.markdown_sections(rows, ["doc_id"]).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@registry.add(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents)
+SELECT doc_id, unnest(range(len(ps)))::INT AS chunk_index, md5(unnest(ps)) AS text_md5 FROM p""")
+def blank_line_paragraphs(spark, sf_dir):
+    """Lines of the texts with a blank line between them, in two kinds of line ends."""
+    between = F.when(F.col("doc_id") % 2 == 0, "\r\n\r\n").otherwise("\n\n")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), between).alias("text"))
+    return C.paragraphs(rows, ["doc_id"]).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
 
 
 @registry.add(f"WITH {POSTINGS_SQL} SELECT doc_id, chunk_index, term, round(tf, 9) AS tf FROM postings")
@@ -155,6 +169,34 @@ rr AS (SELECT p.*, c.text, round(CASE WHEN len(qt) > 0 THEN len(list_intersect(q
 fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id, chunk_index)::INT AS final_rank FROM rr)"""
 
 
+FALLBACK_SQL = f"""{RERANK_SQL}, fb AS (SELECT query_id, doc_id, chunk_index, query_id % 3 <> 0 AS by_model, CASE WHEN query_id % 3 <> 0 THEN length(text) % 97 ELSE score END::DOUBLE AS rerank_score FROM rr)"""
+
+
+@registry.add(f"WITH {FALLBACK_SQL} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id, chunk_index)::INT AS final_rank FROM fb")
+def rerank_fallback(spark, sf_dir):
+    """A scorer that fails on every third question: its candidates keep the retrieval score and order."""
+    def scorer(question, texts):
+        if question.startswith("fail"):
+            raise RuntimeError("the model is away")
+        return [len(t) % 97 for t in texts]
+
+    pool = reranked(spark, sf_dir).drop("rerank_score", "final_rank")
+    pool = pool.withColumn("query_text", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("fail "), "query_text")).otherwise(F.col("query_text")))
+    return P.rerank(pool, KEYS, scorer).select("query_id", *KEYS, "by_model", "rerank_score", "final_rank")
+
+
+@registry.add(f"WITH {RERANK_SQL} SELECT query_id, round(avg((doc_id % 5 <> 0 AND length(text) % 2 = 0)::INT), 4) AS precision FROM rr GROUP BY query_id")
+def judge_fallback(spark, sf_dir):
+    """A judge that fails on some chunks: they count as not relevant."""
+    def judge(question, text):
+        if text.startswith("odd"):
+            raise TimeoutError("no answer")
+        return len(text) % 2 == 1
+
+    rows = reranked(spark, sf_dir).select("query_id", "query_text", F.concat(F.when(F.col("doc_id") % 5 == 0, "odd").otherwise("x"), "text").alias("text"))
+    return E.context_precision(P.judged(rows, judge).select("query_id", "relevant"), questions(spark, sf_dir)).join(rows.select("query_id").distinct(), "query_id", "left_semi")
+
+
 @registry.add(f"WITH {RERANK_SQL} SELECT query_id, doc_id, chunk_index, rerank_score, final_rank FROM fin")
 def rerank_scores(spark, sf_dir):
     return reranked(spark, sf_dir).select("query_id", *KEYS, "rerank_score", "final_rank")
