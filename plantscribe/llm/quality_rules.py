@@ -4,8 +4,9 @@ Every rule is evaluated once per document. The ledger row keeps the measurements
 a policy is a versioned mask over those bits, so that verdicts, policy changes and ablations read the small ledger
 and never the texts again.
 
-Null text counts as no words; empty texts fail ``few_words``. Repeated rows are judged alike, each on its own.
-Other columns of the input are left out of the ledger.
+Null text counts as no words; empty texts fail ``few_words``. Repeated rows are judged alike, each on its own. Texts of any length are
+measured whole, in their own task. A measure that equals a rule's bound passes. An empty table gives an empty ledger, and ablations without
+rows. Other columns of the input are left out of the ledger.
 """
 
 from __future__ import annotations
@@ -96,6 +97,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("fail_bits", total)
 
 
+def stored_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger, written to ``path`` once and read back: policies and ablations need nothing else."""
+    ledger(docs).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
     """``base_failed`` and ``kept`` from stored bits only."""
     failed = lambda rules: F.col("fail_bits").bitwiseAND(F.lit(mask(rules)).cast("long")) != 0
@@ -121,7 +128,7 @@ def ablations(rows: DataFrame, version: str = "v1") -> DataFrame:
     )
 
 
-ORACLE_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win, len(w) AS n FROM p WHERE i + 4 <= len(w)),
@@ -135,6 +142,9 @@ m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x
   FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
   + 8 * (n_letters >= 20 AND 2 * n_upper > n_letters)::BIGINT + 16 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT + 32 * (word_chars > 25 * n_words)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters, fail_bits,
-  (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
+_JUDGED = "SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters, fail_bits, (fail_bits & 3) <> 0 AS base_failed, "
+ORACLE_SQL = LEDGER_SQL + _JUDGED + "fail_bits = 0 AS kept FROM b"
+BASE_SQL = LEDGER_SQL + _JUDGED + "(fail_bits & 3) = 0 AS kept FROM b"
+ABLATION_SQL = LEDGER_SQL + """SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, count(*) FILTER (fail_bits <> 0) AS n_rejected
+FROM b, (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'shouting', 'repeated_lines', 'long_words']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit) GROUP BY rule"""

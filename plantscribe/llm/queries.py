@@ -49,7 +49,21 @@ def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return quality_rules.apply_policy(stored_ledger(spark, sf_dir))
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.stored_ledger(table(spark, sf_dir, "documents"), scratch(spark, "ledger"))
+
+
+def ledger_base_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another version of the policy on the stored ledger."""
+    return quality_rules.apply_policy(stored_ledger(spark, sf_dir), "base")
+
+
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule rejects, alone and with others, from the stored bits."""
+    return quality_rules.ablations(stored_ledger(spark, sf_dir))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +85,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    numbered = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return numbered | {"ledger_base_policy": ledger_base_policy, "ledger_ablation": ledger_ablation}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op9_quality_rules": quality_rules.ORACLE_SQL, "ledger_base_policy": quality_rules.BASE_SQL, "ledger_ablation": quality_rules.ABLATION_SQL, "op11_importance_resampling": importance.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
