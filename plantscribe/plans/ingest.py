@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import language as L, mime as M, text as X
-from ..operators import chunking as C, plugins as P, relational as O
-from ..session import scratch
+from ..operators import chunking as C, language as N, plugins as P, relational as O
+from ..session import cut, scratch
 from ..sources import tables as T
 from ..sources.keyed import KeyedTables
 from .base import Registry, read, sql_list
@@ -230,6 +230,37 @@ def detect_language(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", L.detect(F.col("text")).alias("detected"))
 
 
+NGRAM_SQL = r"""pl AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(left(trim(text), 2000)), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE length(left(trim(text), 2000)) >= 20),
+gr AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda k: t[k:k + 2])) AS gram FROM pl) GROUP BY ALL),
+sa AS (SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM documents WHERE lang IS NOT NULL) WHERE k <= 200),
+pr AS (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS rank FROM gr JOIN sa USING (doc_id) GROUP BY lang, gram) WHERE rank < 300),
+dr AS (SELECT * FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS rank FROM gr) WHERE rank < 300),
+ds AS (SELECT doc_id, lang, sum(abs(dr.rank - pr.rank) - 300) AS near FROM dr JOIN pr USING (gram) GROUP BY ALL), df AS (SELECT doc_id, count(*) * 300 AS far FROM dr GROUP BY doc_id),
+de AS (SELECT doc_id, lang AS language, (far + near)::BIGINT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY near, lang) AS k FROM ds) JOIN df USING (doc_id) WHERE k = 1)"""
+
+
+@registry.add(f"""WITH {NGRAM_SQL} SELECT doc_id, language, distance, CASE WHEN language IS NULL THEN 'source=' || source ELSE 'language=' || language || ',language_name=' || CASE language WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' ELSE 'French' END || ',source=' || source END AS metadata
+FROM documents LEFT JOIN de USING (doc_id)""")
+def language_profiles(spark, sf_dir):
+    """The nearest of the languages' trigram profiles, merged into each document's metadata in place of a wrong entry."""
+    docs = read(spark, sf_dir, "documents")
+    found = cut(N.detect(docs, N.profiles(docs, "doc_id"), "doc_id"))
+    known = F.create_map(F.lit("source"), F.col("source"), F.lit("language"), F.lit("?"))
+    plain = F.map_filter(known, lambda k, _: k == "source")
+    told = N.with_language(docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, known).otherwise(plain).alias("metadata")), found, "doc_id")
+    pairs = F.filter(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])), lambda x: x != "language=?")
+    return told.join(found, "doc_id", "left").select("doc_id", "language", "distance", F.array_join(F.array_sort(pairs), ",").alias("metadata"))
+
+
+@registry.add(f"""WITH {NGRAM_SQL} SELECT d.lang, count(*) AS n, count(*) FILTER (language = d.lang) AS hits FROM documents d JOIN de USING (doc_id) WHERE d.lang IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM sa) GROUP BY d.lang""")
+def language_accuracy(spark, sf_dir):
+    """Documents that no profile has learned from: how many are told right."""
+    docs = read(spark, sf_dir, "documents")
+    found = N.detect(docs, N.profiles(docs, "doc_id"), "doc_id")
+    fresh = docs.select("doc_id", "lang").where("lang IS NOT NULL").join(N.labelled_sample(docs.select("doc_id", "lang"), "doc_id"), "doc_id", "left_anti")
+    return fresh.join(found, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("hits"))
+
+
 @registry.add("SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN (3.0 + 2) / (5 + len(regexp_extract_all(text, '\\p{L}'))) WHEN doc_id % 3 = 1 AND regexp_matches(text, '\\p{L}') THEN 0.0 END, 6) AS indic FROM documents")
 def indic_share(spark, sf_dir):
     """Whole texts, every third among Devanagari and Tamil letters, every third stripped of its letters."""
