@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -174,11 +176,37 @@ def test_language_query_against_brute_force(docs, odd_docs):
         assert d == doc_id and (lang, score) == (brute(text)[0], pytest.approx(brute(text)[1], abs=1e-4))
 
 
+def test_shares_of_words_and_trigrams():
+    """Each word and each byte trigram falls into one bucket; texts of any length have less than unit length, short ones little."""
+    at, value = quality_model.shares("Abc, abc. é")
+    words = {zlib.crc32(w) & (quality_model.BUCKETS - 1) for w in (b"abc", "é".encode())}
+    assert {k for k in at.tolist() if k < quality_model.BUCKETS} == words
+    n = {int(k): round(float(v) ** 2 * (3 + 10 + quality_model.FEW)) for k, v in zip(at, value, strict=True)}
+    assert n[zlib.crc32(b"abc") & (quality_model.BUCKETS - 1)] == 2 and sum(n.values()) == 3 + 10
+    for text in (None, "", " ", "a", "ab", "x" * 1_000_000):
+        at, value = quality_model.shares(text)
+        assert len(at) == len(value) and float((value**2).sum()) < 1
+
+
+def test_shares_rank_pairs_without_counts():
+    rng = np.random.default_rng(6)
+    word = lambda few: " ".join(rng.choice(few, 120))
+    texts = [word(["pump", "seal", "valve", "flow"]) for _ in range(60)] + [word(["spam", "buy", "now", "flow"]) for _ in range(60)]
+    y = np.array([1] * 60 + [0] * 60)
+    order = rng.permutation(120)
+    rows = [quality_model.shares(texts[k]) for k in order]
+    weights, given = quality_model.two_halves([(a.astype(np.int64), v) for a, v in rows], y[order])
+    assert given[y[order] == 1].min() > given[y[order] == 0].max()
+    assert weights.any() and not quality_model.two_halves([(a.astype(np.int64), v) for a, v in rows], np.ones(120, int))[0].any()
+
+
 def test_quality_query_against_brute_force(docs, labels, odd_docs):
     """Scores from each text's features, by the plain formula; repeated rows score alike."""
     model = quality_model.train(docs, labels)
     rows = odd_docs.union(odd_docs).select("doc_id", "text").union(docs.limit(60).select("doc_id", "text"))
     for r, want in zip(quality_model.score(rows, model).collect(), rows.collect(), strict=True):
-        s = sum((x - m) / d * w for x, m, d, w in zip(quality_model.features(want.text), model.mean, model.scale, model.weights, strict=True))
+        at, value = quality_model.shares(want.text)
+        own = (*quality_model.features(want.text), sum(float(model.grams[k]) * float(v) for k, v in zip(at, value, strict=True)))
+        s = sum((x - m) / d * w for x, m, d, w in zip(own, model.mean, model.scale, model.weights, strict=True))
         z = min(max((s - model.threshold) / model.temperature, -40), 40)
-        assert r.doc_id == want.doc_id and r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.5)
+        assert r.doc_id == want.doc_id and r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and r.predicted == int(r.score >= 0.5)
