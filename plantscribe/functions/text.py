@@ -156,14 +156,30 @@ def strip_fences(answer: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(answer, r"(?s)^.*?```[a-zA-Z]*\s*", ""), r"(?s)\s*```.*$", "")
 
 
+def balanced_block(text: Column, opening: str = "[", closing: str = "]") -> Column:
+    """From the first opening bracket to the closing one that balances it; null without. Brackets within strings count as well.
+
+    The text is cut behind each bracket, so the walk has as many steps as there are brackets.
+    """
+    both = rf"\{opening}\{closing}"
+    rest = F.regexp_extract(text, rf"(?s)\{opening}.*", 0)
+    pieces = F.regexp_extract_all(rest, F.lit(rf"(?s)[^{both}]*[{both}]"), F.lit(0))
+    none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth, at = s["depth"] + F.when(piece.endswith(opening), 1).otherwise(-1), s["at"] + F.length(piece)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(pieces, none, step, lambda s: s["end"])
+    return F.when(end > 0, F.substring(rest, F.lit(1), end))
+
+
 def noisy_json(answer: Column, opening: str = "[", closing: str = "]") -> Column:
-    """JSON text in a model's answer: the answer itself, its outermost brackets, or what stands in a code fence.
+    """JSON text in a model's answer: the answer itself, its first balanced bracket block, or what stands in a code fence.
 
-    The bracket block runs from the first opening to the last closing bracket. Empty results count as misses.
+    Empty results count as misses.
     """
-    o, c = rf"\{opening}", rf"\{closing}"
-    block = F.nullif(F.regexp_extract(answer, rf"(?s){o}.*{c}", 0), F.lit(""))
-    tried = [F.trim(answer), block, F.trim(strip_fences(answer))]
+    tried = [F.trim(answer), balanced_block(answer, opening, closing), F.trim(strip_fences(answer))]
     good = [F.when(F.try_parse_json(t).isNotNull() & t.startswith(opening) & ~F.regexp_replace(t, r"\s", "").isin("[]", "{}"), t) for t in tried]
     return F.coalesce(*good)
 

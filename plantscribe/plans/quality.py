@@ -168,7 +168,7 @@ def relation_answers(spark, sf_dir):
     conf = F.when(F.col("event_id") % 4 != 0, F.round(F.col("value") / 50 - 0.5, 3))
     item = F.to_json(F.array(F.struct(F.concat(F.lit("P-"), "user_id").alias("source_tag"), F.lit("Equipment").alias("source_type"), F.lit("IS_PART_OF").alias("relation_type"), target.alias("target_tag"), F.lit("Equipment").alias("target_type"), conf.alias("confidence"))))
     k = F.col("event_id") % 4
-    answer = F.when(k == 0, item).when(k == 1, F.concat(F.lit("Here you are: "), item, F.lit(" - done"))).when(k == 2, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).otherwise(F.when(F.col("event_id") % 8 == 3, "sorry, nothing").otherwise(item))
+    answer = F.when(k == 0, item).when(k == 1, F.concat(F.lit("Here you are: "), item, F.lit(" - done [see 3] ]["))).when(k == 2, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).otherwise(F.when(F.col("event_id") % 8 == 3, "sorry, nothing").otherwise(item))
     return e.select("event_id", answer.alias("answer"))
 
 

@@ -206,3 +206,39 @@ def test_ontology_files(spark, tmp_path):
     for bad in ({}, good | {"node_types": {}}, good | {"node_types": {"A": {}}}, good | {"allowed_relations": [{"source": "A"}]}, good | {"allowed_relations": [{"source": "A", "relation": "R", "target": "C"}]}):
         with pytest.raises(ValueError):
             load(bad)
+
+
+def test_first_balanced_block(spark):
+    texts = {'see [[1], [2]] and [3]': "[[1], [2]]", "none": None, "open [ [1]": None, "] [x] ]": "[x]", "[]": "[]", "": None}
+    for text, want in texts.items():
+        assert one(spark, X.balanced_block(F.lit(text))) == want, text
+    assert one(spark, X.noisy_json(F.lit('Sure: [{"a": [1]}] as in [4].'))) == '[{"a": [1]}]'
+    assert one(spark, X.noisy_json(F.lit("[note] then [1]"))) is None
+
+
+def test_greedy_resolution_against_brute_force(spark):
+    """Random groups of near tags: the rule read literally, with the edit distance by its recurrence."""
+    import functools
+    import random
+
+    @functools.cache
+    def distance(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(distance(a[1:], b) + 1, distance(a, b[1:]) + 1, distance(a[1:], b[1:]) + (a[0] != b[0]))
+
+    rng = random.Random(7)
+    rows = [(c, k, rng.choice(("P", "PT", "FT")) + "-" + "".join(rng.choice("12") for _ in range(rng.randint(1, 5))), rng.choice(("Sensor", "Equipment"))) for c in range(30) for k in range(rng.randint(1, 14))]
+    want = {}
+    for c in range(30):
+        groups = []
+        for _, k, tag, kind in (r for r in rows if r[0] == c):
+            own = next((g for g in groups if g["kind"] == kind and distance(g["canonical"], tag) <= 2), None)
+            if own is None:
+                own = {"kind": kind, "canonical": tag, "members": []}
+                groups.append(own)
+            own["canonical"] = tag if len(tag) < len(own["canonical"]) else own["canonical"]
+            own["members"].append(k)
+        want |= {(c, k): g["canonical"] for g in groups for k in g["members"]}
+    df = spark.createDataFrame(rows, "c int, pos int, tag string, entity_type string").repartition(4)
+    assert {(r.c, r.pos): r.canonical for r in G.resolve_greedy(df, "c").collect()} == want
