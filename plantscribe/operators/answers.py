@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from .ranking import positions
 
 SOURCE_MARKER = r"(?i)\[source_(\d+)\]"
 CHUNK_MARKER = r"\[\[chunk:([^\]]+)\]\]"
@@ -87,6 +88,18 @@ def markdown_table(header: list[str], cells: list[str], order: list[str]) -> Col
     return F.concat(F.lit(top), F.array_join(rows, "\n"))
 
 
+def markdown_lines(rows: DataFrame, keys: list[str], header: list[str], cells: list[str], order: list[str]) -> DataFrame:
+    """``keys, line_no, line``: the same tables as rows, two lines of header first. Lines are numbered over all tasks, so a group may have any number.
+
+    Keys aren't null; rows that are equal in ``order`` come in any order.
+    """
+    placed = positions(rows.select(*keys, *order, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")), [*map(F.col, keys), *map(F.col, order)], "_at")
+    starts = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    body = placed.join(starts, keys).select(*keys, (F.col("_at") - F.col("_first") + 2).alias("line_no"), "line")
+    tops = F.array(F.lit(f"| {' | '.join(header)} |"), F.lit(f"|{'---|' * len(header)}"))
+    return starts.select(*keys, F.posexplode(tops).alias("line_no", "line")).select(*keys, F.col("line_no").cast("long").alias("line_no"), "line").unionByName(body)
+
+
 def render_template(template: Column, values: dict[str, Column]) -> tuple[Column, Column]:
     """Rendered text and, where a ``{name}`` is left, the error that names it."""
     out = template

@@ -207,6 +207,16 @@ def path_tables(spark, sf_dir):
     return typed_edges(spark, sf_dir).groupBy(F.col("dst").alias("seed")).agg(F.md5(markdown_table(["Source", "Relation", "Target"], ["src", "relation", "dst"], ["src"])).alias("table_md5"))
 
 
+@registry.add(f"""WITH {TYPED_SQL} SELECT dst AS seed, (row_number() OVER (PARTITION BY dst ORDER BY src, relation) + 1)::BIGINT AS line_no, '| ' || src || ' | ' || relation || ' | ' || dst || ' |' AS line FROM typed
+UNION ALL SELECT seed, k, line FROM (SELECT DISTINCT dst AS seed FROM typed), (SELECT unnest([0, 1]) AS k, unnest(['| Source | Relation | Target |', '|---|---|---|']) AS line)""")
+def path_table_lines(spark, sf_dir):
+    """The tables as numbered lines: a hub's table is no single text."""
+    from ..operators.answers import markdown_lines
+
+    rows = typed_edges(spark, sf_dir).withColumn("seed", F.col("dst"))
+    return markdown_lines(rows, ["seed"], ["Source", "Relation", "Target"], ["src", "relation", "dst"], ["src", "relation"])
+
+
 @registry.add(f"""WITH {NODES_SQL}, ex AS (SELECT 'CMP-' || l_suppkey AS src, 'FM-' || (l_quantity::INT % 10) AS dst FROM lineitem WHERE l_returnflag = 'R'), fm AS (SELECT 'FM-' || k AS code, 'failure ' || k AS description FROM range(0, 8) t(k))
 SELECT n.tag, fm.code, fm.description, count(*) AS occurrences FROM ex JOIN nodes n ON n.tag = ex.src AND n.node_type = 'Equipment' JOIN fm ON fm.code = ex.dst GROUP BY ALL""")
 def failure_history(spark, sf_dir):
