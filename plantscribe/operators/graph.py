@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
 from ..session import stored
@@ -134,38 +136,49 @@ def similar_tags(tags: DataFrame, strict: bool = False, most: int = 2) -> DataFr
 
 
 def resolve_greedy(entities: DataFrame, group: str, most: int = 2) -> DataFrame:
-    """Within each ``group``, in order of ``pos``: a tag joins the first earlier group of its type within ``most`` edits of its
-    canonical tag; the shorter tag becomes canonical. Groups are texts, so each is small."""
+    """``group, pos, tag, entity_type, canonical``: within each ``group``, in order of ``pos`` (then ``tag``), a tag joins the first
+    earlier set of its type within ``most`` edits of its canonical tag; the shorter tag becomes canonical.
 
-    def distance(a: str, b: str) -> int:
+    The order is the rule, so one group's rows of one type are one task's; they pass by sorted, and only the canonical tags are held.
+    What a set is called in the end is an aggregate: its first tag of the least length. Groups and types may be null and
+    are keys like others then; a null tag stays by itself and has no canonical tag.
+    """
+    key = [group, "entity_type"]
+
+    def near(a: str, b: str) -> bool:
+        if abs(len(a) - len(b)) > most:
+            return False
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             last, row[0] = row[0], i
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+        return row[-1] <= most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = functools.lru_cache(maxsize=100_000)(near)
+        current, canonical = object(), []  # the key whose rows pass by, and its sets' canonical tags
         for batch in batches:
-            out = []
-            for rows in batch.column(1).to_pylist():
-                found, place = [], []
-                for r in rows:
-                    tag, kind = r["tag"], r["entity_type"]
-                    k = next((k for k, (c, t) in enumerate(found) if t == kind and distance(c, tag) <= most), None)
-                    if k is None:
-                        k = len(found)
-                        found.append((tag, kind))
-                    elif len(tag) < len(found[k][0]):
-                        found[k] = (tag, kind)
-                    place.append(k)
-                out.append([r | {"canonical": found[k][0]} for r, k in zip(rows, place, strict=True)])
-            item = pa.struct({"pos": pa.int64(), "tag": pa.string(), "entity_type": pa.string(), "canonical": pa.string()})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(item))], [group, "e"])
-
-    own = entities.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "tag", "entity_type"))).alias("e"))
-    kind = entities.schema[group].dataType.simpleString()
-    return own.mapInArrow(run, f"`{group}` {kind}, e array<struct<pos:long,tag:string,entity_type:string,canonical:string>>").select(group, F.inline("e"))
+            places = []
+            for *own, tag in zip(*(batch.column(c).to_pylist() for c in (*key, "tag")), strict=True):
+                if own != current:
+                    current, canonical = own, []
+                if tag is None:
+                    places.append(None)
+                    continue
+                place = next((k for k, c in enumerate(canonical) if known(c, tag)), len(canonical))
+                if place == len(canonical):
+                    canonical.append(tag)
+                elif len(tag) < len(canonical[place]):
+                    canonical[place] = tag
+                places.append(place)
+            yield batch.append_column("_place", pa.array(places, pa.int64()))
+
+    rows = entities.select(*key, F.col("pos").cast("long").alias("pos"), "tag").repartition(*key).sortWithinPartitions(*key, "pos", "tag")
+    placed = stored(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_place", LongType())])), "places")
+    named = placed.groupBy(*key, "_place").agg(F.min_by("tag", F.struct(F.length("tag"), "pos", "tag")).alias("canonical")).alias("n")
+    same = [F.col(f"p.`{c}`").eqNullSafe(F.col(f"n.`{c}`")) for c in (*key, "_place")]
+    return placed.alias("p").join(named, functools.reduce(Column.__and__, same)).select(f"p.`{group}`", "p.pos", "p.tag", "p.entity_type", "n.canonical")
 
 
 def _stated(entities: DataFrame, field: str, name: str) -> Column:

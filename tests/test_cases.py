@@ -242,3 +242,46 @@ def test_greedy_resolution_against_brute_force(spark):
         want |= {(c, k): g["canonical"] for g in groups for k in g["members"]}
     df = spark.createDataFrame(rows, "c int, pos int, tag string, entity_type string").repartition(4)
     assert {(r.c, r.pos): r.canonical for r in G.resolve_greedy(df, "c").collect()} == want
+
+
+def test_greedy_resolution_of_one_hot_group(spark):
+    """A group that holds all rows, over several batches: repeats name the same sets again, and other groups stay apart."""
+    n = 30_000
+    tags = F.concat(F.lit("P-1"), F.lpad(F.pmod("pos", F.lit(40)), 2, "0"), F.when(F.col("pos") % 7 == 0, "000").otherwise(""))
+    hot = spark.range(n, numPartitions=8).select(F.lit("x").alias("c"), F.col("id").alias("pos")).withColumn("tag", tags).withColumn("entity_type", F.lit("Equipment"))
+    got = G.resolve_greedy(hot, "c")
+    assert got.count() == n and got.where("canonical IS NULL").count() == 0
+    canonical, place = [], []  # the rule, row by row
+    rows = [r.tag for r in hot.orderBy("pos").collect()]
+    near = {}
+    for tag in rows:
+        for k, c in enumerate(canonical):
+            if (c, tag) not in near:
+                near[c, tag] = edits(c, tag) <= 2
+            if near[c, tag]:
+                canonical[k] = tag if len(tag) < len(c) else c
+                break
+        else:
+            k = len(canonical)
+            canonical.append(tag)
+        place.append(k)
+    assert [r.canonical for r in got.orderBy("pos").collect()] == [canonical[k] for k in place]
+
+
+def test_greedy_resolution_of_odd_rows(spark):
+    rows = [(None, 0, "FT-1", "Sensor"), (None, 1, "FT-12", "Sensor"), (1, 0, None, "Sensor"), (1, 1, "FT-1", None), (1, 2, "FT-1", None), (1, 2, "FT-1", None), (2, None, "FT-1", "Sensor")]
+    df = spark.createDataFrame(rows, "c int, pos int, tag string, entity_type string")
+    got = sorted(((r.c, r.pos, r.tag, r.entity_type, r.canonical) for r in G.resolve_greedy(df, "c").collect()), key=str)
+    assert got == sorted(((*r, "FT-1" if r[2] else None) for r in rows), key=str)
+    assert G.resolve_greedy(df.limit(0), "c").collect() == []
+
+
+def edits(a, b):
+    """Edit distance by whole rows of its table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
