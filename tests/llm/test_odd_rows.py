@@ -56,8 +56,11 @@ def test_toxicity_rows(spark, rows):
 def test_nbest_of_long_stretches(spark):
     """Whole texts of a megabyte, with blanks and without."""
     docs = spark.createDataFrame([(1, LONG), (1, LONG), (None, "abcdefghij" * 100_000)], "doc_id long, text string")
-    got = nbest_pieces.encode(docs).collect()
-    assert len(got) == 3
+    coded = nbest_pieces.encode(docs, keep_ids=True).cache()
+    got = coded.collect()
+    assert len(got) == 3 and all(r.round_trip and r.nbest_scores == sorted(r.nbest_scores, reverse=True) and len(r.nbest_scores) == nbest_pieces.N_BEST for r in got)
+    assert len({r.ids_crc32 for r in got if r.doc_id == 1}) == 1
+    assert {(r.doc_id, r.text) for r in nbest_pieces.decode(coded).collect()} == {(1, LONG), (None, "abcdefghij" * 100_000)}
 
 
 def test_queries_are_named_once():

@@ -1,9 +1,10 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from plantscribe.llm import nbest_pieces
+from plantscribe.llm import nbest_pieces, queries
 from plantscribe.llm.nbest_pieces import BLANK
 
 from .conftest import TEXTS
@@ -61,3 +62,23 @@ def test_round_trip_on_tables(spark, odd_docs, no_docs):
     back = {r.doc_id: r.text for r in nbest_pieces.decode(nbest_pieces.encode(odd_docs, keep_ids=True)).collect()}
     assert back == {k: t or "" for k, t in enumerate(TEXTS)}
     assert nbest_pieces.encode(no_docs).count() == 0
+
+
+def test_query_against_all_paths(spark, own, tmp_path):
+    """The registered query on short texts of one to four words, several times each: its n best are the best of all segmentations."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab the.é1日 ") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["a a a a", "the the", " ", "  a", "a\n\na"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts + texts[:20])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op8_nbest_pieces(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, *_ in rows}
+    for k, text, *_ in rows:
+        r, every = got[k], {}
+        for score, ids in all_paths(own, BLANK + text.replace(" ", BLANK)):
+            crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+            every[crc] = max(score, every.get(crc, -np.inf))
+        best = sorted(every.values(), reverse=True)[: nbest_pieces.N_BEST]
+        assert r.nbest_scores == pytest.approx(best), text
+        assert len(set(r.nbest_crc32)) == len(r.nbest_crc32) and r.round_trip
+        assert [every[c] for c in r.nbest_crc32] == pytest.approx(r.nbest_scores), text
+        assert r.best_score == pytest.approx(best[0]) and every[r.ids_crc32] == pytest.approx(best[0])
