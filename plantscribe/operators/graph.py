@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
-from ..session import stored
+from ..session import cut, stored
 
 # Tag prefix -> (type, measurement, class).
 TAG_PREFIXES: dict[str, tuple[str, str | None, str | None]] = {
@@ -135,12 +135,35 @@ def similar_tags(tags: DataFrame, strict: bool = False, most: int = 2) -> DataFr
     return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
 
 
-def resolve_greedy(entities: DataFrame, group: str, most: int = 2) -> DataFrame:
+#: Rows of a group that are resolved as one array.
+FOLD = 256
+
+
+def _folded(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Groups as sorted arrays, each passed over once with the sets' canonical tags and the rows' places; a set ends with its first tag of the least length."""
+    each = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_rows"))
+    start = F.struct(F.array().cast("array<string>").alias("sets"), F.array().cast("array<int>").alias("places"))
+
+    def step(state: Column, row: Column) -> Column:
+        tag, sets = row["tag"], state["sets"]
+        place = F.coalesce(F.array_position(F.transform(sets, lambda c: F.levenshtein(c, tag, most) >= 0), True), F.lit(0)).cast("int")
+        shorter = F.length(tag) < F.length(F.get(sets, place - 1))
+        longer = F.when(place == 0, F.array_append(sets, tag)).when(shorter, F.transform(sets, lambda c, k: F.when(k == place - 1, tag).otherwise(c))).otherwise(sets)
+        own = F.when(place == 0, F.size(sets) + 1).otherwise(place)
+        return F.when(tag.isNull(), F.struct(sets.alias("sets"), F.array_append(state["places"], F.lit(None).cast("int")).alias("places"))).otherwise(F.struct(longer.alias("sets"), F.array_append(state["places"], own).alias("places")))
+
+    told = each.select(*key, "_rows", F.aggregate("_rows", start, step).alias("_s"))
+    named = F.zip_with("_rows", "_s.places", lambda r, p: F.struct(r["pos"].alias("pos"), r["tag"].alias("tag"), F.get(F.col("_s.sets"), p - 1).alias("canonical")))
+    return told.select(*key, F.explode_outer(named).alias("_r")).select(key[0], "_r.pos", "_r.tag", key[1], "_r.canonical")
+
+
+def resolve_greedy(entities: DataFrame, group: str, most: int = 2, fold: int = FOLD) -> DataFrame:
     """``group, pos, tag, entity_type, canonical``: within each ``group``, in order of ``pos`` (then ``tag``), a tag joins the first
     earlier set of its type within ``most`` edits of its canonical tag; the shorter tag becomes canonical.
 
-    The order is the rule, so one group's rows of one type are one task's; they pass by sorted, and only the canonical tags are held.
-    What a set is called in the end is an aggregate: its first tag of the least length. Groups and types may be null and
+    The order is the rule, so one group's rows of one type are one task's. A group of up to ``fold`` rows is one sorted array that a
+    fold in the JVM passes over. Rows of larger groups pass by sorted, and only the canonical tags are held; what a set is called in the end
+    is an aggregate there: its first tag of the least length. Groups and types may be null and
     are keys like others then; a null tag stays by itself and has no canonical tag.
     """
     key = [group, "entity_type"]
@@ -174,11 +197,18 @@ def resolve_greedy(entities: DataFrame, group: str, most: int = 2) -> DataFrame:
                 places.append(place)
             yield batch.append_column("_place", pa.array(places, pa.int64()))
 
-    rows = entities.select(*key, F.col("pos").cast("long").alias("pos"), "tag").repartition(*key).sortWithinPartitions(*key, "pos", "tag")
+    whole = entities.select(*key, F.col("pos").cast("long").alias("pos"), "tag")
+    large = cut(whole.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > fold))
+    if large.isEmpty():
+        return _folded(whole, key, most)
+    match = functools.reduce(Column.__and__, (F.col(f"w.`{c}`").eqNullSafe(F.col(f"l.`{c}`")) for c in key))
+    small, whole = (whole.alias("w").join(large.alias("l"), match, how) for how in ("left_anti", "left_semi"))
+    rows = whole.repartition(*key).sortWithinPartitions(*key, "pos", "tag")
     placed = stored(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_place", LongType())])), "places")
     named = placed.groupBy(*key, "_place").agg(F.min_by("tag", F.struct(F.length("tag"), "pos", "tag")).alias("canonical")).alias("n")
     same = [F.col(f"p.`{c}`").eqNullSafe(F.col(f"n.`{c}`")) for c in (*key, "_place")]
-    return placed.alias("p").join(named, functools.reduce(Column.__and__, same)).select(f"p.`{group}`", "p.pos", "p.tag", "p.entity_type", "n.canonical")
+    passed = placed.alias("p").join(named, functools.reduce(Column.__and__, same)).select(f"p.`{group}`", "p.pos", "p.tag", "p.entity_type", "n.canonical")
+    return _folded(small, key, most).unionByName(passed)
 
 
 def _stated(entities: DataFrame, field: str, name: str) -> Column:

@@ -36,3 +36,15 @@ def test_cells_of_all_sizes_give_the_same_ranks(spark, monkeypatch):
         got = R.bm25(df, asked.where("query_id < 4 OR query_id > 25") if postings == 1 else asked, ["doc_id", "chunk_index"], k=4)
         want = brute(rows, [t for t in terms if postings > 1 or not 4 <= t[0] <= 25], 4)
         assert {(r.query_id, r.doc_id, r.chunk_index): (r["rank"], r.score) for r in got.collect()} == want
+
+
+def test_greedy_resolution_folds_small_groups_and_passes_large_ones(spark):
+    import random
+
+    from plantscribe.operators import graph as G
+
+    rng = random.Random(3)
+    rows = [(c, k, rng.choice(("P", "PT")) + "-" + "".join(rng.choice("123") for _ in range(rng.randint(1, 5))) if rng.random() > 0.1 else None, rng.choice(("Sensor", None))) for c in (None, 1, 2, 3) for k in range({None: 9, 1: 60, 2: 8, 3: 30}[c])]
+    df = spark.createDataFrame(rows, "c int, pos int, tag string, entity_type string")
+    told = lambda fold: sorted(map(str, G.resolve_greedy(df, "c", fold=fold).collect()))
+    assert told(1000) == told(10) == told(0)
