@@ -321,7 +321,11 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None
     outer = stored(outer.select("seed", "node").distinct().join(inner, ["seed", "node"], "left_anti"), "outer")
     # With a limit an end beyond the last known name may be missing in ``outer``: ends are looked up among all nodes of the last level.
     ends = steps.of(frontier).select("seed", F.col("next").alias("dst")).distinct() if limit else outer.withColumnRenamed("node", "dst")
-    between = steps.of(outer, steps.dealt.where("node = src")).select(*edge).join(ends, ["seed", "dst"], "left_semi")
+    # Both ends lie in somebody's last level: what no seed can have leaves before it meets the seeds.
+    last_nodes = stored(outer.select("node").distinct(), "last-nodes")
+    met = steps.dealt.join(frontier.select("node").distinct(), "node", "left_semi").select("next").distinct() if limit else last_nodes.withColumnRenamed("node", "next")
+    inside = stored(steps.dealt.where("node = src").join(last_nodes, "node", "left_semi").join(met, "next", "left_semi"), "inside")
+    between = steps.of(outer.join(inside.select("node").distinct(), "node", "left_semi"), inside).select(*edge).join(ends, ["seed", "dst"], "left_semi")
     if limit:
         between = between.join(inner.withColumnRenamed("node", "dst"), ["seed", "dst"], "left_anti")  # known already
     return first(touching.unionByName(between.select(*edge)))
@@ -330,8 +334,10 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None
 def summarise(seeds: DataFrame, subgraph: DataFrame, types: DataFrame) -> DataFrame:
     """Nodes, edges and sorted node types of each seed's subgraph; the seed is always a node, known types beat unknown."""
     ends = subgraph.select("seed", F.explode(F.array("src", "dst")).alias("tag")).unionByName(seeds.select("seed", F.col("seed").alias("tag"))).distinct()
-    typed = ends.join(types.select("tag", "node_type"), "tag", "left")
-    nodes = typed.groupBy("seed").agg(F.countDistinct("tag").alias("n_nodes"), F.array_sort(F.collect_set(F.coalesce("node_type", F.lit("Unknown")))).alias("node_types"))
+    known = types.groupBy("tag").agg(F.collect_set(F.coalesce("node_type", F.lit("Unknown"))).alias("_types"))
+    told = F.coalesce("_types", F.array(F.lit("Unknown")))
+    typed = ends.join(known, "tag", "left").select("seed", "tag", told.alias("_types"))
+    nodes = typed.groupBy("seed", "_types").agg(F.count("tag").alias("_n")).groupBy("seed").agg(F.sum("_n").alias("n_nodes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_types")))).alias("node_types"))
     return nodes.join(subgraph.groupBy("seed").agg(F.count("*").alias("n_edges")), "seed", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 

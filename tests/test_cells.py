@@ -48,3 +48,14 @@ def test_greedy_resolution_folds_small_groups_and_passes_large_ones(spark):
     df = spark.createDataFrame(rows, "c int, pos int, tag string, entity_type string")
     told = lambda fold: sorted(map(str, G.resolve_greedy(df, "c", fold=fold).collect()))
     assert told(1000) == told(10) == told(0)
+
+
+def test_summary_counts_tags_with_several_types_once(spark):
+    from plantscribe.operators import graph as G
+
+    sub = spark.createDataFrame([("s", "s", "R", "a"), ("s", "a", "R", "b")], "seed string, src string, relation string, dst string")
+    types = spark.createDataFrame([("a", "Asset"), ("a", None), ("b", "Equipment"), ("b", "Asset"), ("b", "Asset")], "tag string, node_type string")
+    seeds = spark.createDataFrame([("s",), ("t",)], "seed string")
+    got = G.summarise(seeds, sub, types)
+    assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString()  # every row would be expanded
+    assert {(r.seed, r.n_nodes, r.n_edges, tuple(r.node_types)) for r in got.collect()} == {("s", 3, 2, ("Asset", "Equipment", "Unknown")), ("t", 1, 0, ("Unknown",))}
