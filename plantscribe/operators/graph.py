@@ -121,6 +121,10 @@ def digits(tag: Column) -> Column:
     return F.regexp_replace(tag, r"\D", "")
 
 
+#: Deletion variants that one task of a join takes.
+TASK_VARIANTS = 50_000
+
+
 def similar_tags(tags: DataFrame, strict: bool = False, most: int = 2) -> DataFrame:
     """Pairs ``entity_type, a, b, distance`` of distinct tags of one type within ``most`` edits.
 
@@ -131,8 +135,12 @@ def similar_tags(tags: DataFrame, strict: bool = False, most: int = 2) -> DataFr
     block = ["entity_type", "variant"] + (["digits"] if strict else [])
     if strict:
         keyed = keyed.withColumn("digits", digits(F.col("tag")))
-    met = keyed.withColumnRenamed("tag", "a").join(keyed.withColumnRenamed("tag", "b"), block).where("a < b").select("entity_type", "a", "b").distinct()
-    return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+    # A small shuffle becomes many pairs: as many tasks as the variants ask for, and far pairs leave before equal ones are sought.
+    keyed = stored(keyed, "variants")
+    dealt = keyed.repartition(max(1, -(-keyed.count() // TASK_VARIANTS)), *block)
+    met = dealt.withColumnRenamed("tag", "a").join(dealt.withColumnRenamed("tag", "b"), block).where("a < b")
+    near = met.select("entity_type", "a", "b", F.levenshtein("a", "b", most).alias("distance")).where("distance >= 0")
+    return near.distinct()
 
 
 #: Rows of a group that are resolved as one array.
