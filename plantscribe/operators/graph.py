@@ -263,12 +263,17 @@ def check_relations(edges: DataFrame, ontology: Ontology = INDUSTRIAL) -> tuple[
     return edges.join(allowed, on, "left_semi"), edges.join(allowed, on, "left_anti")
 
 
+#: Edges that one task of a merge takes.
+TASK_EDGES = 500_000
+
+
 def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges whose ends exist with the stated types."""
     ends = nodes.select("tag", "node_type").distinct()
-    out = edges
+    parts = max(1, -(-edges.count() // TASK_EDGES))  # as many tasks as the edges ask for, so that none holds more of them as they grow
+    out = edges.repartition(parts, "src", "relation", "dst").dropDuplicates(["src", "relation", "dst", "source_type", "target_type"])
     for side, kind in (("src", "source_type"), ("dst", "target_type")):
-        out = out.join(ends.select(F.col("tag").alias(side), F.col("node_type").alias(kind)), [side, kind], "left_semi")
+        out = out.repartition(parts, side, kind).join(ends.select(F.col("tag").alias(side), F.col("node_type").alias(kind)), [side, kind], "left_semi")
     return out.dropDuplicates(["src", "relation", "dst"])
 
 

@@ -59,3 +59,24 @@ def test_summary_counts_tags_with_several_types_once(spark):
     got = G.summarise(seeds, sub, types)
     assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString()  # every row would be expanded
     assert {(r.seed, r.n_nodes, r.n_edges, tuple(r.node_types)) for r in got.collect()} == {("s", 3, 2, ("Asset", "Equipment", "Unknown")), ("t", 1, 0, ("Unknown",))}
+
+
+def test_pairs_and_edges_take_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from plantscribe.operators import graph as G
+
+    monkeypatch.setattr(G, "TASK_VARIANTS", 100)
+    monkeypatch.setattr(G, "TASK_EDGES", 3)
+    tags = spark.range(40).selectExpr("'Equipment' AS entity_type", "concat('P-', 100 + id * 7) AS tag")
+    names = sorted(r.tag for r in tags.collect())
+
+    def edits(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return edits(a[1:], b[1:]) if a[0] == b[0] else 1 + min(edits(a[1:], b), edits(a, b[1:]), edits(a[1:], b[1:]))
+
+    want = sorted((a, b, edits(a, b)) for a in names for b in names if a < b and edits(a, b) <= 2)
+    assert sorted((r.a, r.b, r.distance) for r in G.similar_tags(tags).collect()) == want
+    edges = spark.createDataFrame([(f"n{i % 7}", "R", f"n{i % 5}", "A", k) for i in range(30) for k in ("A", "B", None)], "src string, relation string, dst string, source_type string, target_type string")
+    nodes = spark.createDataFrame([(f"n{i}", "B" if i == 3 else "A") for i in range(6)] + [("n3", "B"), ("n4", "B")], "tag string, node_type string")
+    got = [(r.src, r.dst) for r in G.merge_edges(edges, nodes).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(f"n{i % 7}", f"n{i % 5}") for i in range(30) if i % 7 not in (3, 6)}
