@@ -104,7 +104,8 @@ def classify_tags(tag: Column) -> Column:
 
 def extract_entities(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, pos, tag, entity_type, measurement, class`` of every tag in a text."""
-    found = chunks.select(*keys, F.posexplode(X.tags(F.col(text))).alias("pos", "tag")).withColumn("tag", F.upper("tag"))
+    # Outer, since explode infers a filter that would search the text a second time.
+    found = chunks.select(*keys, F.posexplode_outer(X.tags(F.col(text))).alias("pos", "tag")).where("pos IS NOT NULL").withColumn("tag", F.upper("tag"))
     return found.withColumn("_c", classify_tags(F.col("tag"))).select(*keys, "pos", "tag", "_c.*")
 
 

@@ -288,8 +288,10 @@ def co_occurring_relations(spark, sf_dir):
 
 def typed_pairs(chunks, keys):
     """``keys, src, relation, dst``: allowed pairs of all tags of a chunk, if it has two; a chunk's window bounds its tags."""
-    own = chunks.select(*keys, F.array_distinct(X.tags(F.col("text"))).alias("tags")).where("size(tags) > 1")
-    pairs = own.select(*keys, F.explode("tags").alias("src"), "tags").select(*keys, "src", F.explode("tags").alias("dst")).where("src <> dst")
-    typed = pairs.withColumns({"source_type": G.classify_tags(F.col("src"))["entity_type"], "target_type": G.classify_tags(F.col("dst"))["entity_type"]})
+    kind = lambda t: F.struct(t.alias("tag"), G.classify_tags(t)["entity_type"].alias("kind"))
     rules = F.broadcast(G.INDUSTRIAL.relations(chunks.sparkSession))  # as many rows as triples
-    return typed.join(rules, ["source_type", "target_type"]).select(*keys, "src", "relation", "dst")
+    # A tag is looked for and classified once: a filter on the tags, or the one that explode infers, would do it all again.
+    own = chunks.select(*keys, F.transform(F.array_distinct(X.tags(F.col("text"))), kind).alias("tags"))
+    sources = own.select(*keys, "tags", F.explode_outer("tags").alias("_s")).select(*keys, "tags", F.col("_s.tag").alias("src"), F.col("_s.kind").alias("source_type"))
+    pairs = sources.join(rules, "source_type").select(*keys, "src", "relation", "target_type", F.explode_outer("tags").alias("_d"))
+    return pairs.where("_d.kind = target_type AND _d.tag <> src").select(*keys, "src", "relation", F.col("_d.tag").alias("dst"))
