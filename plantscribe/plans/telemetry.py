@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import retrieval as R
 from ..streaming import jobs as J, sessions as C, telemetry as S
 from ..session import shared_root
 from ..sources.keyed import KeyedTables
@@ -172,9 +173,10 @@ def ingest_stream(spark, sf_dir):
 
 
 def ingested(spark, root):
-    terms = J.current(spark, root, "postings").groupBy("doc_id", "version", "chunk_index").agg(F.count("*").alias("n_terms"))
-    met = J.current(spark, root).join(terms, ["doc_id", "version", "chunk_index"], "left")
-    return met.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "token_count", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    chunk = ["doc_id", "version", "chunk_index"]
+    terms = J.current(spark, root, "postings", lists=True).select(*chunk, F.size("counts").cast("long").alias("n_terms"))
+    met = J.current(spark, root).select(*chunk, F.md5("text").alias("text_md5"), "token_count").join(terms, chunk, "left")  # texts stay where they are
+    return met.select("doc_id", "chunk_index", "text_md5", "token_count", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 CHANGED_SQL = f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 25 = 0 THEN ' ' WHEN doc_id % 10 = 0 THEN 'tested again: ' || text ELSE text END AS text FROM documents), {POSTINGS_SQL.replace('FROM documents', 'FROM changed')}, n AS (SELECT doc_id, chunk_index, count(*) AS n_terms FROM postings GROUP BY ALL)
@@ -226,10 +228,19 @@ def ingest_chain_stream(spark, sf_dir):
     tagged = F.when(F.trim("text") != "", F.concat(F.lit("P-"), F.col("doc_id") % 50, F.lit(" and FT-7: "), "text"))
     stream = J.table_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", tagged.alias("text"))
     J.ingest(stream, root).awaitTermination()
-    tell = {"chunks": ("chunk_index", "text"), "postings": ("chunk_index", "term"), "vectors": ("chunk_index", F.lit(":"), "dimension"), "entities": ("chunk_index", "tag"), "edges": ("src", "dst")}
-    found = [J.current(spark, root, name).select(F.lit(name).alias("stage"), "doc_id", "batch_number", F.md5(F.concat(*own)).alias("row_md5")) for name, own in tell.items()]
-    rows = reduce(lambda a, b: a.unionByName(b), found)
-    return rows.groupBy("stage", "doc_id", "batch_number").agg(F.count("*").alias("n"), F.min("row_md5").alias("first_md5"), F.max("row_md5").alias("last_md5"))
+    row = lambda *own: F.md5(F.concat(*own))
+    tell = {
+        "chunks": F.array(row("chunk_index", "text")), "entities": F.array(row("chunk_index", "tag")), "edges": F.array(row("src", "dst")),
+        "postings": F.transform(R.split_terms(), lambda term: row("chunk_index", term)),
+        "vectors": F.filter(F.transform("weights", lambda w, k: F.when(w.isNotNull(), row("chunk_index", F.lit(":"), k))), lambda x: x.isNotNull()),
+    }
+    parts = []
+    for name, rows in tell.items():
+        own = J.current(spark, root, name, lists=True).select("doc_id", "batch_number", rows.alias("_r"))
+        own = own.select("doc_id", "batch_number", F.size("_r").alias("n"), F.array_min("_r").alias("first_md5"), F.array_max("_r").alias("last_md5"))
+        own = own.groupBy("doc_id", "batch_number").agg(F.sum("n").alias("n"), F.min("first_md5").alias("first_md5"), F.max("last_md5").alias("last_md5"))
+        parts.append(own.select(F.lit(name).alias("stage"), *own.columns))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @registry.add(warning_sql)

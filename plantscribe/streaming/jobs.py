@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.chunking import chunk_id, token_windows
 from ..operators.graph import extract_entities
 from ..operators.relational import progress
-from ..operators.retrieval import postings, term_vectors
+from ..operators.retrieval import pointed, posted, term_lists, vector_lists
 from ..sources.keyed import Batch, KeyedTables
 
 
@@ -25,12 +25,15 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def described(batch: Batch, own: DataFrame, keys: list[str], number: int) -> None:
-    """What a batch of texts becomes: chunks, and of the chunks postings, vectors, entities and edges. A text without words has none of them."""
+    """What a batch of texts becomes: chunks, and of the chunks postings, vectors, entities and edges. A text without words has none of them.
+
+    Postings and vectors are stored as lists, a row a chunk, so that writing, replacing and merging batches handles chunks and not terms.
+    """
     chunk = [*keys, "chunk_index"]
     numbered = lambda rows: rows.withColumn("batch_number", F.lit(number))
     chunks = batch.put("chunks", numbered(token_windows(own, keys)))
-    batch.put("postings", numbered(postings(chunks, chunk)))
-    batch.put("vectors", numbered(term_vectors(chunks, chunk)))
+    lists = batch.put("postings", numbered(term_lists(chunks, chunk)))
+    batch.put("vectors", numbered(vector_lists(lists, chunk)))
     entities = batch.put("entities", numbered(extract_entities(chunks, chunk)))
     id_of = chunk_id(F.col(keys[0]), F.col("chunk_index"))
     holds = chunks.select(*chunk, F.lit("HAS_CHUNK").alias("relation"), F.col(keys[0]).cast("string").alias("src"), id_of.alias("dst"))
@@ -49,17 +52,22 @@ def ingest(documents: DataFrame, root: str, key: str = "doc_id") -> StreamingQue
     def batch(rows: DataFrame, number: int) -> None:
         if tables.manifest()["done"].get("ingest", -1) >= number:
             return
-        own, at = rows.select(key, "text").distinct(), tables.batch()
-        own = at.put("texts", own.withColumn("version", F.row_number().over(W.partitionBy(key).orderBy("text")) - 1))
+        at, order = tables.batch(), W.partitionBy(key).orderBy("text")  # equal texts are neighbours, so that texts are shuffled once
+        own = rows.select(key, "text", (F.dense_rank().over(order) - 1).alias("version"), F.row_number().over(order).alias("_k"), F.lag("text").over(order).alias("_last"))
+        own = at.put("texts", own.where((F.col("_k") == 1) | ~F.col("text").eqNullSafe(F.col("_last"))).drop("_k", "_last"))
         described(at, own, [key, "version"], number)
         tables.commit(at, own, "ingest", number)
 
     return replayable(documents, "ingest", root, batch)
 
 
-def current(spark: SparkSession, root: str, table: str = "chunks", key: str = "doc_id") -> DataFrame:
-    """Of each document the rows of its newest batch; a document whose newest text has no words has none."""
-    return KeyedTables(spark, root, key).read(table)
+def current(spark: SparkSession, root: str, table: str = "chunks", key: str = "doc_id", lists: bool = False) -> DataFrame:
+    """Of each document the rows of its newest batch; a document whose newest text has no words has none.
+
+    Postings and vectors come a row each, or with ``lists`` as they are stored, a row a chunk.
+    """
+    rows = KeyedTables(spark, root, key).read(table)
+    return rows if lists else {"postings": posted, "vectors": pointed}.get(table, lambda own: own)(rows)
 
 
 def keyed(frame: DataFrame, name: str, root: str) -> StreamingQuery:
