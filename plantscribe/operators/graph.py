@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -355,6 +355,120 @@ def summarise(seeds: DataFrame, subgraph: DataFrame, types: DataFrame) -> DataFr
     return nodes.join(subgraph.groupBy("seed").agg(F.count("*").alias("n_edges")), "seed", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
+#: Parts that rows are counted by before any key is.
+COUNT_PARTS = 1 << 16
+
+
+def heavy(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` values with more than one in HUB_SHARE of all rows and HUB_STEPS, so HUB_SHARE of them at most; only keys of full parts are counted by themselves."""
+    part = F.pmod(F.xxhash64(key), F.lit(COUNT_PARTS)).alias("_p")
+    parts = cut(rows.groupBy(part).agg(F.count("*").alias("_n")))
+    most = max((parts.agg(F.sum("_n")).first()[0] or 0) / HUB_SHARE, HUB_STEPS)
+    full = F.broadcast(parts.where(F.col("_n") > most).select("_p"))
+    counts = rows.select(key, part).join(full, "_p", "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
+    return cut(counts.where(F.col("_n") > most).select(key))
+
+
+def next_lists(edges: DataFrame) -> DataFrame:
+    """``src, nexts``: the other ends of a node's edges, one for each distinct edge, as a list; hubs have several lists."""
+    whole = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "relation", "dst")
+    hubs = F.broadcast(heavy(whole, "src").withColumn("_hub", F.lit(True)))
+    part = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst", "relation"), F.lit(PARTS))).otherwise(0)
+    dealt = whole.join(hubs, "src", "left").withColumn("_part", part).drop("_hub").repartition("src", "_part")
+    ends = dealt.groupBy("src", "_part").agg(F.collect_set(F.struct("dst", "relation")).alias("_ends"))
+    return stored(ends.select("src", F.col("_ends.dst").alias("nexts")), "next-lists")
+
+
+def subgraph_summary(seeds: DataFrame, edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame:
+    """``summarise`` of the subgraphs that ``expand`` gives, counted without their rows.
+
+    Edges travel as one list of each node. What the nodes with more than HUB_STEPS edges lead to in the last step is one set for all seeds that
+    reach the same ones of them; the seeds count it and keep rows of the other nodes only. Edges are counted by levels: those that leave a
+    level are its nodes' degrees, those within a level are looked for among edges whose ends both lie in somebody's level.
+    """
+    depth = max(1, min(depth, 3))
+    lists = next_lists(edges)
+    pairs = lists.select("src", F.explode("nexts").alias("dst"))
+    ins = stored(pairs.groupBy(F.col("dst").alias("node")).agg(F.count_if(F.col("src") != F.col("dst")).alias("n")), "ins")
+    outs = lists.select(F.col("src").alias("node"), F.size("nexts").cast("long").alias("n"))
+    wide = stored(outs.unionByName(ins).groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > HUB_STEPS), "wide")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """``seed, nexts``: lists of what the nodes lead to; edges are only turned round for nodes that are their second ends."""
+        back = stored(rows.join(ins, "node", "left_semi").select("seed", "node"), "back")
+        turned = pairs.where("src <> dst").join(back, F.col("dst") == F.col("node")).select("seed", F.array("src").alias("nexts"))
+        return lists.join(rows, F.col("src") == F.col("node")).select("seed", "nexts").unionByName(turned)
+
+    level = stored(seeds.where("seed IS NOT NULL").select("seed", F.col("seed").alias("node")).distinct(), "level")
+    inner, levels = level, [level]
+    for _ in range(depth - 1):
+        level = stored(met(level).select("seed", F.explode("nexts").alias("node")).distinct().join(inner, ["seed", "node"], "left_anti"), "level")
+        inner, levels = inner.unionByName(level), [*levels, level]
+
+    # What wide nodes lead to, once for each set of them: one of its seeds stands for it.
+    broad = stored(level.join(wide, "node"), "broad")
+    sets = stored(broad.groupBy("seed").agg(F.array_sort(F.collect_set("node")).alias("_set"), F.sum("n").alias("steps")), "sets")
+    named = stored(sets.groupBy("_set").agg(F.min("seed").alias("rep")), "named")
+    sets = stored(sets.join(named, "_set").select("seed", "rep", "steps"), "sets")
+    first = broad.join(named.select(F.col("rep").alias("seed")), "seed", "left_semi").select("seed", "node")
+    shared = stored(met(stored(first, "first")).select(F.col("seed").alias("rep"), F.explode("nexts").alias("node")).distinct(), "shared")
+
+    # The rest by seed: nodes that are known, and what narrow nodes lead to. Seeds with many of these are dealt by what is led to.
+    narrow = stored(level.join(wide, "node", "left_anti"), "narrow")
+    rest = inner.select("seed", F.array("node").alias("nexts"), F.lit(True).alias("known")).unionByName(met(narrow).withColumn("known", F.lit(False)))
+    rest = rest.join(F.broadcast(heavy(narrow, "seed").withColumn("_hub", F.lit(True))), "seed", "left")
+    rest = rest.withColumn("_part", F.explode(F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    own_part = F.filter("nexts", lambda x: F.pmod(F.xxhash64(x), F.lit(PARTS)) == F.col("_part"))
+    rest = rest.select("seed", "_part", "known", F.when(F.col("_hub"), own_part).otherwise(F.col("nexts")).alias("nexts")).repartition("seed", "_part")
+    reached = rest.select("seed", "_part", "known", F.explode("nexts").alias("node")).groupBy("seed", "_part", "node").agg(F.bool_or("known").alias("known"), F.count_if(~F.col("known")).alias("steps"))
+    reached = stored(reached.drop("_part").join(sets.select("seed", "rep"), "seed", "left"), "reached")
+
+    known = types.groupBy("tag").agg(F.collect_set(F.coalesce("node_type", F.lit("Unknown"))).alias("_types"))
+
+    def typed(rows: DataFrame, key: str, n: str, names: str) -> DataFrame:
+        told = rows.join(known, rows["node"] == known["tag"], "left").select(key, F.coalesce("_types", F.array(F.lit("Unknown"))).alias("_types"))
+        return told.groupBy(key, "_types").agg(F.count("*").alias("_n")).groupBy(key).agg(F.sum("_n").alias(n), F.array_distinct(F.flatten(F.collect_list("_types"))).alias(names))
+
+    fresh = typed(reached.join(shared, ["rep", "node"], "left_anti"), "seed", "_n", "_names")
+    both = sets.select("seed", "rep").join(typed(shared, "rep", "_m", "_more"), "rep").drop("rep")
+    empty = F.array().cast("array<string>")
+    nodes = fresh.join(both, "seed", "full").select("seed", (F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0))).alias("n_nodes"), F.array_sort(F.array_union(F.coalesce("_names", empty), F.coalesce("_more", empty))).alias("node_types"))
+
+    def within(nodes: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``seed, loop`` of the edges between two of a seed's ``rows``; these are asked for at such edges' ends, which lie in ``nodes``."""
+        ends = stored(nodes.select("node").distinct(), "ends")
+        second = stored(ends.join(ins, "node", "left_semi"), "second").withColumnRenamed("node", "dst")
+        one = ends.withColumnRenamed("node", "src")
+        if second.count() < ends.count():
+            thin = pairs.join(second, "dst", "left_semi").join(one, "src", "left_semi")
+        else:
+            thin = lists.join(one, "src", "left_semi").select("src", F.explode("nexts").alias("dst")).join(second, "dst", "left_semi")
+        thin = stored(thin.select("src", "dst"), "thin")
+        if thin.isEmpty():
+            return sets.limit(0).select("seed", F.lit(False).alias("loop"))
+        at = stored(rows(thin.select(F.explode(F.array("src", "dst")).alias("node")).distinct()), "at")
+        met_twice = at.withColumnRenamed("node", "src").join(thin, "src").join(at.withColumnRenamed("node", "dst"), ["seed", "dst"], "left_semi")
+        return met_twice.select("seed", (F.col("src") == F.col("dst")).alias("loop"))
+
+    def outer(ends: DataFrame) -> DataFrame:
+        more = shared.join(ends, "node", "left_semi").join(sets, "rep").select("seed", "node")
+        own = reached.where("NOT known").join(ends, "node", "left_semi").select("seed", "node")
+        return own.unionByName(more).distinct().join(inner, ["seed", "node"], "left_anti")
+
+    # Edges from level to level are the degrees of every second level, the last but one first, less what lies within these levels.
+    counts = reached.select("seed", F.col("steps").alias("n")).unionByName(sets.select("seed", F.col("steps").alias("n")))
+    for k, own in enumerate(levels):
+        odd = (depth - k) % 2
+        if odd and k < depth - 1:
+            counts = counts.unionByName(met(own).select("seed", F.size("nexts").cast("long").alias("n")))
+        lie = within(own, lambda ends, own=own: own.join(ends, "node", "left_semi").select("seed", "node"))
+        counts = counts.unionByName(lie.select("seed", (F.when(F.col("loop"), 0).otherwise(-1) if odd else F.lit(1)).cast("long").alias("n")))
+    last = within(reached.where("NOT known").select("node").unionByName(shared.select("node")), outer)
+    counts = counts.unionByName(last.select("seed", F.lit(1).cast("long").alias("n"))).groupBy("seed").agg(F.sum("n").alias("n_edges"))
+    lost = seeds.where("seed IS NULL").distinct().select("seed", F.lit(0).cast("long").alias("n_nodes"), F.array(F.lit("Unknown")).alias("node_types"), F.lit(0).cast("long").alias("n_edges"))
+    return nodes.join(counts, "seed", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0))).unionByName(lost)
+
+
 def relations_of(edges: DataFrame) -> DataFrame:
     """``tag, relation, other, direction`` for both ends of each edge, self-loops left out."""
     proper = edges.where("src <> dst")

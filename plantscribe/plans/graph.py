@@ -109,11 +109,14 @@ def nodes(spark, sf_dir):
     return tagged("region", "R-", "r_regionkey", "Asset", "r_name").unionByName(tagged("nation", "N-", "n_nationkey", "Asset", "n_name")).unionByName(tagged("supplier", "CMP-", "s_suppkey", "Equipment", "s_name")).unionByName(tagged("part", "P-", "p_partkey", "Equipment", "p_name"))
 
 
-def edges(spark, sf_dir):
+def edges(spark, sf_dir, once=True):
+    """Each edge once, or as often as it is stated for readers that see to that themselves."""
+
     def linked(df, a, b):
         return df.select(F.concat(*a).alias("src"), F.lit("IS_PART_OF").alias("relation"), F.concat(*b).alias("dst"))
 
-    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    line = line.distinct() if once else line
     return linked(read(spark, sf_dir, "nation"), (F.lit("N-"), "n_nationkey"), (F.lit("R-"), "n_regionkey")).unionByName(linked(read(spark, sf_dir, "supplier"), (F.lit("CMP-"), "s_suppkey"), (F.lit("N-"), "s_nationkey"))).unionByName(linked(line, (F.lit("P-"), "l_partkey"), (F.lit("CMP-"), "l_suppkey")))
 
 
@@ -180,8 +183,7 @@ def khop_limited(spark, sf_dir):
 @registry.add(f"""{HOPS_SQL}, en AS (SELECT seed, src AS tag FROM sub UNION SELECT seed, dst FROM sub UNION SELECT seed, seed FROM seeds)
 SELECT en.seed, count(DISTINCT en.tag) AS n_nodes, list_sort(list(DISTINCT coalesce(n.node_type, 'Unknown'))) AS node_types, (SELECT count(*) FROM sub WHERE sub.seed = en.seed) AS n_edges FROM en LEFT JOIN nodes n USING (tag) GROUP BY en.seed""")
 def subgraph_summary(spark, sf_dir):
-    s = seeds(spark, sf_dir)
-    return G.summarise(s, G.expand(s, edges(spark, sf_dir), 2), nodes(spark, sf_dir))
+    return G.subgraph_summary(seeds(spark, sf_dir), edges(spark, sf_dir, once=False), nodes(spark, sf_dir))
 
 
 @registry.add(f"WITH {NODES_SQL} SELECT tag, count(*) AS degree FROM (SELECT src AS tag FROM edges WHERE src <> dst UNION ALL SELECT dst FROM edges WHERE src <> dst) GROUP BY tag")
